@@ -69,6 +69,16 @@ def blocks(sizes: np.ndarray, most: int = BLOCK) -> Iterator[tuple[int, int]]:
         yield i, len(sizes)
 
 
+def spaced(off: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The texts of ``off`` with a space after each, and where each starts (and the end)."""
+    n = len(off) - 1
+    starts = off - off[0] + np.arange(n + 1)
+    out = np.full(starts[-1], 32, np.uint8)
+    for k in range(n):
+        out[starts[k] : starts[k + 1] - 1] = data[off[k] : off[k + 1]]
+    return out, starts
+
+
 def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 

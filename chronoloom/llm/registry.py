@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chronoloom.llm import exact_dedup, packing, url_filter
+from chronoloom.llm import exact_dedup, near_dedup, packing, url_filter
 from chronoloom.llm.common import table
 
 
@@ -25,6 +25,10 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary())
 
 
+def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_groups(table(spark, sf_dir, "documents"))
+
+
 URL_RULES = [url_filter.parse_rule(*x) for x in (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))]
 
 
@@ -60,4 +64,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_url_filter": op8_url_filter,
+    "op9_minhash_near_dedup": op9_minhash_near_dedup,
 }
