@@ -12,8 +12,10 @@ BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
+#: ASCII bytes that are neither letters nor digits.
+NOT_ALNUM = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 
 
 @lru_cache(maxsize=1)
@@ -47,28 +49,35 @@ class PrefixHash:
         return (self.sums[hi] - self.sums[lo]) * self.down[lo]
 
 
-def word_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(data: np.ndarray, space: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of the words (runs without ASCII white space, A-Z lower-cased) of a byte array, and
-    where they start. Works in segments that end at white space."""
-    hashes, starts, i, n = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], 0, len(data)
+    where they start. Works in segments that end at white space. ``space`` may hold other separators."""
+    hashes, starts, _ = words_at(data, space)
+    return hashes, starts
+
+
+def words_at(data: np.ndarray, space: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes, starts and ends of words."""
+    hashes, starts, ends, i, n = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0, len(data)
     while i < n:
         j = min(n, i + BLOCK)
         if j < n:
-            at = np.flatnonzero(_SPACE[data[i:j]])
+            at = np.flatnonzero(space[data[i:j]])
             if len(at):
                 j = i + int(at[-1]) + 1
             else:
-                more = np.flatnonzero(_SPACE[data[j:]])
+                more = np.flatnonzero(space[data[j:]])
                 j = j + int(more[0]) + 1 if len(more) else n
         part = data[i:j]
-        gap = _SPACE[part]
+        gap = space[part]
         edge = np.diff(np.concatenate(([True], gap, [True])).astype(np.int8))
         lo, hi = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
-        h = PrefixHash(_LOWER[part])
+        h = PrefixHash(LOWER[part])
         hashes.append(mix64(h.of(lo, hi) + (hi - lo).astype(np.uint64) * BASE))
         starts.append(lo + i)
+        ends.append(hi + i)
         i = j
-    return np.concatenate(hashes), np.concatenate(starts)
+    return np.concatenate(hashes), np.concatenate(starts), np.concatenate(ends)
 
 
 def sequence_hashes(words: np.ndarray, n: int) -> np.ndarray:
