@@ -33,7 +33,7 @@ from chronoloom.llm.common import blocks, id_text, materialize
 
 CAPACITY = 2048
 #: Words whose ids a worker keeps; longer words are encoded each time.
-KNOWN_WORDS, LONG_WORD = 300_000, 64
+KNOWN_WORDS, LONG_WORD = 500_000, 64
 ROUNDS = 300
 ROWS_PER_SALT = 20_000
 
@@ -45,6 +45,22 @@ def _bytes(ids: Iterable[int]) -> bytes:
     return packed.tobytes()
 
 
+class Known(dict):
+    """Values by key, made at first use; short keys are kept, and all are dropped when too many are."""
+
+    def __init__(self, make):
+        super().__init__()
+        self.make = make
+
+    def __missing__(self, key: str) -> bytes:
+        value = self.make(key)
+        if len(key) <= LONG_WORD:
+            if len(self) >= KNOWN_WORDS:
+                self.clear()
+            self[key] = value
+        return value
+
+
 class WordEncoder:
     """Ids of a text as little-endian uint32 bytes.
 
@@ -66,23 +82,17 @@ class WordEncoder:
         self.cut = regex.compile(self.PATTERN).findall
         # byte-level alphabet: printable bytes stand for themselves, the others for 256, 257, ... in order
         own = {*range(33, 127), *range(161, 173), *range(174, 256)}
-        rest = [b for b in range(256) if b not in own]
-        self.letters = {b: chr(256 + i) for i, b in enumerate(rest)}
-        self.known: dict[str, bytes] = {"": b""}
-        self.pieces: dict[str, bytes] = {}
+        self.letters = {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in own)}
+        self.pieces = Known(self._piece)
+        self.words = Known(self._word)
 
     def whole(self, text: str) -> bytes:
         """The tokenizer's own ids, without any shortcut."""
         return _bytes(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
     def _piece(self, piece: str) -> bytes:
-        found = self.pieces.get(piece)
-        if found is None:
-            mapped = piece if piece.isascii() and piece.isprintable() else piece.encode().decode("latin-1").translate(self.letters)
-            found = _bytes(t.id for t in self.merge(mapped))
-            if len(piece) <= LONG_WORD:
-                self.pieces[piece] = found
-        return found
+        mapped = piece if piece.isascii() and piece.isprintable() else piece.encode().decode("latin-1").translate(self.letters)
+        return _bytes([t.id for t in self.merge(mapped)])
 
     def _word(self, word: str) -> bytes:
         if "<|" in word:
@@ -91,24 +101,11 @@ class WordEncoder:
             word = unicodedata.normalize("NFC", word)
         low = word.lower() if "\u03a3" not in word else "".join(c.lower() for c in word)
         if low.isalpha():
-            return self._piece(low)
-        return b"".join([self._piece(p) for p in self.cut(low)])
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.known) > KNOWN_WORDS:
-            self.known = {"": b""}
-        if len(self.pieces) > KNOWN_WORDS:
-            self.pieces = {}
-        known = self.known
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        missing = {w for words in split for w in words if w not in known}
-        for w in missing:
-            known[w] = self._word(w)
-        out = [b"".join([known[w] for w in words]) for words in split]
-        for w in missing:
-            if len(w) > LONG_WORD:
-                del known[w]
-        return out
+            return self.pieces[low]
+        return b"".join([self.pieces[p] for p in self.cut(low)])
+
+    def encode(self, text: str) -> bytes:
+        return b"".join(map(self.words.__getitem__, text.replace("\n", " ").split(" ")))
 
 
 def token_pieces(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = 0) -> DataFrame:
@@ -124,7 +121,7 @@ def token_pieces(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_
             sizes = np.diff(np.frombuffer(texts.buffers()[1], np.int32 if pa.types.is_string(texts.type) else np.int64)[texts.offset : texts.offset + len(texts) + 1]) if len(texts) else []
             for i, j in blocks(sizes):
                 rows, piece, start, length, crc = [], [], [], [], []
-                for k, ids in enumerate(encoder.encode(texts.slice(i, j - i).to_pylist())):
+                for k, ids in enumerate(map(encoder.encode, texts.slice(i, j - i).to_pylist())):
                     ids += end
                     for p, lo in enumerate(range(0, len(ids), 4 * capacity)):
                         part = ids[lo : lo + 4 * capacity]
