@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chronoloom.llm import decontamination, exact_dedup, near_dedup, packing, quality, toxicity, url_filter
+from chronoloom.llm import decontamination, exact_dedup, near_dedup, packing, quality, suffix_dedup, toxicity, url_filter
 from chronoloom.llm.common import table
 
 
@@ -41,6 +41,10 @@ def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_groups(table(spark, sf_dir, "documents"))
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 URL_RULES = [url_filter.parse_rule(*x) for x in (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))]
 
 
@@ -80,4 +84,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_exact_dedup": op7_exact_dedup,
     "op8_url_filter": op8_url_filter,
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
+    "op10_suffix_dedup": op10_suffix_dedup,
 }
