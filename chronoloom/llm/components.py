@@ -37,7 +37,7 @@ def components(edges: DataFrame) -> DataFrame:
     edges = materialize(clean(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))), "cc-edges")
     before = state(edges)
     while before[0]:
-        edges = materialize(clean(_small_star(clean(_large_star(edges)))), "cc-edges")
+        edges = materialize(clean(_small_star(_large_star(edges).filter("u <> v"))), "cc-edges")
         after = state(edges)
         if after == before:
             break

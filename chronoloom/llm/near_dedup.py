@@ -5,13 +5,16 @@
    no band with probability (1 - 0.75**4)**32 = 5e-6.
 2. Documents with equal sets form one class at once, and its smallest id stands for it, so copies cost
    nothing further.
-3. In every band bucket the representatives are compared with one centre: first the smallest id, later a
-   random member. A comparison checks the minima's agreement (under 0.55 is more than five standard
-   deviations below 0.75), then the full sets. Verified links are joined to components by alternating
+3. In every band bucket the representatives are compared with a centre: first the smallest id, then
+   random members. A comparison needs like set sizes and a sketch (one bit of each minimum) whose
+   Hamming distance is within FAR of 128, more than five standard deviations above that of similarity
+   0.75; what passes is verified on the full sets. Links are joined to components by alternating
    large-star and small-star.
-4. Only members of different components are compared further, so a bucket of near copies costs one row a
-   member, not all pairs. When the pairs still open are few against the rows (``OPEN_PAIRS``), or a round
-   ties nothing, the rest of the buckets' pairs across components is compared without any cap.
+4. Only members of different components are compared further, so a bucket of near copies costs some rows
+   a member, not all pairs. When the pairs still open are few against the rows (``OPEN_PAIRS``), or a
+   round has left most of them open, the rest of the buckets' pairs across components is compared without
+   any cap. There a parity sketch of PARITY bits rejects first: it differs in at most as many bits as the
+   sets do in members, so what it rejects is certainly below the similarity.
 
 Defined cases: null and empty texts and texts without words have an empty set, a component of their own,
 and no links; fewer than five words are one shingle; null ids are linked with nothing and have a null
@@ -35,10 +38,12 @@ from chronoloom.llm.hashing import shingle_set, word_hashes
 
 WORDS, PERCENT = 5, 75
 BANDS, ROWS = 32, 4
-#: Least share of equal minima of a pair whose full sets are compared.
-AGREE = 0.55
-#: Star rounds go on while more pairs than this times the bucket rows are open, at most STAR_ROUNDS times.
-OPEN_PAIRS, STAR_ROUNDS = 2, 6
+#: Most differing bits (of BANDS * ROWS) of a pair whose full sets are compared.
+FAR = 36
+#: Rounds with CENTRES random centres a bucket go on while more pairs than this times the bucket rows are open.
+OPEN_PAIRS, STAR_ROUNDS, CENTRES = 1.0, 4, 6
+#: Bits of the parity sketch.
+PARITY = 1024
 
 _rng = np.random.default_rng(2024)
 _MULT = _rng.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -69,6 +74,14 @@ def minima(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def parities(sets: list[np.ndarray]) -> np.ndarray:
+    """Parity sketches (texts x PARITY / 64)."""
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    bit = (np.concatenate([*sets, np.zeros(0, np.uint64)]) % np.uint64(PARITY)).astype(np.int64)
+    odd = np.bincount(owner * PARITY + bit, minlength=len(sets) * PARITY).reshape(len(sets), PARITY) & 1
+    return np.packbits(odd.astype(bool), axis=1).view(np.int64)
+
+
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         off, data = buffers(batch.column("text"))
@@ -77,16 +90,17 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             full = [k for k, s in enumerate(sets) if len(s)]
             keys = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
             bands: list = [None] * len(sets)
-            sigs: list = [None] * len(sets)
+            low, high = np.zeros(len(sets), np.uint64), np.zeros(len(sets), np.uint64)
             if full:
                 m = minima([sets[k] for k in full])
                 banded = signed(_band_keys(m))
-                short = (mix64(m) & np.uint64(0xFFFF)).astype("<u2")
+                bits = np.packbits((mix64(m) & np.uint64(1)).astype(bool), axis=1).view(np.uint64) if m.size else np.zeros((0, 2), np.uint64)
+                low[full], high[full] = bits[:, 0], bits[:, 1]
                 for r, k in enumerate(full):
-                    bands[k], sigs[k] = banded[r], short[r].tobytes()
+                    bands[k] = banded[r]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id").slice(i, j - i), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sigs, pa.binary())],
-                ["id", "n", "key", "bands", "sig"],
+                [batch.column("id").slice(i, j - i), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(signed(low)), pa.array(signed(high)), pa.array(list(parities(sets)), pa.list_(pa.int64()))],
+                ["id", "n", "key", "bands", "low", "high", "odd"],
             )
 
 
@@ -99,49 +113,58 @@ def _band_keys(m: np.ndarray) -> np.ndarray:
 
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Keep the pairs (u, v, sigs and texts of both) whose full sets are alike enough."""
+    """Keep the pairs (u, v and the texts of both) whose full sets are alike enough."""
     last: tuple = (None, None)
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        a, b = (np.frombuffer(buffers(batch.column(c))[1][buffers(batch.column(c))[0][0] : buffers(batch.column(c))[0][-1]], "<u2").reshape(batch.num_rows, -1) for c in ("sig_u", "sig_v"))
-        near = np.flatnonzero((a == b).mean(axis=1) >= AGREE)
         (off_u, data_u), (off_v, data_v) = (buffers(batch.column(c)) for c in ("text_u", "text_v"))
         ids, good = batch.column("v"), []
-        for k in near:
-            v = ids[int(k)].as_py()
+        for k in range(batch.num_rows):
+            v = ids[k].as_py()
             if last[0] != v:
                 last = (v, shingle_set(word_hashes(data_v[off_v[k] : off_v[k + 1]])[0], WORDS))
             x, y = shingle_set(word_hashes(data_u[off_u[k] : off_u[k + 1]])[0], WORDS), last[1]
             both = len(np.intersect1d(x, y, assume_unique=True))
             if 100 * both >= PERCENT * (len(x) + len(y) - both):
-                good.append(int(k))
+                good.append(k)
         take = pa.array(good, pa.int64())
         yield pa.RecordBatch.from_arrays([batch.column("u").take(take), batch.column("v").take(take)], ["u", "v"])
 
 
 def _links(pairs: DataFrame, texts: DataFrame, id_type: str) -> DataFrame:
-    u = texts.select(F.col("id").alias("u"), F.col("sig").alias("sig_u"), F.col("text").alias("text_u"))
-    v = texts.select(F.col("id").alias("v"), F.col("sig").alias("sig_v"), F.col("text").alias("text_v"))
+    u, v = (texts.select(F.col("id").alias(x), F.col("text").alias(f"text_{x}")) for x in "uv")
     full = pairs.join(u.hint("merge"), "u").join(v.hint("merge"), "v")
-    return full.select("u", "v", "sig_u", "sig_v", "text_u", "text_v").mapInArrow(_verified, f"u {id_type}, v {id_type}")
+    return full.select("u", "v", "text_u", "text_v").mapInArrow(_verified, f"u {id_type}, v {id_type}")
+
+
+_MEMBER = ("id", "component", "n", "low", "high")
+
+
+def _pairs(a: DataFrame, b: DataFrame, once: bool) -> DataFrame:
+    """Distinct (u, v) of one bucket, of different components, with like sizes and sketches; with ``once``
+    u < v, and parity sketches are compared as well."""
+    columns = (*_MEMBER, "odd") if once else _MEMBER
+    u = a.select("band", "h", *(F.col(c).alias(f"{c}_u") for c in columns))
+    v = b.select("band", "h", *(F.col(c).alias(f"{c}_v") for c in columns))
+    bits = F.bit_count(F.col("low_u").bitwiseXOR(F.col("low_v"))) + F.bit_count(F.col("high_u").bitwiseXOR(F.col("high_v")))
+    sizes = (100 * F.col("n_u") >= PERCENT * F.col("n_v")) & (100 * F.col("n_v") >= PERCENT * F.col("n_u"))
+    alike = (u["band"] == v["band"]) & (u["h"] == v["h"]) & (F.col("component_u") != F.col("component_v")) & sizes & (bits <= FAR)
+    if once:
+        odd = sum((F.bit_count(F.get("odd_u", F.lit(i)).bitwiseXOR(F.get("odd_v", F.lit(i)))) for i in range(PARITY // 64)), F.lit(0))
+        alike = alike & (F.col("id_u") < F.col("id_v")) & ((100 + PERCENT) * odd <= (100 - PERCENT) * (F.col("n_u") + F.col("n_v")))
+    return u.join(v.hint("merge"), alike).select(F.col("id_u").alias("u"), F.col("id_v").alias("v")).distinct()
 
 
-def _centre_pairs(rows: DataFrame, turn: int) -> DataFrame:
-    """(u, v): each member of a bucket and the bucket's centre, where their components differ."""
-    by = F.col("id") if turn == 0 else F.xxhash64("id", F.lit(turn))
-    centre = rows.groupBy("band", "h").agg(F.min_by(F.struct("id", "component"), by).alias("c")) if turn else rows.groupBy("band", "h").agg(F.min("id").alias("v"))
-    if turn:
-        centre = centre.select("band", "h", F.col("c.id").alias("v"), F.col("c.component").alias("cv"))
-        pairs = rows.join(centre.hint("merge"), ["band", "h"]).filter("component <> cv")
-    else:
-        pairs = rows.join(centre.hint("merge"), ["band", "h"]).filter("id <> v")
-    return pairs.select(F.col("id").alias("u"), "v").distinct()
+def _centres(rows: DataFrame, turn: int) -> DataFrame:
+    """The bucket's smallest member, or random ones."""
+    keys = [F.col("id")] if turn == 0 else [F.xxhash64("id", F.lit(turn * CENTRES + k)) for k in range(CENTRES)]
+    one = lambda k, key: F.struct(*(F.col(f"{c}{k}").alias(c) for c in _MEMBER))
+    found = rows.groupBy("band", "h").agg(*(F.min_by(c, key).alias(f"{c}{k}") for k, key in enumerate(keys) for c in _MEMBER))
+    return found.select("band", "h", F.inline(F.array_distinct(F.array(*(one(k, key) for k, key in enumerate(keys))))))
 
 
 def _mixed(rows: DataFrame, found: DataFrame) -> DataFrame:
     """The bucket rows with their components now, of buckets that hold several components."""
-    now = rows.select("band", "h", "id").join(found.hint("merge"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    now = rows.drop("component").join(found.hint("merge"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     several = now.groupBy("band", "h").agg(F.min("component").alias("a"), F.max("component").alias("b")).filter("a <> b").select("band", "h")
     return materialize(now.join(several.hint("merge"), ["band", "h"], "left_semi"), "near-mixed")
 
@@ -150,39 +173,37 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """One row per row of ``docs``: id, n_shingles, component_id (smallest id reachable), kept."""
     texts = id_text(docs, id_col, text_col)
     id_type = texts.schema["id"].dataType.simpleString()
-    signs = materialize(texts.mapInArrow(_signatures, f"id {id_type}, n long, key binary, bands array<long>, sig binary"), "near-signatures")
+    signs = materialize(texts.mapInArrow(_signatures, f"id {id_type}, n long, key binary, bands array<long>, low long, high long, odd array<long>"), "near-signatures")
     named = signs.filter("n > 0 AND id IS NOT NULL")
-    classes = named.groupBy("key").agg(F.min("id").alias("rep"))
+    classes = materialize(named.groupBy("key").agg(F.min("id").alias("rep")), "near-classes")
     heads = named.join(classes.hint("merge"), (named["key"] == classes["key"]) & (named["id"] == classes["rep"]), "left_semi")
-    rows = heads.select("id", F.posexplode("bands").alias("band", "h"))
+    rows = heads.select("id", F.col("id").alias("component"), "n", "low", "high", F.posexplode("bands").alias("band", "h"))
     shared = rows.groupBy("band", "h").agg(F.min("id").alias("a"), F.max("id").alias("b")).filter("a <> b").select("band", "h")
     rows = materialize(rows.join(shared.hint("merge"), ["band", "h"], "left_semi"), "near-buckets")
     members = rows.select("id").distinct()
-    some = heads.select("id", "sig").join(members.hint("merge"), "id", "left_semi").dropDuplicates(["id"])
-    candidates = materialize(texts.join(some.hint("merge"), "id").dropDuplicates(["id"]), "near-texts")
+    candidates = materialize(texts.join(members.hint("merge"), "id", "left_semi").dropDuplicates(["id"]), "near-texts")
 
-    links = materialize(_links(_centre_pairs(rows, 0), candidates, id_type), "near-links")
+    links = materialize(_links(_pairs(rows, _centres(rows, 0), once=False), candidates, id_type), "near-links")
     found = materialize(components(links), "near-components")
+    before = None
     for turn in range(1, STAR_ROUNDS + 2):
         rows = _mixed(rows, found)
         parts = rows.groupBy("band", "h", "component").agg(F.count(F.lit(1)).alias("n")).groupBy("band", "h").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("sq"))
-        size, pairs = parts.agg(F.sum("n"), F.sum((F.col("n") * F.col("n") - F.col("sq")) / 2)).first()
+        size, open_pairs = parts.agg(F.sum("n"), F.sum((F.col("n") * F.col("n") - F.col("sq")) / 2)).first()
         if not size:
             break
-        last = turn > STAR_ROUNDS or pairs <= OPEN_PAIRS * size
+        last = turn > STAR_ROUNDS or open_pairs <= OPEN_PAIRS * size or (before is not None and open_pairs > before / 2)
+        before = open_pairs
         if last:
-            a = rows.select("band", "h", F.col("id").alias("u"), F.col("component").alias("cu"))
-            b = rows.select("band", "h", F.col("id").alias("v"), F.col("component").alias("cv"))
-            ties = a.join(b.hint("merge"), ["band", "h"]).filter("u < v AND cu <> cv").select("u", "v").distinct()
+            odd = heads.select("id", "odd").dropDuplicates(["id"])
+            full = rows.join(odd.hint("merge"), "id")
+            pairs = _pairs(full, full, once=True)
         else:
-            ties = _centre_pairs(rows, turn)
-        more = materialize(_links(ties, candidates, id_type), "near-links")
-        if more.isEmpty():
-            if last:
-                break
-            continue
-        links = links.union(more)
-        found = materialize(components(links), "near-components")
+            pairs = _pairs(rows, _centres(rows, turn), once=False)
+        more = materialize(_links(pairs, candidates, id_type), "near-links")
+        if not more.isEmpty():
+            links = links.union(more)
+            found = materialize(components(links), "near-components")
         if last:
             break
     of_class = classes.join(found.hint("merge"), classes["rep"] == found["id"], "left").select("key", F.coalesce("component", "rep").alias("component"))
