@@ -92,16 +92,36 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def tree_sum(parts: DataFrame, width: int = 16) -> np.ndarray | None:
-    """Sum the float64 vectors in column ``part`` (one binary per partition): first per group of
-    partitions on the executors, then the at most ``width`` group sums on the driver."""
+_SLICE = 256
 
-    def add(key, pdf):
-        import pandas as pd
 
-        total = sum(np.frombuffer(x, np.float64) for x in pdf["part"])
-        return pd.DataFrame({"part": [np.asarray(total).tobytes()]})
+def slices(vector: np.ndarray) -> pa.RecordBatch:
+    """A float64 vector as rows (i, part) of short slices."""
+    v = np.asarray(vector, np.float64).ravel()
+    parts = [v[i : i + _SLICE].tobytes() for i in range(0, len(v), _SLICE)]
+    return pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array(parts, pa.binary())], ["i", "part"])
 
-    grouped = parts.select((F.spark_partition_id() % width).alias("g"), "part").groupBy("g").applyInPandas(add, "part binary")
-    rows = [np.frombuffer(r["part"], np.float64) for r in grouped.collect()]
-    return np.sum(rows, axis=0) if rows else None
+
+SLICES = "i int, part binary"
+
+
+def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total: dict[int, np.ndarray] = {}
+    for b in batches:
+        for i, raw in zip(b.column("i").to_pylist(), b.column("part").to_pylist()):
+            x = np.frombuffer(raw, np.float64)
+            total[i] = total[i] + x if i in total else x
+    if total:
+        yield pa.RecordBatch.from_arrays([pa.array(total, pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], ["i", "part"])
+
+
+def tree_sum(parts: DataFrame) -> np.ndarray | None:
+    """Sum the vectors that partitions gave as ``slices``: first over groups of partitions, then by slice,
+    both on the executors and as a stream; the driver gets one vector."""
+    width = int(parts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    first = parts.withColumn("g", F.spark_partition_id() % width).repartition(width, "g").select("i", "part").mapInArrow(_add, SLICES)
+    rows = first.repartition(8, "i").mapInArrow(_add, SLICES).collect()
+    if not rows:
+        return None
+    by_slice = {r["i"]: np.frombuffer(r["part"], np.float64) for r in rows}
+    return np.concatenate([by_slice[i] for i in sorted(by_slice)])

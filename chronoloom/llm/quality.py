@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronoloom.llm.common import blocks, buffers, id_text, materialize, spaced, tree_sum
+from chronoloom.llm.common import SLICES, blocks, buffers, id_text, materialize, slices, spaced, tree_sum
 from chronoloom.llm.hashing import word_hashes
 
 FEATURES, RIDGE, WIDTH, BINS, THRESHOLD = 384, 1e-3, 0.35, 2000, 0.3
@@ -155,9 +155,9 @@ def fit(stats: DataFrame, labels: DataFrame) -> FourierRidge:
         for b in batches:
             x = _matrix(b.column("stats"))
             total += np.concatenate(([len(x)], x.sum(0), (x * x).sum(0)))
-        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["part"])
+        yield slices(total)
 
-    m = tree_sum(rows.mapInArrow(moments, "part binary"))
+    m = tree_sum(rows.mapInArrow(moments, SLICES))
     if m is None or m[0] == 0:
         return FourierRidge(np.zeros(N_STATS), np.ones(N_STATS))
     mean = m[1 : 1 + N_STATS] / m[0]
@@ -170,9 +170,9 @@ def fit(stats: DataFrame, labels: DataFrame) -> FourierRidge:
         for b in batches:
             z = model.expand(_matrix(b.column("stats")))
             total += z.T @ np.concatenate([z, b.column("y").to_numpy(zero_copy_only=False)[:, None]], axis=1)
-        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["part"])
+        yield slices(total)
 
-    sums = tree_sum(rows.mapInArrow(normal, "part binary")).reshape(d, d + 1)
+    sums = tree_sum(rows.mapInArrow(normal, SLICES)).reshape(d, d + 1)
     model.theta = np.linalg.solve(sums[:, :d] + RIDGE * m[0] * np.eye(d) / d, sums[:, d])
 
     def bins(batches):
@@ -181,9 +181,9 @@ def fit(stats: DataFrame, labels: DataFrame) -> FourierRidge:
             at = np.clip((model.raw(_matrix(b.column("stats"))) + 0.5) / 2 * BINS, 0, BINS - 1).astype(int)
             total[0] += np.bincount(at, minlength=BINS)
             total[1] += np.bincount(at, b.column("y").to_numpy(zero_copy_only=False), minlength=BINS)
-        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["part"])
+        yield slices(total)
 
-    counts = tree_sum(rows.mapInArrow(bins, "part binary")).reshape(2, BINS)
+    counts = tree_sum(rows.mapInArrow(bins, SLICES)).reshape(2, BINS)
     steps = isotonic(*counts)
     centre = np.array([((a + b + 1) / 2) / BINS * 2 - 0.5 for _, _, a, b in steps])
     model.knots = np.concatenate(([min(-1.0, centre[0] - 1)], centre, [max(2.0, centre[-1] + 1)]))
