@@ -31,7 +31,7 @@ from chronoloom.llm.quality import held_out
 
 WINDOW, STEP = 24, 12
 WORD_DIM, GRAM_DIM, HIDDEN = 6, 8, 8
-MOST_TOXIC, MOST_CLEAN = 1500, 3000
+MOST_TOXIC, MOST_CLEAN = 1000, 2000
 MOST_WORDS, MOST_GRAMS = 60_000, 40_000
 EPOCHS, BATCH, RATE = 8, 128, 0.01
 #: Share of words read without their own vector in training; weight decay of the vectors.
@@ -61,16 +61,17 @@ class Words:
         self.ptr = np.concatenate(([0], np.cumsum(n)))
         at = np.repeat(lo[first] - self.ptr[:-1], n) + np.arange(self.ptr[-1])
         self.grams = code[at] if len(at) else np.zeros(0, np.uint32)
+        del low, code, at
         cut = np.searchsorted(lo, starts)
         self.cut, words = cut, np.diff(cut)
         per = np.maximum(1, -(-(words - WINDOW) // STEP) + 1)
         self.first = np.concatenate(([0], np.cumsum(per)))
         owner = np.repeat(np.arange(len(words)), per)
         begin = cut[owner] + (np.arange(self.first[-1]) - self.first[owner]) * STEP
-        at = begin[:, None] + np.arange(WINDOW)
+        at = (begin[:, None] + np.arange(WINDOW)).astype(np.int32)
         self.real = at < cut[owner + 1][:, None]
-        padded = np.append(self.of, len(self.keys))
-        self.windows = padded[np.where(self.real, at, len(self.of))].astype(np.int32)
+        at[~self.real] = len(self.of)
+        self.windows = np.append(self.of, len(self.keys)).astype(np.int32)[at]
 
 
 class Network:
@@ -192,11 +193,16 @@ class Adam:
             p[k] -= np.float32(rate) * (self.m[k] / np.float32(1 - 0.9**self.t)) / (np.sqrt(self.v[k] / np.float32(1 - 0.99**self.t)) + np.float32(1e-6))
 
 
-def _odds(rows: np.ndarray, doc: np.ndarray, y: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Of each row: the smoothed log odds of toxic texts that have it, and how many texts do."""
-    seen = np.unique(rows.astype(np.int64) * len(y) + doc)
-    row, of = seen // len(y), seen % len(y)
-    toxic, clean = np.bincount(row, y[of], n), np.bincount(row, 1 - y[of], n)
+def _odds(rows_of, y: np.ndarray, n: int, step: int = 100) -> tuple[np.ndarray, np.ndarray]:
+    """Of each row: the smoothed log odds of toxic texts that have it, and how many texts do.
+    ``rows_of(i, j)`` gives (rows, text numbers) of the texts i to j; a few are held at a time."""
+    toxic, clean = np.zeros(n), np.zeros(n)
+    for i in range(0, len(y), step):
+        rows, text = rows_of(i, min(i + step, len(y)))
+        seen = np.unique(rows.astype(np.int64) * len(y) + text)
+        row, of = seen // len(y), seen % len(y)
+        np.add.at(toxic, row, y[of])
+        np.add.at(clean, row, 1 - y[of])
     odds = np.log((toxic + 0.5) / (y.sum() + 1)) - np.log((clean + 0.5) / ((1 - y).sum() + 1))
     n_texts = toxic + clean
     return odds * n_texts / (n_texts + 10), n_texts
@@ -208,17 +214,24 @@ def train(texts: list[bytes], y: np.ndarray, share: float, epochs: int = EPOCHS,
     off = np.cumsum([0, *map(len, texts)])
     w = Words(*spaced(off, np.frombuffer(b"".join(texts), np.uint8)))
     y = y.astype(np.float64)
-    doc_of_word = np.repeat(np.arange(len(texts)), np.diff(w.cut))
-    odds, df = _odds(w.of, doc_of_word, y, len(w.keys))
+
+    def words_of(i: int, j: int) -> tuple[np.ndarray, np.ndarray]:
+        return w.of[w.cut[i] : w.cut[j]], np.repeat(np.arange(i, j), np.diff(w.cut[i : j + 1]))
+
+    odds, df = _odds(words_of, y, len(w.keys))
     keep = np.flatnonzero(df >= 3)
     keep = np.sort(keep[np.argsort(-df[keep], kind="stable")[:MOST_WORDS]])
     codes, gram_of = np.unique(w.grams, return_inverse=True)
-    n = np.diff(w.ptr)[w.of]
-    at = np.repeat(w.ptr[w.of] - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
-    gram_odds, gram_df = _odds(gram_of[at], np.repeat(doc_of_word, n), y, len(codes))
+
+    def grams_of(i: int, j: int) -> tuple[np.ndarray, np.ndarray]:
+        words, text = words_of(i, j)
+        n = (w.ptr[words + 1] - w.ptr[words]).astype(np.int64)
+        at = np.repeat(w.ptr[words] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        return gram_of[at], np.repeat(text, n)
+
+    gram_odds, gram_df = _odds(grams_of, y, len(codes))
     keep_grams = np.flatnonzero(gram_df >= 4)
     keep_grams = np.sort(keep_grams[np.argsort(-gram_df[keep_grams], kind="stable")[:MOST_GRAMS]])
-    del at, n
     net = Network(w.keys[keep], codes[keep_grams], rng)
     # the first number of a vector starts at the log odds, which the passes then refine
     net.p["word"][1:, 0] = np.clip(odds[keep], -3, 3) / 2
