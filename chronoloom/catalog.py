@@ -1,14 +1,254 @@
-"""Registered trace queries and their SQL."""
+"""Registered trace queries and their SQL.
+
+Every query reads the driver's ``events`` table, from which ``fixtures`` renders traces of one session
+per user. The SQL never sees the text of the lines: it starts from the columns they were rendered from.
+"""
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from chronoloom import fixtures, oracle
+from chronoloom.functions.parse import format_log_line
+from chronoloom.operators import monitors, registry
+from chronoloom.operators import replay as rp
+from chronoloom.plans import derived, route, timeline
+from chronoloom.sources import logs
+
+
+def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/events.parquet")
+
+
+def _raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """raw_logs of the scrambled trace."""
+    return route.render_event_lines(fixtures.scrambled_events(_events(spark, sf_dir)))
+
+
+def _scratch(spark: SparkSession, name: str) -> str:
+    return f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='spark-trace-')}/{name}-{uuid.uuid4().hex}"
+
+
+def _kept(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once, for what reads it several times."""
+    path = _scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _log_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return route.route_lines(_raw(spark, sf_dir))[0]
+
+
+def _typed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _kept(_log_events(spark, sf_dir), "events")
+
+
+def _replayed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rp.replay(_typed_events(spark, sf_dir))
+
+
+def _well_formed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fixtures.well_formed_lines(_events(spark, sf_dir))
+
+
+def _symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Symbols of the first scrambled executor and of the tasks, with a duplicate, an empty and a null address."""
+    rows = _events(spark, sf_dir).select(F.explode(F.array(
+        F.struct(F.lit(1073610704).cast("long").alias("address"), F.lit("app::old").alias("symbol"), F.lit(1).cast("long").alias("ord")),
+        F.struct(F.lit(1073610704).cast("long").alias("address"), F.lit("app::executor_lo::POOL::h0").alias("symbol"), F.lit(2).cast("long").alias("ord")),
+        F.struct(F.lit(0).cast("long").alias("address"), F.lit("nowhere").alias("symbol"), F.lit(3).cast("long").alias("ord")),
+        F.struct(F.lit(1073610720).cast("long").alias("address"), F.lit("").alias("symbol"), F.lit(4).cast("long").alias("ord")),
+    )).alias("s")).select(F.lit("b").alias("build_id"), "s.*")
+    return registry.load_symbols(rows)
+
+
+def _span_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rp.state_spans(_replayed(spark, sf_dir))
+
+
+def render_event_lines(spark, sf_dir):
+    return _raw(spark, sf_dir)
+
+
+def parse_log_lines(spark, sf_dir):
+    return route.parse_log_lines(_raw(spark, sf_dir)).select("session_id", "seq", "ts_us", "level", "message")
+
+
+def parse_params(spark, sf_dir):
+    return route.parsed(_raw(spark, sf_dir)).select("session_id", "seq", F.size("params").alias("n_params"), F.try_element_at("params", F.lit("executor_id")).alias("executor_id"), F.try_element_at("params", F.lit("core_id")).alias("core_id"), F.try_element_at("params", F.lit("function_name")).alias("function_name"))
+
+
+def decode_event(spark, sf_dir):
+    return _log_events(spark, sf_dir)
+
+
+def route_lines(spark, sf_dir):
+    rows = route.parsed(_well_formed(spark, sf_dir))
+    kind = F.when(F.col("kind").isNotNull(), "event").when(F.col("reject_reason").isNull(), "log").otherwise("reject")
+    return rows.groupBy("session_id", kind.alias("route")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def reject_reason(spark, sf_dir):
+    return route.route_lines(_well_formed(spark, sf_dir))[2]
+
+
+def format_lines(spark, sf_dir):
+    lines = route.route_lines(_well_formed(spark, sf_dir))[1]
+    return lines.select("session_id", "seq", format_log_line(F.col("ts_us"), F.col("level"), F.col("message")).alias("line"))
+
+
+def core_registry(spark, sf_dir):
+    return registry.core_registry(_log_events(spark, sf_dir))
+
+
+def executor_registry(spark, sf_dir):
+    return registry.executor_registry(_log_events(spark, sf_dir))
+
+
+def task_registry(spark, sf_dir):
+    return registry.task_registry(_typed_events(spark, sf_dir))
+
+
+def load_symbols(spark, sf_dir):
+    return _symbols(spark, sf_dir)
+
+
+def resolve_symbols(spark, sf_dir):
+    known = registry.executor_registry(_log_events(spark, sf_dir)).withColumn("build_id", F.lit("b"))
+    return registry.resolve_symbols(known, _symbols(spark, sf_dir), "executor_id", "Executor").select("session_id", "core_id", "executor_id", "display_name")
+
+
+def route_events_to_cores(spark, sf_dir):
+    events = _typed_events(spark, sf_dir)
+    return registry.route_events_to_cores(events, registry.executor_registry(events)).select("session_id", "seq", "kind", F.col("target_core").cast("long").alias("target_core"))
+
+
+def executor_transitions(spark, sf_dir):
+    return rp.executor_transitions(_replayed(spark, sf_dir))
+
+
+def task_transitions(spark, sf_dir):
+    return rp.task_transitions(_replayed(spark, sf_dir))
+
+
+def core_occupancy(spark, sf_dir):
+    return rp.core_occupancy(_replayed(spark, sf_dir))
+
+
+def attribute_metrics(spark, sf_dir):
+    return rp.attribute_metrics(_replayed(spark, sf_dir))
+
+
+def state_spans(spark, sf_dir):
+    return _span_rows(spark, sf_dir)
+
+
+def monitor_events(spark, sf_dir):
+    return monitors.monitor_events(_log_events(spark, sf_dir))
+
+
+def monitor_spans(spark, sf_dir):
+    return monitors.monitor_spans(_log_events(spark, sf_dir))
+
+
+def metric_counters(spark, sf_dir):
+    return monitors.metric_counters(_log_events(spark, sf_dir))
+
+
+def log_instants(spark, sf_dir):
+    lines = route.route_lines(_well_formed(spark, sf_dir))[1]
+    return timeline.to_json(timeline.log_instants(lines)).select("session_id", "seq", "json")
+
+
+def _records(spark, sf_dir) -> DataFrame:
+    both = _raw(spark, sf_dir).unionByName(_well_formed(spark, sf_dir).withColumn("session_id", F.col("session_id") + 1_000_000))
+    rows = _kept(route.parsed(both), "parsed")
+    events = rows.filter("kind IS NOT NULL").select("session_id", "seq", "ts_us", "core_id", "kind", "executor_id", "task_id", "name", "value")
+    lines = rows.filter("kind IS NULL AND reject_reason IS NULL")
+    return timeline.trace_events(events, lines, _kept(rp.replay(events), "replayed"), _symbols(spark, sf_dir), "b")
+
+
+def trace_metadata(spark, sf_dir):
+    events = _typed_events(spark, sf_dir)
+    executors = registry.executor_registry(events)
+    rows = timeline.trace_metadata(registry.core_registry(events), executors, registry.task_registry(events, executors), _symbols(spark, sf_dir), "b")
+    return rows.select("session_id", "seq", "name", "pid", "tid", F.try_element_at("args", F.lit("name")).alias("label"))
+
+
+def trace_events(spark, sf_dir):
+    """Records of each kind."""
+    return _records(spark, sf_dir).groupBy("session_id", "ph").agg(F.count(F.lit(1)).alias("n"))
+
+
+def write_trace_json(spark, sf_dir):
+    """The documents are written and read back: lines and records per session."""
+    path = _scratch(spark, "timeline")
+    logs.write_trace_json(_records(spark, sf_dir), path)
+    rows = spark.read.text(path)
+    return rows.groupBy("session_id").agg(F.count(F.lit(1)).alias("n_lines"), F.sum(F.col("value").startswith("\t").cast("long")).alias("n_records"))
+
+
+def read_logs(spark, sf_dir):
+    """Lines written by session, one file each, and read back in order."""
+    path = _scratch(spark, "logs")
+    raw = _raw(spark, sf_dir)
+    raw.repartition(8, "session_id").sortWithinPartitions("session_id", "seq").select("session_id", "line").write.partitionBy("session_id").text(path)
+    return logs.read_logs(spark, path)
+
+
+def stream_trace(spark, sf_dir):
+    """The scrambled trace as a stream of one file, replayed by the stateful processor."""
+    from chronoloom.streaming.trace import stream_trace as start
+
+    source, sink = _scratch(spark, "stream-in"), _scratch(spark, "stream-out")
+    _raw(spark, sf_dir).write.parquet(source)
+    stream = start(logs.read_log_stream(spark, "parquet", {}, source))
+    query = stream.writeStream.format("parquet").option("path", sink).option("checkpointLocation", _scratch(spark, "stream-state")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return rp.executor_transitions(spark.read.schema(stream.schema).parquet(sink))
+
+
+def state_durations(spark, sf_dir):
+    return derived.state_durations(_span_rows(spark, sf_dir))
+
+
+def core_utilization(spark, sf_dir):
+    events = _typed_events(spark, sf_dir)
+    return derived.core_utilization(rp.occupancy_spans(rp.replay(events)), events)
+
+
+def function_stats(spark, sf_dir):
+    return derived.function_stats(monitors.monitor_spans(_log_events(spark, sf_dir)))
+
+
+def preemption_matrix(spark, sf_dir):
+    return derived.preemption_matrix(_span_rows(spark, sf_dir))
+
+
+def metric_windows(spark, sf_dir):
+    return derived.metric_windows(monitors.metric_counters(_log_events(spark, sf_dir)), "100 milliseconds")
+
+
+def trace_quality(spark, sf_dir):
+    rows = _kept(route.parsed(_well_formed(spark, sf_dir)), "parsed")
+    return derived.trace_quality(rows, rows.filter("kind IS NOT NULL"))
+
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
+_ALL = (
+    render_event_lines, parse_log_lines, parse_params, decode_event, route_lines, reject_reason, format_lines, core_registry, executor_registry, task_registry, load_symbols,
+    resolve_symbols, route_events_to_cores, executor_transitions, task_transitions, core_occupancy, attribute_metrics, state_spans, monitor_events, monitor_spans, metric_counters,
+    log_instants, trace_metadata, trace_events, write_trace_json, read_logs, stream_trace, state_durations, core_utilization, function_stats, preemption_matrix, metric_windows, trace_quality,
+)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
+SQL = oracle.SQL
 
 
 def entry(spark: SparkSession) -> DataFrame:
-    raise NotImplementedError
+    """Flagship: spans of executors and tasks with their durations."""
+    return state_spans(spark, "/root/testdata/sf0.001")
