@@ -226,5 +226,5 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """The rows of ``docs`` in which no item is found, with all their columns."""
-    found = matches(docs, benchmark, id_col, text_col, item_col, item_text).select(F.col("id").alias("found_id")).distinct()
-    return docs.join(found.hint("merge"), docs[id_col].eqNullSafe(F.col("found_id")), "left_anti")
+    found = matches(docs, benchmark, id_col, text_col, item_col, item_text).select(F.col("id").alias("__found_id")).distinct()
+    return docs.join(found.hint("merge"), docs[id_col].eqNullSafe(F.col("__found_id")), "left_anti")
