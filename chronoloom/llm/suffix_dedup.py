@@ -38,8 +38,8 @@ from chronoloom.llm.common import BLOCK, blocks, buffers, id_text, materialize,
 from chronoloom.llm.hashing import PrefixHash
 
 LENGTH, GRAM = 400, 64
-#: Different runs of one anchor that a task compares at once.
-MOST_RUNS = 512
+#: Different runs of one anchor that a task compares at once: about 6 MB of bytes and 1.4 million windows.
+MOST_RUNS = 8192
 _POS = np.uint64((1 << 21) - 1)
 
 
