@@ -34,6 +34,8 @@ WORD_DIM, GRAM_DIM, HIDDEN = 6, 8, 8
 MOST_TOXIC, MOST_CLEAN = 1000, 2000
 MOST_WORDS, MOST_GRAMS = 60_000, 40_000
 EPOCHS, BATCH, RATE = 8, 128, 0.01
+#: Passes over few rows are repeated until so many steps are made.
+LEAST_STEPS = 190
 #: Share of words read without their own vector in training; weight decay of the vectors.
 DROPPED, DECAY = 0.3, 1e-5
 THRESHOLD = 0.5
@@ -241,8 +243,10 @@ def train(texts: list[bytes], y: np.ndarray, share: float, epochs: int = EPOCHS,
     hint = np.where(w.real, (x[:, 0] + x[:, WORD_DIM])[w.windows], -9).max(1)
     adam, positive = Adam(net.p), max(1.0, y.sum())
     weight = np.where(y == 1, (len(y) - y.sum()) / positive, 1.0)
+    epochs = max(epochs, -(-LEAST_STEPS // -(-len(y) // BATCH)))
+    every = max(2, epochs // 4)
     for epoch in range(epochs):
-        if epoch % 2 == 0:
+        if epoch % every == 0:
             value = hint if epoch == 0 else net.logits(w)
             top = w.first[:-1] + np.array([int(value[a:b].argmax()) for a, b in zip(w.first, w.first[1:])])
         order = rng.permutation(len(y))
