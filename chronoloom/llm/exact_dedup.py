@@ -18,7 +18,7 @@ result; other columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -75,7 +75,7 @@ def _cuts_of_block(data: np.ndarray, off: np.ndarray) -> Iterator[list[int]]:
         yield ends if ends and ends[-1] == n else [*ends, n]
 
 
-def _recipes(batch: pa.RecordBatch) -> Iterator[tuple[int, list[bytes], list[int]]]:
+def _recipes(batch: pa.RecordBatch, digest: Callable[[bytes], int]) -> Iterator[tuple[int, list[bytes], list[int]]]:
     """(row, chunks, hashes) of every text of a batch."""
     off, data = buffers(batch.column("text"))
     for i, j in blocks(np.diff(off)):
@@ -86,15 +86,15 @@ def _recipes(batch: pa.RecordBatch) -> Iterator[tuple[int, list[bytes], list[int
         for k, ends in enumerate(cuts):
             lo = int(rel[k])
             chunks = [raw[lo + a : lo + b] for a, b in zip([0, *ends[:-1]], ends)]
-            hashes = [xxhash.xxh3_64_intdigest(c) for c in chunks]
+            hashes = [digest(c) for c in chunks]
             yield i + k, chunks, [h - (1 << 64) if h >> 63 else h for h in hashes]
 
 
-def _chunk_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _chunk_rows(batches: Iterator[pa.RecordBatch], digest: Callable[[bytes], int]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         seen: dict[bytes, int] = {}
         size = 0
-        for _, chunks, hashes in _recipes(batch):
+        for _, chunks, hashes in _recipes(batch, digest):
             for c, h in zip(chunks, hashes):
                 if c not in seen:
                     seen[c] = h
@@ -106,32 +106,36 @@ def _chunk_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(list(seen.values()), pa.int64()), pa.array(list(seen), pa.binary())], ["h", "chunk"])
 
 
-def _recipe_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _recipe_rows(batches: Iterator[pa.RecordBatch], digest: Callable[[bytes], int], columns: tuple[str, ...]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        lists = [hashes for _, _, hashes in _recipes(batch)]
-        yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("sha"), pa.array(lists, pa.list_(pa.int64()))], ["id", "sha", "recipe"])
+        lists = [hashes for _, _, hashes in _recipes(batch, digest)]
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(lists, pa.list_(pa.int64()))], [*columns, "recipe"])
 
 
-def ambiguous_hashes(texts: DataFrame) -> DataFrame:
+def ambiguous_hashes(texts: DataFrame, digest: Callable[[bytes], int]) -> DataFrame:
     """Chunk hashes that stand for more than one content."""
-    chunks = texts.mapInArrow(_chunk_rows, "h long, chunk binary")
+    chunks = texts.mapInArrow(lambda b: _chunk_rows(b, digest), "h long, chunk binary")
     contents = chunks.groupBy("h", "chunk").count().select("h")
     return contents.groupBy("h").count().filter("count > 1").select("h")
 
 
-def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: id, keep_id (largest id of the equal texts), group_size, kept, text_sha256."""
+def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest: Callable[[bytes], int] = xxhash.xxh3_64_intdigest) -> DataFrame:
+    """One row per row of ``docs``: id, keep_id (largest id of the equal texts), group_size, kept, text_sha256.
+    ``digest`` gives the 64-bit hash of a chunk; its collisions cost time, never a wrong group."""
     texts = id_text(docs, id_col, text_col)
     id_type = texts.schema["id"].dataType.simpleString()
-    doubtful = materialize(ambiguous_hashes(texts), "dedup-ambiguous")
-    lists = materialize(texts.withColumn("sha", F.sha2("text", 256)).mapInArrow(_recipe_rows, f"id {id_type}, sha string, recipe array<long>"), "dedup-recipes")
+    doubtful = materialize(ambiguous_hashes(texts, digest), "dedup-ambiguous")
+    texts = texts.withColumn("sha", F.sha2("text", 256))
+    kind = f"id {id_type}, sha string"
+    lists = texts.mapInArrow(lambda b: _recipe_rows(b, digest, ("id", "sha")), f"{kind}, recipe array<long>")
+    lists = materialize(lists.withColumn("key", F.xxhash64("recipe")), "dedup-recipes")
     if doubtful.isEmpty():
         lists = lists.withColumn("exact", F.lit(None).cast("binary"))
     else:
-        unsure = lists.select("id", F.explode("recipe").alias("h")).join(doubtful, "h", "left_semi").select("id").distinct()
-        whole = texts.join(unsure, "id", "left_semi").select("id", F.col("text").alias("exact"))
-        lists = lists.join(whole, "id", "left")
-    lists = lists.withColumn("key", F.xxhash64("recipe"))
+        # lists that hold a doubtful identifier are compared with their texts
+        unsure = lists.select("key", F.explode("recipe").alias("h")).join(doubtful, "h", "left_semi").select(F.col("key").alias("unsure")).distinct()
+        whole = texts.mapInArrow(lambda b: _recipe_rows(b, digest, ("id", "sha", "text")), f"{kind}, text binary, recipe array<long>").withColumn("key", F.xxhash64("recipe"))
+        lists = whole.join(unsure.hint("merge"), whole["key"] == unsure["unsure"], "left").withColumn("exact", F.when(F.col("unsure").isNotNull(), F.col("text"))).drop("text", "unsure")
     groups = lists.groupBy("key", "recipe", "exact").agg(F.max("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
     same = (lists["key"] == groups["key"]) & (lists["recipe"] == groups["recipe"]) & lists["exact"].eqNullSafe(groups["exact"])
     return lists.join(groups.hint("merge"), same).select(
