@@ -31,11 +31,11 @@ from pyspark.sql import functions as F
 from chronoloom.llm.common import SLICES, blocks, buffers, id_text, materialize, signed, slices, spaced, tree_sum
 from chronoloom.llm.hashing import word_hashes
 
-KNOWN, RARE, CLASSES = 1536, 512, 64
+KNOWN, RARE, CLASSES = 1536, 512, 32
 TOKENS = KNOWN + RARE
 PER_CLASS = TOKENS // CLASSES
-SIDE, DIM, HIDDEN = 3, 12, 24
-ROUNDS, BATCH, RATE = 2, 4096, 0.01
+SIDE, DIM, HIDDEN = 3, 8, 16
+ROUNDS, BATCH, RATE = 2, 8192, 0.01
 _BLOCK = 1 << 19
 
 
@@ -57,7 +57,7 @@ def contexts(tokens: np.ndarray, cut: np.ndarray) -> np.ndarray:
     """The 2 * SIDE neighbours of every token of neighbouring texts; TOKENS beyond a text's ends."""
     n = len(tokens)
     text = np.repeat(np.arange(len(cut) - 1), np.diff(cut))
-    at, out = np.arange(n), np.full((n, 2 * SIDE), TOKENS, np.int64)
+    at, out = np.arange(n), np.full((n, 2 * SIDE), TOKENS, np.int16)
     for k, d in enumerate([*range(-SIDE, 0), *range(1, SIDE + 1)]):
         p = at + d
         ok = (p >= cut[text]) & (p < cut[text + 1])
@@ -103,12 +103,18 @@ class WindowNetwork:
         at = np.searchsorted(cls[order], np.arange(CLASSES + 1))
         return [(k, order[at[k] : at[k + 1]]) for k in range(CLASSES) if at[k + 1] > at[k]]
 
+    @staticmethod
+    def _log_softmax_at(z: np.ndarray, at: np.ndarray) -> np.ndarray:
+        z -= z.max(1, keepdims=True)
+        own = z[np.arange(len(at)), at]
+        np.exp(z, out=z)
+        return own - np.log(z.sum(1))
+
     def log_probabilities(self, ctx: np.ndarray, tokens: np.ndarray) -> np.ndarray:
         _, h = self.hidden(ctx)
-        out = np.log(np.maximum(self._softmax(h @ self.p["C"] + self.p["c"])[np.arange(len(tokens)), tokens // PER_CLASS], 1e-30)).astype(np.float64)
+        out = self._log_softmax_at(h @ self.p["C"] + self.p["c"], tokens // PER_CLASS).astype(np.float64)
         for k, rows in self._by_class(tokens):
-            q = self._softmax(h[rows] @ self.p["V"][k] + self.p["v"][k])
-            out[rows] += np.log(np.maximum(q[np.arange(len(rows)), tokens[rows] % PER_CLASS], 1e-30))
+            out[rows] += self._log_softmax_at(h[rows] @ self.p["V"][k] + self.p["v"][k], tokens[rows] % PER_CLASS)
         return out
 
     def gradients(self, ctx: np.ndarray, tokens: np.ndarray) -> dict[str, np.ndarray]:
@@ -130,7 +136,10 @@ class WindowNetwork:
         g["W"], g["b"] = x.T @ dz, dz.sum(0)
         dx = (dz @ self.p["W"].T).reshape(-1, DIM)
         flat = ctx.ravel()
-        g["E"] = np.stack([np.bincount(flat, dx[:, j], TOKENS + 1) for j in range(DIM)], axis=1).astype(np.float32)
+        order = np.argsort(flat, kind="stable")
+        first = np.flatnonzero(np.concatenate(([True], flat[order][1:] != flat[order][:-1])))
+        g["E"] = np.zeros_like(self.p["E"])
+        g["E"][flat[order][first]] = np.add.reduceat(dx[order], first)
         return g
 
 
@@ -219,7 +228,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model
                 ctx = contexts(tokens, cut)
                 lp = np.concatenate([*(net.log_probabilities(ctx[k : k + BATCH], tokens[k : k + BATCH]) for k in range(0, len(tokens), BATCH)), np.zeros(0)])
                 sums = np.bincount(np.repeat(np.arange(j - i), np.diff(cut)), lp, j - i)
-                yield pa.RecordBatch.from_arrays([batch.column("id").slice(i, j - i), pa.array(np.diff(cut)), pa.array(sums)], ["id", "n_tokens", "log_likelihood"])
+                yield pa.RecordBatch.from_arrays([batch.column("id").slice(i, j - i), pa.array(np.diff(cut), pa.int64()), pa.array(sums.astype(np.float64))], ["id", "n_tokens", "log_likelihood"])
 
     out = texts.mapInArrow(run, f"id {texts.schema['id'].dataType.simpleString()}, n_tokens long, log_likelihood double")
     return out.select(F.col("id").alias(id_col), "n_tokens", "log_likelihood", (F.col("log_likelihood") / F.when(F.col("n_tokens") > 0, F.col("n_tokens"))).alias("mean_log_likelihood"))
