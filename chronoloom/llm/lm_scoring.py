@@ -21,7 +21,8 @@ ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import itertools
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -96,12 +97,22 @@ class WindowNetwork:
         z /= z.sum(1, keepdims=True)
         return z
 
-    def _by_class(self, tokens: np.ndarray):
-        """Rows of each class, as (class, rows)."""
-        cls = tokens // PER_CLASS
+    @staticmethod
+    def _by_class(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int, int]]]:
+        """The order of rows by class, the classes in that order, and (class, from, to) of each one there."""
+        cls = (tokens // PER_CLASS).astype(np.uint8)
         order = np.argsort(cls, kind="stable")
-        at = np.searchsorted(cls[order], np.arange(CLASSES + 1))
-        return [(k, order[at[k] : at[k + 1]]) for k in range(CLASSES) if at[k + 1] > at[k]]
+        cls = cls[order]
+        at = np.searchsorted(cls, np.arange(CLASSES + 1))
+        return order, cls, [(k, at[k], at[k + 1]) for k in range(CLASSES) if at[k + 1] > at[k]]
+
+    def _within(self, h: np.ndarray, cls: np.ndarray, runs: list[tuple[int, int, int]]) -> np.ndarray:
+        """Scores of the words of each row's class; rows are in the order of classes."""
+        z = np.empty((len(h), PER_CLASS), np.float32)
+        for k, i, j in runs:
+            np.matmul(h[i:j], self.p["V"][k], out=z[i:j])
+        z += self.p["v"][cls]
+        return z
 
     @staticmethod
     def _log_softmax_at(z: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -113,33 +124,38 @@ class WindowNetwork:
     def log_probabilities(self, ctx: np.ndarray, tokens: np.ndarray) -> np.ndarray:
         _, h = self.hidden(ctx)
         out = self._log_softmax_at(h @ self.p["C"] + self.p["c"], tokens // PER_CLASS).astype(np.float64)
-        for k, rows in self._by_class(tokens):
-            out[rows] += self._log_softmax_at(h[rows] @ self.p["V"][k] + self.p["v"][k], tokens[rows] % PER_CLASS)
+        order, cls, runs = self._by_class(tokens)
+        out[order] += self._log_softmax_at(self._within(h[order], cls, runs), tokens[order] % PER_CLASS)
         return out
 
     def gradients(self, ctx: np.ndarray, tokens: np.ndarray) -> dict[str, np.ndarray]:
-        n = np.float32(len(tokens))
+        n, rows = np.float32(len(tokens)), np.arange(len(tokens))
         x, h = self.hidden(ctx)
         q = self._softmax(h @ self.p["C"] + self.p["c"])
-        q[np.arange(len(tokens)), tokens // PER_CLASS] -= 1
+        q[rows, tokens // PER_CLASS] -= 1
         q /= n
         g = {"C": h.T @ q, "c": q.sum(0), "V": np.zeros_like(self.p["V"]), "v": np.zeros_like(self.p["v"])}
         dh = q @ self.p["C"].T
-        for k, rows in self._by_class(tokens):
-            own = h[rows]
-            r = self._softmax(own @ self.p["V"][k] + self.p["v"][k])
-            r[np.arange(len(rows)), tokens[rows] % PER_CLASS] -= 1
-            r /= n
-            g["V"][k], g["v"][k] = own.T @ r, r.sum(0)
-            dh[rows] += r @ self.p["V"][k].T
+        order, cls, runs = self._by_class(tokens)
+        own = h[order]
+        r = self._softmax(self._within(own, cls, runs))
+        r[rows, tokens[order] % PER_CLASS] -= 1
+        r /= n
+        back = np.empty_like(own)
+        for k, i, j in runs:
+            np.matmul(own[i:j].T, r[i:j], out=g["V"][k])
+            np.matmul(r[i:j], self.p["V"][k].T, out=back[i:j])
+        g["v"][[k for k, _, _ in runs]] = np.add.reduceat(r, [i for _, i, _ in runs])
+        dh[order] += back
         dz = dh * (1 - h * h)
         g["W"], g["b"] = x.T @ dz, dz.sum(0)
         dx = (dz @ self.p["W"].T).reshape(-1, DIM)
         flat = ctx.ravel()
         order = np.argsort(flat, kind="stable")
-        first = np.flatnonzero(np.concatenate(([True], flat[order][1:] != flat[order][:-1])))
+        at = flat[order]
+        first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
         g["E"] = np.zeros_like(self.p["E"])
-        g["E"][flat[order][first]] = np.add.reduceat(dx[order], first)
+        g["E"][at[first]] = np.add.reduceat(dx[order], first)
         return g
 
 
@@ -161,10 +177,13 @@ class Trainer:
             self.net.p[k] -= rate * self.m[k] / (np.sqrt(self.v[k]) + np.float32(1e-8))
 
 
-def _tokenised(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(from row, to row, word hashes, where each text's words begin) of the blocks of a batch."""
+def _tokenised(batch: pa.RecordBatch, wanted: Callable[[], bool] = lambda: True) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(from row, to row, word hashes, where each text's words begin) of the blocks of a batch; ``wanted``
+    is asked at each block."""
     off, data = buffers(batch.column("text"))
     for i, j in blocks(np.diff(off), _BLOCK):
+        if not wanted():
+            continue
         row, starts = spaced(off[i : j + 1], data)
         h, at = word_hashes(row)
         yield i, j, h, np.searchsorted(at, starts)
@@ -197,11 +216,10 @@ def fit(texts: DataFrame, rounds: int = ROUNDS) -> tuple[Vocabulary, WindowNetwo
     for turn in range(rounds):
 
         def learn(batches: Iterator[pa.RecordBatch], turn: int = turn) -> Iterator[pa.RecordBatch]:
-            trainer, k = Trainer(net), 0
+            trainer, number = Trainer(net), itertools.count(1)
             for batch in batches:
-                for _, _, h, cut in _tokenised(batch):
-                    k += 1
-                    if k % rounds != turn or not len(h):
+                for _, _, h, cut in _tokenised(batch, lambda: next(number) % rounds == turn):
+                    if not len(h):
                         continue
                     tokens = words.tokens(h)
                     ctx = contexts(tokens, cut)
