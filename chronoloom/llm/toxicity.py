@@ -56,14 +56,15 @@ class Words:
     def __init__(self, data: np.ndarray, starts: np.ndarray):
         h, lo, hi = words_at(data, NOT_ALNUM)
         self.keys, first, self.of = np.unique(h, return_index=True, return_inverse=True)
-        low = np.where(NOT_ALNUM[data], 32, LOWER[data]).astype(np.uint32)
-        low = np.concatenate(([32], low, [32, 32, 32])).astype(np.uint32)  # position p of data is p + 1 here
-        code = low[:-3] << 24 | low[1:-2] << 16 | low[2:-1] << 8 | low[3:]
+        low = np.full(len(data) + 4, 32, np.uint8)
+        low[1:-3] = np.where(NOT_ALNUM[data], 32, LOWER[data])  # position p of data is p + 1 here
         n = np.maximum(hi - lo - 1, 1)[first]
         self.ptr = np.concatenate(([0], np.cumsum(n)))
         at = np.repeat(lo[first] - self.ptr[:-1], n) + np.arange(self.ptr[-1])
-        self.grams = code[at] if len(at) else np.zeros(0, np.uint32)
-        del low, code, at
+        self.grams = np.zeros(len(at), np.uint32)
+        for k in range(4):
+            self.grams = self.grams << np.uint32(8) | low[at + k]
+        del h, low, at
         cut = np.searchsorted(lo, starts)
         self.cut, words = cut, np.diff(cut)
         per = np.maximum(1, -(-(words - WINDOW) // STEP) + 1)
@@ -274,16 +275,17 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str, text_co
     counts = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not counts.get(1) or not counts.get(0):
         return None
-    texts = id_text(docs, id_col, text_col)
     order = (F.xxhash64("id"), F.col("id"))
     some = known.filter("y = 1").orderBy(*order).limit(MOST_TOXIC).union(known.filter("y = 0").orderBy(*order).limit(MOST_CLEAN))
     # at most MOST_TOXIC + MOST_CLEAN ids and labels are broadcast
-    rows = texts.join(F.broadcast(some), "id").select("id", "y", "text").dropDuplicates(["id", "y"]).collect()
+    rows = id_text(docs, id_col, text_col).join(F.broadcast(some), "id").select("id", "y", "text").dropDuplicates(["id", "y"]).collect()
     rows = sorted(rows, key=lambda r: str(r["id"]))
     y = np.array([r["y"] for r in rows])
     if not len(rows) or y.min() == y.max():
         return None
-    return train([bytes(r["text"]) for r in rows], y, counts[1] / (counts[0] + counts[1]))
+    texts = [bytes(r["text"]) for r in rows]
+    del rows
+    return train(texts, y, counts[1] / (counts[0] + counts[1]))
 
 
 def score(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, training_docs: DataFrame | None = None) -> DataFrame:
