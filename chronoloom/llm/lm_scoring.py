@@ -3,13 +3,17 @@
 Each word is predicted from the SIDE words before and after it; a document's score is the sum of the
 conditional log-probabilities of all its words.
 
-1. Words of all texts are counted. The KNOWN most frequent ones (ties by hash) are tokens; every other
-   word falls in one of RARE hashed tokens. The counts also start the output biases.
+1. Words of all texts are counted. The KNOWN most frequent ones (ties by hash) are tokens of the network;
+   every other word falls in one of RARE hashed tokens. The counts also start the output biases.
 2. The network (token vectors, one hidden layer, a softmax over CLASSES groups and one within the group)
    is trained in numpy, in rounds: in each round every partition starts from the shared parameters,
    passes once over its blocks of that round, and the results are averaged, weighted by words. The blocks
    of all rounds together are the whole corpus.
-3. Every whole text is scored with the averaged network.
+3. Every whole text is scored with the averaged network. A word of a hashed token adds the logarithm of
+   its own share of that token, from the counts of all words: shares of a token sum to 1, one count of
+   which is kept for words that were never counted (spread over as many as there are counted ones, and
+   one). Scored blocks are written once; their rare words are dealt by hash into lots, each lot looks
+   them up in its counts, and the sums go back to the block. A lot holds at most about LOT_WORDS words.
 
 What is gathered grows with the input: the word counts, and one parameter set from each partition and
 round (summed on the executors; the driver gets one set of a fixed size).
@@ -38,13 +42,23 @@ PER_CLASS = TOKENS // CLASSES
 SIDE, DIM, HIDDEN = 3, 12, 24
 ROUNDS, BATCH, RATE = 2, 4096, 0.01
 _BLOCK = 1 << 19
+#: Fewest lots of rare words, and counted words that a lot holds in the mean.
+LOTS, LOT_WORDS = 256, 400_000
+_RARE_WORD = np.dtype([("h", "<u8"), ("k", "<i4")])
+_PART_SUM = np.dtype([("k", "<i4"), ("s", "<f8")])
 
 
 class Vocabulary:
-    def __init__(self, frequent: np.ndarray, counts: np.ndarray):
-        """``frequent``: word hashes by falling frequency; ``counts``: of all tokens."""
+    def __init__(self, frequent: np.ndarray, counts: np.ndarray, distinct: np.ndarray):
+        """``frequent``: word hashes by falling frequency; ``counts``: of all tokens; ``distinct``: different
+        words of the hashed tokens."""
         self.order = np.argsort(frequent, kind="stable")
-        self.sorted, self.counts = frequent[self.order], counts
+        self.sorted, self.counts, self.distinct = frequent[self.order], counts, distinct
+
+    def log_shares(self, h: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """Log-probability of rare words within their token; ``n`` is their count, 0 of a word never counted."""
+        k = (h % np.uint64(RARE)).astype(np.int64)
+        return np.log(np.where(n > 0, n, 1 / (self.distinct[k] + 1.0))) - np.log(self.counts[KNOWN + k] + 1.0)
 
     def tokens(self, h: np.ndarray) -> np.ndarray:
         rare = KNOWN + (h % np.uint64(RARE)).astype(np.int64)
@@ -196,22 +210,23 @@ def _count_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(signed(words)), pa.array(n.astype(np.int64))], ["h", "n"])
 
 
-def vocabulary(texts: DataFrame) -> Vocabulary:
+def vocabulary(texts: DataFrame) -> tuple[Vocabulary, DataFrame]:
+    """The tokens, and the counts (h, n) of all words."""
     counts = materialize(texts.mapInArrow(_count_rows, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")), "lm-counts")
     top = counts.orderBy(F.desc("n"), "h").limit(KNOWN).collect()
-    rare = {r["k"]: r["n"] for r in counts.groupBy(F.col("h").bitwiseAND(F.lit(RARE - 1)).alias("k")).agg(F.sum("n").alias("n")).collect()}
-    per = np.zeros(TOKENS)
+    per, distinct = np.zeros(TOKENS), np.zeros(RARE)
+    for r in counts.groupBy(F.col("h").bitwiseAND(F.lit(RARE - 1)).alias("k")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("d")).collect():
+        per[KNOWN + r["k"]], distinct[r["k"]] = r["n"], r["d"]
     for k, r in enumerate(top):
         per[k] = r["n"]
-        rare[r["h"] & (RARE - 1)] -= r["n"]
-    for k, n in rare.items():
-        per[KNOWN + k] = n
-    return Vocabulary(np.array([r["h"] for r in top], np.int64).view(np.uint64), per)
+        per[KNOWN + (r["h"] & (RARE - 1))] -= r["n"]
+        distinct[r["h"] & (RARE - 1)] -= 1
+    return Vocabulary(np.array([r["h"] for r in top], np.int64).view(np.uint64), per, distinct), counts
 
 
-def fit(texts: DataFrame, rounds: int = ROUNDS) -> tuple[Vocabulary, WindowNetwork]:
-    """Train on all words of all texts."""
-    words = vocabulary(texts)
+def fit(texts: DataFrame, rounds: int = ROUNDS) -> tuple[Vocabulary, WindowNetwork, DataFrame]:
+    """Train on all words of all texts; the counts of all words come along."""
+    words, counts = vocabulary(texts)
     net = WindowNetwork(words.counts)
     for turn in range(rounds):
 
@@ -231,13 +246,89 @@ def fit(texts: DataFrame, rounds: int = ROUNDS) -> tuple[Vocabulary, WindowNetwo
         total = tree_sum(texts.mapInArrow(learn, SLICES))
         if total is not None and total[-1] > 0:
             net.load(total[:-1] / total[-1])
-    return words, net
+    return words, net, counts
+
+
+def _records(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """Binary values of ``sizes`` neighbouring records each."""
+    off = np.concatenate(([0], np.cumsum(sizes * values.dtype.itemsize))).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(off.tobytes()), pa.py_buffer(values.tobytes())])
+
+
+def _read_records(col: pa.Array, kind: np.dtype) -> tuple[np.ndarray, np.ndarray]:
+    """The records of neighbouring binary values, and how many each value has."""
+    off, data = buffers(col)
+    return data[off[0] : off[-1]].view(kind), np.diff(off) // kind.itemsize
+
 
+def _runs(*keys: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Ranges of rows with equal keys."""
+    new = np.zeros(max(len(keys[0]) - 1, 0), bool)
+    for k in keys:
+        new |= k[1:] != k[:-1]
+    edges = [0, *(np.flatnonzero(new) + 1), len(keys[0])]
+    return ((int(i), int(j)) for i, j in zip(edges, edges[1:]) if j > i)
 
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: tuple[Vocabulary, WindowNetwork] | None = None) -> DataFrame:
+
+def _shares(batches: Iterator[pa.RecordBatch], words: Vocabulary) -> Iterator[pa.RecordBatch]:
+    """(block, sums) from rows in the order of lot and block: a lot's counts (block -1), then the rare words
+    of blocks. The sums are over the words of each text."""
+    lot, held, table = None, [], None
+    for batch in batches:
+        lots, block = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("lot", "block"))
+        for i, j in _runs(lots, block < 0):
+            if lots[i] != lot:
+                lot, held, table = lots[i], [], None
+            part = batch.slice(i, j - i)
+            if block[i] < 0:
+                held.append([part.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("h", "n")])
+                continue
+            if table is None:
+                h, n = (np.concatenate([np.zeros(0, np.int64), *(x[k] for x in held)]) for k in (0, 1))
+                h = h.view(np.uint64)
+                order = np.argsort(h)
+                # a row more, for words that were never counted
+                table, held = (h[order], np.append(n[order], 0)), []
+            found, sizes = _read_records(part.column("data"), _RARE_WORD)
+            h = found["h"]
+            at = np.searchsorted(table[0], h)
+            at[table[0][np.minimum(at, len(table[0]) - 1)] != h if len(table[0]) else np.ones(len(h), bool)] = len(table[0])
+            lp = words.log_shares(h, table[1][at])
+            row = np.repeat(np.arange(len(sizes)), sizes)
+            first = np.flatnonzero(np.concatenate(([True], (row[1:] != row[:-1]) | (found["k"][1:] != found["k"][:-1]))))
+            out = np.empty(len(first), _PART_SUM)
+            out["k"], out["s"] = found["k"][first], np.add.reduceat(lp, first)
+            yield pa.RecordBatch.from_arrays([part.column("block"), _records(out, np.bincount(row[first], minlength=len(sizes)))], ["block", "data"])
+
+
+def _with_shares(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of texts from rows in the order of block: the block itself (lot -1), then the sums of its lots."""
+    now, total, last = None, np.zeros(0), None
+
+    def done() -> Iterator[pa.RecordBatch]:
+        if last is not None:
+            yield pa.RecordBatch.from_arrays([last.column("ids")[0].values, last.column("ns")[0].values, pa.array(total)], ["id", "n_tokens", "log_likelihood"])
+
+    for batch in batches:
+        block, lots = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("block", "lot"))
+        for i, j in _runs(block, lots):
+            if lots[i] < 0:
+                yield from done()
+                now, last = block[i], batch.slice(i, 1)
+                total = last.column("lps")[0].values.to_numpy(zero_copy_only=False).copy()
+            else:
+                assert block[i] == now
+                sums, _ = _read_records(batch.column("data").slice(i, j - i), _PART_SUM)
+                total += np.bincount(sums["k"], sums["s"], len(total))
+    yield from done()
+
+
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: tuple[Vocabulary, WindowNetwork, DataFrame] | None = None) -> DataFrame:
     """One row per row of ``docs``: id, n_tokens, log_likelihood, mean_log_likelihood."""
     texts = id_text(docs, id_col, text_col)
-    words, net = model or fit(texts)
+    id_type = texts.schema["id"].dataType.simpleString()
+    words, net, counts = model or fit(texts)
+    lots = max(LOTS, -(-int(words.distinct.sum()) // LOT_WORDS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -245,8 +336,28 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model
                 tokens = words.tokens(h)
                 ctx = contexts(tokens, cut)
                 lp = np.concatenate([*(net.log_probabilities(ctx[k : k + BATCH], tokens[k : k + BATCH]) for k in range(0, len(tokens), BATCH)), np.zeros(0)])
-                sums = np.bincount(np.repeat(np.arange(j - i), np.diff(cut)), lp, j - i)
-                yield pa.RecordBatch.from_arrays([batch.column("id").slice(i, j - i), pa.array(np.diff(cut), pa.int64()), pa.array(sums.astype(np.float64))], ["id", "n_tokens", "log_likelihood"])
-
-    out = texts.mapInArrow(run, f"id {texts.schema['id'].dataType.simpleString()}, n_tokens long, log_likelihood double")
+                text = np.repeat(np.arange(j - i), np.diff(cut))
+                sums = np.bincount(text, lp, j - i).astype(np.float64)
+                rare = tokens >= KNOWN
+                lot = (signed(h[rare]) % lots).astype(np.int32)
+                order = np.argsort(lot, kind="stable")
+                found = np.empty(len(order), _RARE_WORD)
+                found["h"], found["k"] = h[rare][order], text[rare][order]
+                names, sizes = np.unique(lot, return_counts=True)
+                one = lambda col: pa.ListArray.from_arrays(pa.array([0, len(col)], pa.int32()), col)
+                dealt = pa.StructArray.from_arrays([pa.array(names.astype(np.int32)), _records(found, sizes)], ["lot", "data"])
+                ids = batch.column("id").slice(i, j - i)
+                ids = ids.combine_chunks() if isinstance(ids, pa.ChunkedArray) else ids
+                yield pa.RecordBatch.from_arrays([one(ids), one(pa.array(np.diff(cut), pa.int64())), one(pa.array(sums)), one(dealt)], ["ids", "ns", "lps", "rare"])
+
+    scored = texts.mapInArrow(run, f"ids array<{id_type}>, ns array<bigint>, lps array<double>, rare array<struct<lot int, data binary>>")
+    scored = materialize(scored.withColumn("block", F.monotonically_increasing_id()), "lm-blocks")
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    null = lambda kind: F.lit(None).cast(kind)
+    asked = scored.select("block", F.inline("rare")).select("lot", "block", null("long").alias("h"), null("long").alias("n"), "data")
+    known = counts.select(F.pmod("h", F.lit(lots)).cast("int").alias("lot"), F.lit(-1).cast("long").alias("block"), "h", "n", null("binary").alias("data"))
+    sums = known.union(asked).repartition(parts, "lot").sortWithinPartitions("lot", "block").mapInArrow(lambda b: _shares(b, words), "block long, data binary")
+    of_block = scored.select("block", F.lit(-1).alias("lot"), "ids", "ns", "lps", null("binary").alias("data"))
+    of_lots = sums.select("block", F.lit(0).alias("lot"), null(f"array<{id_type}>").alias("ids"), null("array<bigint>").alias("ns"), null("array<double>").alias("lps"), "data")
+    out = of_block.union(of_lots).repartition(parts, "block").sortWithinPartitions("block", "lot").mapInArrow(_with_shares, f"id {id_type}, n_tokens long, log_likelihood double")
     return out.select(F.col("id").alias(id_col), "n_tokens", "log_likelihood", (F.col("log_likelihood") / F.when(F.col("n_tokens") > 0, F.col("n_tokens"))).alias("mean_log_likelihood"))

@@ -423,6 +423,30 @@ def test_lm_cases(odd, empty):
     assert lm_scoring.score(empty).count() == 0
 
 
+def test_lm_rates_rare_words_by_their_own_counts(spark):
+    """Against brute force: the network's value and each rare word's share of its token."""
+    rng = np.random.default_rng(8)
+    rows = [(i % 50, " ".join(f"w{k}" for k in rng.zipf(1.2, 200) % 6000)) for i in range(60)] + [(None, "w1 w2"), (None, "")]
+    texts = lm_scoring.id_text(frame(spark, rows), "doc_id", "text")
+    words, net, counts = lm_scoring.fit(texts)
+    n_of = {r["h"]: r["n"] for r in counts.collect()}
+    asked = [*rows, (77, "never seen words here")]
+    got = sorted((str(r["doc_id"]), r["n_tokens"], round(r["log_likelihood"], 3)) for r in lm_scoring.score(frame(spark, asked), model=(words, net, counts)).collect())
+    want, unseen = [], 0
+    for i, t in asked:
+        h, _ = lm_scoring.word_hashes(np.frombuffer(t.encode(), np.uint8))
+        tokens = words.tokens(h)
+        total = net.log_probabilities(lm_scoring.contexts(tokens, np.array([0, len(h)])), tokens).sum() if len(h) else 0.0
+        for x, k in zip(h[tokens >= lm_scoring.KNOWN].view(np.int64), tokens[tokens >= lm_scoring.KNOWN]):
+            unseen += int(x) not in n_of
+            share = n_of.get(int(x), 1 / (words.distinct[k - lm_scoring.KNOWN] + 1))
+            total += np.log(share / (words.counts[k] + 1))
+        want.append((str(i), len(h), round(float(total), 3)))
+    assert unseen == 4 and words.distinct.sum() > 100
+    for a, b in zip(got, sorted(want), strict=True):
+        assert a[:2] == b[:2] and abs(a[2] - b[2]) < 0.05
+
+
 # pipeline
 
 
