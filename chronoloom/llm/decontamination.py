@@ -135,24 +135,25 @@ def search(texts: list[str], index: Index, table: np.ndarray) -> list[tuple[int,
     doc, item, place = np.searchsorted(starts, pos, "right") - 1, index.item[which], index.place[which]
     diagonal, step = pos - place + (1 << 20), 2 * index.edits[item] + 1
     best: dict[tuple[int, int], tuple[int, int]] = {}
-    for shift in (0, 1):
-        band = diagonal // step - shift
-        order = np.lexsort((place, band, item, doc))
-        d, i, b, p = doc[order], item[order], band[order], place[order]
-        same = (d[1:] == d[:-1]) & (i[1:] == i[:-1]) & (b[1:] == b[:-1])
-        first = np.flatnonzero(np.concatenate(([True], ~same)))
-        fresh = np.concatenate(([True], ~(same & (p[1:] == p[:-1]))))
-        counted = np.add.reduceat(fresh.astype(np.int64), first)
-        for f in first[counted >= index.bound[i[first]]]:
-            x, y, z = int(d[f]), int(i[f]), int(b[f])
-            k = int(index.edits[y])
-            width = 2 * (2 * k + 1)
-            if best.get((x, y), (k + 1, 0))[0] == 0:
-                continue
-            own = joined[starts[x] : starts[x + 1] - 1]
-            found = align(index.items[y], own, z * (2 * k + 1) - (1 << 20) - int(starts[x]), width)
-            if found[0] <= k and found < best.get((x, y), (k + 1, 0)):
-                best[x, y] = found
+    # bands of two steps overlap by one: every hit counts in the band that begins at its step and in the one before
+    band = np.concatenate([diagonal // step, diagonal // step - 1])
+    doc, item, place = np.tile(doc, 2), np.tile(item, 2), np.tile(place, 2)
+    order = np.lexsort((place, band, item, doc))
+    d, i, b, p = doc[order], item[order], band[order], place[order]
+    same = (d[1:] == d[:-1]) & (i[1:] == i[:-1]) & (b[1:] == b[:-1])
+    first = np.flatnonzero(np.concatenate(([True], ~same)))
+    fresh = np.concatenate(([True], ~(same & (p[1:] == p[:-1]))))
+    counted = np.add.reduceat(fresh.astype(np.int64), first)
+    for f in first[counted >= index.bound[i[first]]]:
+        x, y, z = int(d[f]), int(i[f]), int(b[f])
+        k = int(index.edits[y])
+        width = 2 * (2 * k + 1)
+        if best.get((x, y), (k + 1, 0))[0] == 0:
+            continue
+        own = joined[starts[x] : starts[x + 1] - 1]
+        found = align(index.items[y], own, z * (2 * k + 1) - (1 << 20) - int(starts[x]), width)
+        if found[0] <= k and found < best.get((x, y), (k + 1, 0)):
+            best[x, y] = found
     return [(x, y, end, edits) for (x, y), (edits, end) in sorted(best.items())]
 
 

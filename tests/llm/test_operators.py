@@ -287,6 +287,23 @@ def test_lemma_bound_loses_no_alignment():
         assert found and found[0][3] <= k
 
 
+def test_overlapping_bands_lose_no_start():
+    """Random edits within the budget, at every start modulo the step of the bands."""
+    rng = np.random.default_rng(9)
+    for m in (24, 26, 29, 32, 36, 39, 40, 60):
+        item = "".join(rng.choice(list("abcdefghijklmnop"), m))
+        index = decontamination.Index.of([1], [item])
+        table, k = index.table(), int(index.edits[0])
+        for start in range(2 * k + 1):
+            for _ in range(120):
+                t = list(item)
+                for _ in range(k):
+                    at, what = int(rng.integers(len(t))), int(rng.integers(3))
+                    t[at : at + 1] = [] if what == 0 else ["q"] if what == 1 else [t[at], "q"]
+                found = decontamination.search(["z" * (40 + start) + "".join(t) + "y" * 40], index, table)
+                assert found and found[0][3] <= k, (m, start, "".join(t))
+
+
 def test_decontamination_cases(spark, odd, empty):
     bench = spark.createDataFrame([(1, "Lorem 5 ipsum dolor, sit amet. Lorem 6 ipsum dolor")], "item_id long, text string")
     rows = decontamination.contamination(odd, bench).collect()
