@@ -47,6 +47,16 @@ def id_text(docs: DataFrame, id_col: str, text_col: str, binary: bool = True) ->
     return docs.select(F.col(f"`{id_col}`").alias("id"), (text.cast("binary") if binary else text).alias("text"))
 
 
+def one_row_each(docs: DataFrame, kept: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows of ``docs`` whose (id, text_sha256) is in ``kept``, null ids too, with all their columns; one
+    of rows that repeat both."""
+    key = lambda id_, sha: F.concat(F.coalesce(F.concat(F.lit("="), id_.cast("string")), F.lit("null")), F.lit("/"), sha)
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit("")).cast("binary")
+    rows = docs.withColumn("__row_key", key(F.col(f"`{id_col}`"), F.sha2(text, 256)))
+    keys = kept.select(key(F.col(f"`{id_col}`"), F.col("text_sha256")).alias("__row_key")).distinct()
+    return rows.join(keys.hint("merge"), "__row_key", "left_semi").dropDuplicates(["__row_key"]).select(*(F.col(f"`{c}`") for c in docs.columns))
+
+
 def buffers(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Offsets and bytes of a binary Arrow column, without copying."""
     if isinstance(col, pa.ChunkedArray):

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronoloom.llm.common import blocks, buffers, id_text, materialize
+from chronoloom.llm.common import blocks, buffers, id_text, materialize, one_row_each
 
 MIN_CHUNK, MASK_BITS, MAX_CHUNK, WINDOW = 512, 11, 8192, 32
 _GEAR = np.random.default_rng(7).integers(0, 1 << 32, 256, dtype=np.uint32)
@@ -145,5 +145,4 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns; one of rows that repeat an id and text."""
-    kept = exact_groups(docs, id_col, text_col).filter("kept").select(id_col).distinct()
-    return docs.join(kept.hint("merge"), id_col, "left_semi")
+    return one_row_each(docs, exact_groups(docs, id_col, text_col).filter("kept"), id_col, text_col)

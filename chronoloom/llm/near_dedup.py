@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronoloom.llm.common import blocks, buffers, id_text, materialize, mix64, signed, spaced
+from chronoloom.llm.common import blocks, buffers, id_text, materialize, mix64, one_row_each, signed, spaced
 from chronoloom.llm.components import components
 from chronoloom.llm.hashing import shingle_set, word_hashes
 
@@ -85,6 +85,7 @@ def parities(sets: list[np.ndarray]) -> np.ndarray:
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         off, data = buffers(batch.column("text"))
+        more = [c for c in batch.schema.names if c == "text_sha256"]
         for i, j in blocks(np.diff(off)):
             sets = text_sets(off[i : j + 1], data)
             full = [k for k, s in enumerate(sets) if len(s)]
@@ -99,8 +100,8 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for r, k in enumerate(full):
                     bands[k] = banded[r]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id").slice(i, j - i), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(signed(low)), pa.array(signed(high)), pa.array(list(parities(sets)), pa.list_(pa.int64()))],
-                ["id", "n", "key", "bands", "low", "high", "odd"],
+                [batch.column("id").slice(i, j - i), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(signed(low)), pa.array(signed(high)), pa.array(list(parities(sets)), pa.list_(pa.int64())), *(batch.column(c).slice(i, j - i) for c in more)],
+                ["id", "n", "key", "bands", "low", "high", "odd", *more],
             )
 
 
@@ -169,11 +170,13 @@ def _mixed(rows: DataFrame, found: DataFrame) -> DataFrame:
     return materialize(now.join(several.hint("merge"), ["band", "h"], "left_semi"), "near-mixed")
 
 
-def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: id, n_shingles, component_id (smallest id reachable), kept."""
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest: bool = False) -> DataFrame:
+    """One row per row of ``docs``: id, n_shingles, component_id (smallest id reachable), kept; with
+    ``digest`` also text_sha256."""
     texts = id_text(docs, id_col, text_col)
     id_type = texts.schema["id"].dataType.simpleString()
-    signs = materialize(texts.mapInArrow(_signatures, f"id {id_type}, n long, key binary, bands array<long>, low long, high long, odd array<long>"), "near-signatures")
+    signed_texts, more_type = (texts.withColumn("text_sha256", F.sha2("text", 256)), ", text_sha256 string") if digest else (texts, "")
+    signs = materialize(signed_texts.mapInArrow(_signatures, f"id {id_type}, n long, key binary, bands array<long>, low long, high long, odd array<long>{more_type}"), "near-signatures")
     named = signs.filter("n > 0 AND id IS NOT NULL")
     classes = materialize(named.groupBy("key").agg(F.min("id").alias("rep")), "near-classes")
     heads = named.join(classes.hint("merge"), (named["key"] == classes["key"]) & (named["id"] == classes["rep"]), "left_semi")
@@ -208,10 +211,10 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             break
     of_class = classes.join(found.hint("merge"), classes["rep"] == found["id"], "left").select("key", F.coalesce("component", "rep").alias("component"))
     out = signs.join(of_class.hint("merge"), "key", "left").withColumn("component_id", F.coalesce("component", "id"))
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"), *(["text_sha256"] if digest else []))
 
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stand for their group, with all their columns."""
-    kept = near_groups(docs, id_col, text_col).filter("kept").select(id_col).distinct()
-    return docs.join(kept.hint("merge"), id_col, "left_semi")
+    """The rows of ``docs`` that stand for their group, with all their columns; one of rows that repeat an
+    id and text."""
+    return one_row_each(docs, near_groups(docs, id_col, text_col, digest=True).filter("kept"), id_col, text_col)

@@ -121,6 +121,18 @@ def test_near_dedup_cases(odd, empty):
     assert near_dedup.keep_one_of_each(odd).columns == odd.columns
 
 
+def test_dedup_stages_keep_null_ids_and_one_of_repeated_rows(spark, odd):
+    more = frame(spark, [*ODD, (None, None), (None, "only here, with no id"), (None, "only here, with no id"), (None, "and another"), (11, "twice the same"), (11, "twice the same")])
+    left = lambda df: sorted((str(r["doc_id"]), (r["text"] or "")[:8], len(r["text"] or "")) for r in df.collect())
+    row = lambda i, t: (str(i), t[:8], len(t))
+    shared = [row(3, "   \n\t"), row(6, LONG), row(8, "a b c d e"), row(9, "é ñ 日本 \u2028 x"), row(10, "x" * 3000)]
+    extra = [row(None, "only here, with no id"), row(None, "and another"), row(11, "twice the same")]
+    assert left(exact_dedup.deduplicate(odd)) == sorted([*shared, row(2, ""), row(5, "one"), row(7, LONG + "!")])
+    assert left(exact_dedup.deduplicate(more)) == sorted([*shared, row(2, ""), row(5, "one"), row(7, LONG + "!"), *extra])
+    assert left(near_dedup.keep_one_of_each(odd)) == sorted([*shared, row(1, ""), row(2, ""), row(4, "one")])
+    assert left(near_dedup.keep_one_of_each(more)) == sorted([*shared, row(1, ""), row(2, ""), row(4, "one"), row(None, ""), *extra])
+
+
 # suffix dedup
 
 
