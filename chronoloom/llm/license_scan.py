@@ -1,7 +1,7 @@
 """Licence scan: a trained paragraph classifier, natively on DataFrames.
 
-1. Texts are cut into paragraphs (lines), paragraphs into lower-cased words, and words into hashed
-   bigrams. The features are the bigrams of the template notices that ordinary paragraphs do not use.
+1. Texts are cut into paragraphs (runs of lines that are not blank), paragraphs into lower-cased words, and
+   words into hashed bigrams. The features are the bigrams of the template notices that ordinary paragraphs do not use.
 2. One logistic regression for each family, and one for "unknown" (licence-like wording of no known
    family), is fitted by gradient descent whose steps are joins and aggregations. It learns from the
    templates and from at most SAMPLE paragraphs of ``docs`` (the first in the order of a hash), whose
@@ -38,6 +38,7 @@ TEMPLATES = {
     "mit": ("Released under the MIT License.", "Licensed under the MIT License.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software"),
     "unknown": ("All rights reserved under the terms of the agreement.", "See the license file for the terms of use.", "Distributed under a proprietary license.", "Licensed under the terms of the vendor agreement.", "This work is licensed under a custom license."),
 }
+_BLANK = r"\n\s*\n"
 _WORD = r"[\p{L}\p{N}]+([.-][\p{L}\p{N}]+)*"
 
 
@@ -54,9 +55,16 @@ def bigrams(text):
 
 
 def paragraphs(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, par, text of every line that is not empty."""
-    lines = docs.select(F.col(f"`{id_col}`").alias("id"), F.posexplode(F.split(F.coalesce(F.col(f"`{text_col}`"), F.lit("")), "\n")).alias("par", "text"))
-    return lines.filter("length(text) > 0")
+    """id, par, text of every run of lines that are not blank."""
+    runs = docs.select(F.col(f"`{id_col}`").alias("id"), F.posexplode(F.split(F.coalesce(F.col(f"`{text_col}`"), F.lit("")), _BLANK)).alias("par", "text"))
+    return runs.filter(F.col("text").rlike(r"\S"))
+
+
+def units(pars: DataFrame) -> DataFrame:
+    """id, par, unit, text: the whole paragraph (unit 0) and, where it has several lines, each of them, so
+    that a notice of one line is judged without its neighbours as well."""
+    lines = F.split("text", "\n")
+    return pars.select("id", "par", F.posexplode(F.when(F.size(lines) > 1, F.concat(F.array("text"), lines)).otherwise(F.array("text"))).alias("unit", "text"))
 
 
 def templates(spark: SparkSession) -> DataFrame:
@@ -130,27 +138,37 @@ def fit(docs: DataFrame, id_col: str, text_col: str) -> LicenceModel:
 
 
 def classify(docs: DataFrame, model: LicenceModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, par, family ("unknown" included), p, confirmed: one row per paragraph that is a notice."""
-    found = paragraphs(docs, id_col, text_col).select("id", "par", F.explode(F.array_distinct(bigrams(F.col("text")))).alias("gram"))
+    """id, par, family ("unknown" included), p, confirmed: one row per paragraph that is a notice and family
+    of it. A family whose wording in the paragraph is part of what another one's wording covers is not
+    another family of it."""
+    found = units(paragraphs(docs, id_col, text_col)).select("id", "par", "unit", F.explode(F.array_distinct(bigrams(F.col("text")))).alias("gram"))
     hits = found.join(F.broadcast(model.grams.groupBy("gram").agg(F.collect_list(F.struct("template", "family", "size")).alias("held"))), "gram")
-    hits = materialize(hits.groupBy("id", "par").agg(F.collect_list(F.struct("gram", "held")).alias("hits")), "licence-hits")
-    each = hits.select("id", "par", F.explode("hits").alias("x")).select("id", "par", "x.gram", "x.held")
-    z = each.join(F.broadcast(model.weights), "gram").groupBy("id", "par", "family").agg(F.sum("w").alias("z"))
-    p = z.join(F.broadcast(model.bias), "family").select("id", "par", "family", (1 / (1 + F.exp(-(F.col("z") + F.col("b"))))).alias("p"))
-    share = each.select("id", "par", F.explode("held").alias("t")).groupBy("id", "par", "t.family", "t.template", "t.size").agg(F.count(F.lit(1)).alias("n"))
-    share = share.groupBy("id", "par", "family").agg(F.max(F.col("n") / F.col("size")).alias("share"))
-    same = p["id"].eqNullSafe(share["id"]) & (p["par"] == share["par"]) & (p["family"] == share["family"])
-    both = p.join(share, same, "left").select(p["id"], p["par"], p["family"], "p", F.coalesce("share", F.lit(0.0)).alias("share"))
+    hits = materialize(hits.groupBy("id", "par", "unit").agg(F.collect_set(F.struct("gram", "held")).alias("hits")), "licence-hits")
+    each = hits.select("id", "par", "unit", F.explode("hits").alias("x")).select("id", "par", "unit", "x.gram", "x.held")
+    z = each.join(F.broadcast(model.weights), "gram").groupBy("id", "par", "unit", "family").agg(F.sum("w").alias("z"))
+    p = z.join(F.broadcast(model.bias), "family").select("id", "par", "unit", "family", (1 / (1 + F.exp(-(F.col("z") + F.col("b"))))).alias("p"))
+    share = each.select("id", "par", "unit", "gram", F.explode("held").alias("t")).groupBy("id", "par", "unit", "t.family", "t.template", "t.size").agg(F.count(F.lit(1)).alias("n"), F.collect_set("gram").alias("grams"))
+    share = share.groupBy("id", "par", "unit", "family").agg(F.max(F.col("n") / F.col("size")).alias("share"), F.array_distinct(F.flatten(F.collect_list("grams"))).alias("grams"))
+    same = p["id"].eqNullSafe(share["id"]) & (p["par"] == share["par"]) & (p["unit"] == share["unit"]) & (p["family"] == share["family"])
+    both = p.join(share, same, "left").select(p["id"], p["par"], p["family"], "p", F.coalesce("share", F.lit(0.0)).alias("share"), "grams")
     sure = (F.col("family") != "unknown") & (F.col("p") >= model.cut) & (F.col("share") >= CONFIRM)
-    best = both.groupBy("id", "par").agg(F.max(F.when(sure, F.struct("p", "family"))).alias("best"), F.max("p").alias("most"))
-    fires = F.col("best").isNotNull() | (F.col("most") >= model.cut)
-    return best.filter(fires).select("id", "par", F.coalesce("best.family", F.lit("unknown")).alias("family"), F.coalesce("best.p", "most").alias("p"), F.col("best").isNotNull().alias("confirmed"))
+    of_par = both.groupBy("id", "par").agg(F.collect_list(F.when(sure, F.struct("p", "family", "grams"))).alias("sure"), F.max("p").alias("most"))
+
+    def covers(y, x):
+        within = F.size(F.array_except(x["grams"], y["grams"])) == 0
+        more = F.size(y["grams"]) > F.size(x["grams"])
+        first = (y["p"] > x["p"]) | ((y["p"] == x["p"]) & (y["family"] > x["family"]))
+        return (y["family"] != x["family"]) & within & (more | first)
+
+    own = F.filter("sure", lambda x: ~F.exists("sure", lambda y: covers(y, x)))
+    own = of_par.filter((F.size("sure") > 0) | (F.col("most") >= model.cut)).select("id", "par", "most", F.explode_outer(own).alias("x"))
+    return own.groupBy("id", "par", F.coalesce("x.family", F.lit("unknown")).alias("family")).agg(F.max(F.coalesce("x.p", "most")).alias("p"), F.max(F.col("x").isNotNull()).alias("confirmed"))
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: id, families (confirmed, in order), n_confirmed and n_unknown (paragraphs)."""
     found = classify(docs, fit(docs, id_col, text_col), id_col, text_col)
-    by_id = found.groupBy("id").agg(F.array_sort(F.collect_set(F.when(F.col("confirmed"), F.col("family")))).alias("families"), F.sum(F.col("confirmed").cast("long")).alias("n_confirmed"), F.sum((~F.col("confirmed")).cast("long")).alias("n_unknown"))
+    by_id = found.groupBy("id").agg(F.array_sort(F.collect_set(F.when(F.col("confirmed"), F.col("family")))).alias("families"), F.size(F.collect_set(F.when(F.col("confirmed"), F.col("par")))).cast("long").alias("n_confirmed"), F.sum((~F.col("confirmed")).cast("long")).alias("n_unknown"))
     ids = docs.select(F.col(f"`{id_col}`").alias("doc"))
     none = F.lit(0).cast("long")
     return ids.join(by_id.hint("merge"), ids["doc"].eqNullSafe(by_id["id"]), "left").select(

@@ -413,6 +413,25 @@ def test_licence_scan_cases(spark, empty):
     assert license_scan.scan(empty).count() == 0
 
 
+GPL = """    This program is free software: you can redistribute it and/or modify
+    it under the terms of the GNU General Public License as published by
+    the Free Software Foundation, either version 3 of the License, or
+    (at your option) any later version."""
+MIT = """# Permission is hereby granted, free of charge,
+# to any person obtaining a copy of
+# this software and associated documentation files"""
+
+
+def test_licence_scan_reads_wrapped_notices(spark):
+    nc = "This work is licensed under a Creative Commons\nAttribution-NonCommercial 4.0\nInternational License, see there."
+    plain = "plain text of no interest\nin lines\n \t\nand another run"
+    cases = [(1, "Some title\n\n" + GPL + "\n\n" + plain), (2, MIT + "\n\n" + plain), (3, nc), (4, "Released under the MIT License.\nLicensed under the Apache License, Version 2.0."), (5, plain), (6, GPL + "\n \n" + MIT), (None, GPL)]
+    cases += [(10 + k, plain) for k in range(30)]
+    by = {r["doc_id"]: r for r in license_scan.scan(frame(spark, cases)).collect()}
+    got = {i: (list(by[i]["families"]), by[i]["n_confirmed"]) for i in (1, 2, 3, 4, 5, 6, None)}
+    assert got == {1: (["gpl-3.0"], 1), 2: (["mit"], 1), 3: (["cc-by-nc-4.0"], 1), 4: (["apache-2.0", "mit"], 1), 5: ([], 0), 6: (["gpl-3.0", "mit"], 2), None: (["gpl-3.0"], 1)}
+
+
 # language model
 
 
