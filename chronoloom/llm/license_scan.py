@@ -1,13 +1,14 @@
 """Licence scan: a trained paragraph classifier, natively on DataFrames.
 
 1. Texts are cut into paragraphs (runs of lines that are not blank), paragraphs into lower-cased words, and
-   words into hashed bigrams. The features are the bigrams of the template notices that ordinary paragraphs do not use.
+   words into hashed bigrams. The features are the bigrams of the template notices that at most COMMON of all
+   ordinary paragraphs use.
 2. One logistic regression for each family, and one for "unknown" (licence-like wording of no known
    family), is fitted by gradient descent whose steps are joins and aggregations. It learns from the
    templates and from at most SAMPLE paragraphs of ``docs`` (the first in the order of a hash), whose
    equal feature sets count as one weighted example.
 3. The probability that counts is calibrated: the cut lies midway between the weakest template's own
-   family and the strongest family among examples of no family.
+   family and the strongest family among all paragraphs of no family.
 4. A prediction holds if the paragraph also contains CONFIRM of the bigrams of a template of that family;
    otherwise, and where only "unknown" fires, the paragraph counts as unknown.
 
@@ -82,6 +83,13 @@ def _sample(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return some.select(F.concat_ws("/", F.lit("text"), F.col("id").cast("string"), F.col("par").cast("string")).alias("ex"), F.explode_outer(F.array_distinct(bigrams(F.col("text")))).alias("gram"))
 
 
+def _paragraph_sets(docs: DataFrame, every: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(set, n): the template bigrams that a paragraph holds, and how many of all paragraphs hold just these."""
+    all_of = F.broadcast(every.agg(F.collect_set("gram").alias("known")))
+    sets = paragraphs(docs, id_col, text_col).crossJoin(all_of).select(F.array_sort(F.array_intersect(bigrams(F.col("text")), "known")).alias("set"))
+    return materialize(sets.groupBy("set").agg(F.count(F.lit(1)).alias("n")), "licence-sets")
+
+
 class LicenceModel:
     """Small tables: weights (family, gram, w), bias (family, b), grams of templates; and the cut."""
 
@@ -105,8 +113,11 @@ def fit(docs: DataFrame, id_col: str, text_col: str) -> LicenceModel:
     sized = every.withColumn("size", F.count(F.lit(1)).over(Window.partitionBy("template")))
     notices = sample.join(sized, "gram").groupBy("ex", "template", "size").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= CONFIRM * F.col("size")).select("ex").distinct()
     sample = materialize(sample.join(notices, "ex", "left_anti"), "licence-ordinary")
-    total = sample.agg(F.countDistinct("ex")).first()[0]
-    usual = sample.filter("gram IS NOT NULL").groupBy("gram").agg(F.countDistinct("ex").alias("n")).filter(F.col("n") > max(COMMON * total, 1)).select("gram")
+    every_set = _paragraph_sets(docs, every, id_col, text_col)
+    held = every_set.select("set", F.explode("set").alias("gram")).join(sized, "gram").groupBy("set", "template", "size").agg(F.count(F.lit(1)).alias("k"))
+    plain = materialize(every_set.join(held.filter(F.col("k") >= CONFIRM * F.col("size")).select("set").distinct(), "set", "left_anti"), "licence-plain")
+    total = plain.agg(F.sum("n")).first()[0] or 0
+    usual = plain.select("n", F.explode("set").alias("gram")).groupBy("gram").agg(F.sum("n").alias("n")).filter(F.col("n") > max(COMMON * total, 1)).select("gram")
     grams = every.join(usual, "gram", "left_anti")
     grams = materialize(grams.withColumn("size", F.count(F.lit(1)).over(Window.partitionBy("template"))), "licence-grams")
     known = grams.select("gram").distinct()
@@ -129,7 +140,12 @@ def fit(docs: DataFrame, id_col: str, text_col: str) -> LicenceModel:
         up = features.join(left, "ex").groupBy("gram", "family").agg((F.sum("r") / 20).alias("g"))
         weights = materialize(weights.join(up, ["gram", "family"], "left").select("gram", "family", (F.col("w") * (1 - DECAY) + RATE * 0.25 * F.coalesce("g", F.lit(0.0))).alias("w")), "licence-weights")
         bias = materialize(bias.join(left.groupBy("family").agg((F.sum("r") / 200).alias("g")), "family").select("family", (F.col("b") + RATE * 0.25 * F.col("g")).alias("b")), "licence-bias")
-    p = _probabilities(examples, features, weights, bias)
+    # the cut is that of all paragraphs
+    all_of = F.broadcast(known.agg(F.collect_set("gram").alias("known")))
+    plain_sets = plain.crossJoin(all_of).groupBy(F.array_sort(F.array_intersect("set", "known")).alias("set")).agg(F.sum("n").cast("double").alias("n"))
+    rows = own.select(F.col("template").alias("ex"), F.col("family").alias("own"), F.lit(20.0).alias("n"), "set").union(plain_sets.select(F.concat_ws(",", F.col("set").cast("array<string>")), F.lit(None).cast("string"), "n", "set"))
+    rows = materialize(rows, "licence-calibration")
+    p = _probabilities(rows.select("ex", "own", "n"), rows.select("ex", F.explode("set").alias("gram")), weights, bias)
     weakest = F.min(F.when((F.col("y") == 1) & (F.col("own") != "unknown"), F.col("p")))
     strongest = F.max(F.when((F.col("family") != "unknown") & (F.col("own").isNull() | (F.col("own") == "unknown")), F.col("p")))
     low, high = p.agg(weakest, strongest).first()

@@ -432,6 +432,19 @@ def test_licence_scan_reads_wrapped_notices(spark):
     assert got == {1: (["gpl-3.0"], 1), 2: (["mit"], 1), 3: (["cc-by-nc-4.0"], 1), 4: (["apache-2.0", "mit"], 1), 5: ([], 0), 6: (["gpl-3.0", "mit"], 2), None: (["gpl-3.0"], 1)}
 
 
+def test_licence_features_are_counted_over_all_paragraphs(spark):
+    from pyspark.sql import functions as F
+
+    order = [r["id"] for r in spark.range(400).orderBy(F.xxhash64("id"), "id").collect()]
+    plain = [f"words of paragraph {k}" for k in range(9)]
+    text = lambda k: "they said hereby granted once" if k < 30 else "a redistribution and more" if k >= 300 else "nothing"
+    docs = frame(spark, [(i, "\n\n".join([*plain, text(k)])) for k, i in enumerate(order)])
+    grams = {r["gram"] for r in license_scan.fit(docs, "doc_id", "text").grams.collect()}
+    rare, common = (spark.range(1).select(license_scan.bigrams(F.lit(t))[0]).first()[0] for t in ("hereby granted", "redistribution and"))
+    # 30 and 100 of 4000 paragraphs; all 30 and none of the 100 are in the first 200 documents
+    assert rare in grams and common not in grams
+
+
 # language model
 
 
