@@ -2,46 +2,50 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chronoloom.schemas import LEVELS
 
 _UNSIGNED = r"^\+?[0-9]+$"
-_FLOAT = r"^([+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?|(?i:[+-]?(inf|infinity|nan)))$"
+_FLOAT = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
+_BIG, _NAN = ("inf", "infinity"), ("nan", "+nan", "-nan")
+#: The characters with the Unicode property White_Space.
+WHITE_SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
-def let(x: Column, f: Callable[[Column], Column]) -> Column:
-    """``f`` of a variable that holds ``x``: long expressions stay as long as they are written, wherever
-    the optimizer puts them."""
-    return F.get(F.transform(F.array(x), f), F.lit(0))
+def bound(df: DataFrame, **columns: Column) -> DataFrame:
+    """``df`` with more columns that are computed once a row: later filters and projections read their
+    values, and the optimizer does not put the expressions in their place."""
+    return df.select("*", F.inline(F.array(F.struct(*(c.alias(n) for n, c in columns.items())))))
 
 
 def strip(c: Column) -> Column:
     """Without Unicode white space at both ends."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    return F.btrim(c, F.lit(WHITE_SPACE))
 
 
 def unsigned(c: Column, bits: int) -> Column:
-    """An unsigned whole number that fits the bits; null otherwise."""
-    n = F.when(c.rlike(_UNSIGNED), c.try_cast("decimal(38,0)"))
-    return F.when(n < (1 << bits), n.try_cast("long"))
+    """An unsigned whole number that fits the bits (fewer than 63); null otherwise."""
+    n = c.try_cast("long")
+    return F.when(c.rlike(_UNSIGNED) & (n < (1 << bits)), n)
 
 
 def real(c: Column) -> Column:
     """A floating-point number; null otherwise."""
-    low = F.lower(F.regexp_replace(c, r"^[+-]", ""))
-    sign = F.when(c.startswith("-"), F.lit(-1.0)).otherwise(F.lit(1.0))
-    special = F.when(low.isin("inf", "infinity"), sign * F.lit(float("inf"))).when(low == "nan", F.lit(float("nan")))
-    return F.when(c.rlike(_FLOAT), F.coalesce(special, c.try_cast("double")))
+    low = F.lower(c)
+    special = (
+        F.when(low.isin(*_BIG, *("+" + x for x in _BIG)), F.lit(float("inf")))
+        .when(low.isin(*("-" + x for x in _BIG)), F.lit(float("-inf")))
+        .when(low.isin(*_NAN), F.lit(float("nan")))
+    )
+    return F.when(c.rlike(_FLOAT), c.try_cast("double")).otherwise(special)
 
 
 def seconds_to_micros(seconds: Column) -> Column:
     """Seconds to whole microseconds, by way of whole nanoseconds; null where no time can be."""
     fits = (seconds >= 0) & (seconds < F.lit(9.0e9))
-    return F.when(fits, F.floor(F.bround(seconds * F.lit(1e9)) / 1000).cast("long"))
+    return F.when(fits, F.floor(F.rint(seconds * F.lit(1e9)) / 1000).cast("long"))
 
 
 def normal_level(c: Column) -> Column:
@@ -67,16 +71,27 @@ def display_name(symbol: Column, kind: str, number: Column) -> Column:
     return F.coalesce(symbol, F.concat(F.lit(f"{kind} 0x"), F.hex(number)))
 
 
+def param(args: Column, key: str) -> Column:
+    """``=value`` of the last ``key=value`` among ``k=v,…``; empty where there is none."""
+    return F.regexp_extract(args, rf"(?s)^(?:.*,)?(?U:\s*){key}(?U:\s*)(=[^,]*)", 1)
+
+
+def value(found: Column) -> Column:
+    """The text of what ``param`` found; null where it found nothing."""
+    return F.when(found != "", strip(F.substring(found, 2, 1 << 30)))
+
+
 def parse_params(args: Column) -> Column:
     """``k=v,…`` to a map: pieces without ``=`` are dropped, ends are trimmed, the last of equal keys wins."""
 
-    def pair(piece):
-        return let(F.split(piece, "=", 2), lambda cut: F.struct(strip(F.get(cut, F.lit(0))).alias("k"), strip(F.get(cut, F.lit(1))).alias("v")))
+    def pair(piece, i):
+        at = F.instr(piece, "=")
+        return F.struct(strip(F.substring(piece, F.lit(1), at - 1)).alias("k"), i.alias("i"), F.when(at > 0, strip(F.substring(piece, at + 1, F.length(piece)))).alias("v"))
 
-    def last_wins(pairs):
-        # keep an entry if no later one has its key
-        indexed = F.transform(pairs, lambda x, i: F.struct(x["k"].alias("k"), x["v"].alias("v"), i.alias("i")))
-        kept = F.filter(indexed, lambda x: ~F.exists(F.slice(pairs, x["i"] + 2, F.size(pairs)), lambda y: y["k"] == x["k"]))
-        return F.map_from_entries(F.transform(kept, lambda x: F.struct(x["k"], x["v"])))
+    def last_of_key(pairs):
+        # sorted by key and place: an entry stays if the next one has another key
+        return F.filter(pairs, lambda x, j: F.coalesce(F.get(pairs, j + 1)["k"] != x["k"], F.lit(True)))
 
-    return let(F.filter(F.transform(F.split(args, ","), pair), lambda x: x["v"].isNotNull()), last_wins)
+    pairs = F.array_sort(F.filter(F.transform(F.split(args, ","), pair), lambda x: x["v"].isNotNull()))
+    kept = F.get(F.transform(F.array(pairs), last_of_key), F.lit(0))
+    return F.map_from_entries(F.transform(kept, lambda x: F.struct(x["k"], x["v"])))

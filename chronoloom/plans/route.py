@@ -5,100 +5,84 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chronoloom.functions.parse import let, normal_level, parse_params, real, seconds_to_micros, strip, unsigned
+from chronoloom.functions.parse import bound, normal_level, param, parse_params, real, seconds_to_micros, strip, unsigned, value
 from chronoloom.schemas import EXECUTOR_KINDS, KINDS, METRIC, MONITOR_KINDS, TASK_KINDS
 
+_FIELDS = ("core_id", "kind", "executor_id", "task_id", "name", "value")
 
-_CALL = r"(?s)^@([^()]*)\(([^)]*)\)"
 
-
-def _cut_line(line: Column) -> Column:
-    """Texts of the time, level and message, and what is wrong with the brackets."""
-    opened, closed = F.instr(line, "["), F.instr(line, "]")
+def parse_log_lines(raw: DataFrame) -> DataFrame:
+    """``raw`` with ts_us, level, message, and reject_reason where the line is none."""
+    line, opened, closed = F.col("line"), F.col("_open"), F.col("_close")
+    rows = bound(raw, _open=F.instr(line, "["), _close=F.instr(line, "]"))
     wrong = (
         F.when(line.isNull(), "no line")
         .when(opened == 0, "no opening bracket")
         .when(closed == 0, "no closing bracket")
         .when(closed - opened < 3, "no level between brackets")
     )
-    parts = (F.substring(line, F.lit(1), opened - 1), F.substring(line, opened + 1, closed - opened - 1), F.substring(line, closed + 1, F.length(line)))
-    stamp, level, message = (F.when(wrong.isNull(), x) for x in parts)
-    return F.struct(strip(stamp).alias("stamp"), normal_level(level).alias("level"), strip(message).alias("message"), wrong.alias("wrong"))
-
-
-def _typed_line(p: Column) -> Column:
-    def row(t):
-        reason = F.coalesce(p["wrong"], F.when(p["level"].isNull(), "unknown level").when(t["s"].isNull(), "bad timestamp").when(t["us"].isNull(), "timestamp out of range"))
-        good = reason.isNull()
-        return F.struct(F.when(good, t["us"]).alias("ts_us"), F.when(good, p["level"]).alias("level"), F.when(good, p["message"]).alias("message"), reason.alias("reject_reason"))
-
-    return let(let(real(p["stamp"]), lambda s: F.struct(s.alias("s"), seconds_to_micros(s).alias("us"))), row)
-
-
-def parse_log_lines(raw: DataFrame) -> DataFrame:
-    """``raw`` with ts_us, level, message, and reject_reason where the line is none."""
-    rows = raw.withColumn("_line", let(let(F.col("line"), _cut_line), _typed_line))
-    return rows.select(*raw.columns, "_line.ts_us", "_line.level", "_line.message", "_line.reject_reason")
-
-
-def _cut_call(message: Column) -> Column:
-    """Name and parameters of a call: an opening bracket before a closing one, whatever comes after."""
-    is_event = F.coalesce(F.startswith(message, F.lit("@")), F.lit(False))
-    called = is_event & message.rlike(_CALL)
-    args = F.regexp_extract(message, _CALL, 2)
-    return F.struct(is_event.alias("is_event"), F.when(called, strip(F.regexp_extract(message, _CALL, 1))).alias("kind"), F.when(called, parse_params(args)).alias("params"))
-
-
-def _typed_event(e: Column) -> Column:
-    kind, get = e["kind"], lambda k: F.try_element_at(e["params"], F.lit(k))
-    carries_task, carries_executor = kind.isin(*TASK_KINDS), kind.isin(*TASK_KINDS, *EXECUTOR_KINDS)
-    named = F.when(kind.isin(*MONITOR_KINDS), get("function_name")).when(kind == METRIC, get("name"))
-    fields = F.struct(
-        unsigned(get("core_id"), 8).alias("core"), F.when(carries_executor, unsigned(get("executor_id"), 32)).alias("executor"), F.when(carries_task, unsigned(get("task_id"), 32)).alias("task"),
-        named.alias("name"), F.when(kind == METRIC, real(get("value"))).alias("value"),
-    )
-
-    def row(f):
-        error = (
-            F.when(~e["is_event"], F.lit(None).cast("string"))
-            .when(kind.isNull(), "no call")
-            .when(~kind.isin(*KINDS), "unknown kind")
-            .when(f["core"].isNull(), "bad core_id")
-            .when(carries_executor & f["executor"].isNull(), "bad executor_id")
-            .when(carries_task & f["task"].isNull(), "bad task_id")
-            .when(kind.isin(*MONITOR_KINDS, METRIC) & f["name"].isNull(), "no name")
-            .when((kind == METRIC) & f["value"].isNull(), "bad value")
-        )
-        good = e["is_event"] & error.isNull()
-        ok = lambda c: F.when(good, c)
-        return F.struct(
-            e["params"].alias("params"), ok(f["core"].cast("int")).alias("core_id"), ok(kind).alias("kind"), ok(f["executor"]).alias("executor_id"), ok(f["task"]).alias("task_id"),
-            ok(f["name"]).alias("name"), ok(f["value"]).alias("value"), error.alias("event_parse_error"),
-        )
-
-    return let(fields, row)
+    rows = bound(rows, _wrong=wrong, _stamp=strip(F.substring(line, F.lit(1), opened - 1)), _level=strip(F.substring(line, opened + 1, closed - opened - 1)))
+    fine = F.col("_wrong").isNull()
+    rows = bound(rows, _seconds=F.when(fine, real(F.col("_stamp"))), _known=F.when(fine, normal_level(F.col("_level"))))
+    us = seconds_to_micros(F.col("_seconds"))
+    reason = F.coalesce(F.col("_wrong"), F.when(F.col("_known").isNull(), "unknown level").when(F.col("_seconds").isNull(), "bad timestamp").when(us.isNull(), "timestamp out of range"))
+    rows = bound(rows, ts_us=us, reject_reason=reason)
+    good = F.col("reject_reason").isNull()
+    message = strip(F.substring(line, closed + 1, F.length(line)))
+    return rows.select(*raw.columns, F.when(good, F.col("ts_us")).alias("ts_us"), F.when(good, F.col("_known")).alias("level"), F.when(good, message).alias("message"), "reject_reason")
 
 
 def decode_events(lines: DataFrame) -> DataFrame:
     """Log lines with params, core_id, kind, executor_id, task_id, name, value (kind is null for an
     ordinary line) and event_parse_error for text that starts like an event but is none."""
-    rows = lines.withColumn("_event", let(let(F.col("message"), _cut_call), _typed_event))
-    return rows.select(*lines.columns, *(f"_event.{c}" for c in ("params", "core_id", "kind", "executor_id", "task_id", "name", "value", "event_parse_error")))
+    rows = bound(lines, _message=F.col("message"))
+    rows = bound(rows, _event=F.coalesce(F.startswith("_message", F.lit("@")), F.lit(False)), _open=F.instr("_message", "("), _close=F.instr("_message", ")"))
+    called = F.col("_event") & (F.col("_open") > 0) & (F.col("_close") > F.col("_open"))
+    message, opened = F.col("_message"), F.col("_open")
+    rows = bound(rows, _kind=F.when(called, strip(F.substring(message, F.lit(2), opened - 2))), _args=F.when(called, F.substring(message, opened + 1, F.col("_close") - opened - 1)))
+    kind, args = F.col("_kind"), F.col("_args")
+    known, carries_task, carries_executor = kind.isin(*KINDS), kind.isin(*TASK_KINDS), kind.isin(*TASK_KINDS, *EXECUTOR_KINDS)
+    named, measured = kind.isin(*MONITOR_KINDS, METRIC), kind == METRIC
+    rows = bound(
+        rows,
+        _core_text=F.when(known, param(args, "core_id")), _executor_text=F.when(carries_executor, param(args, "executor_id")), _task_text=F.when(carries_task, param(args, "task_id")),
+        _name_text=F.when(kind.isin(*MONITOR_KINDS), param(args, "function_name")).when(measured, param(args, "name")), _value_text=F.when(measured, param(args, "value")),
+    )
+    rows = bound(rows, **{f"_{n}": value(F.col(f"_{n}_text")) for n in ("core", "executor", "task", "name", "value")})
+    rows = bound(rows, _core_id=unsigned(F.col("_core"), 8).cast("int"), _executor_id=unsigned(F.col("_executor"), 32), _task_id=unsigned(F.col("_task"), 32), _number=real(F.col("_value")))
+    error = (
+        F.when(~F.col("_event"), F.lit(None).cast("string"))
+        .when(kind.isNull(), "no call")
+        .when(~known, "unknown kind")
+        .when(F.col("_core_id").isNull(), "bad core_id")
+        .when(carries_executor & F.col("_executor_id").isNull(), "bad executor_id")
+        .when(carries_task & F.col("_task_id").isNull(), "bad task_id")
+        .when(named & F.col("_name").isNull(), "no name")
+        .when(measured & F.col("_number").isNull(), "bad value")
+    )
+    rows = bound(rows, event_parse_error=error)
+    good = F.col("_event") & F.col("event_parse_error").isNull()
+    typed = (F.when(good, F.col(c)).alias(n) for n, c in zip(_FIELDS, ("_core_id", "_kind", "_executor_id", "_task_id", "_name", "_number")))
+    return rows.select(*lines.columns, parse_params(args).alias("params"), *typed, "event_parse_error")
 
 
 def parsed(raw: DataFrame) -> DataFrame:
     return decode_events(parse_log_lines(raw))
 
 
-def route_lines(raw: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(log_events, log_lines, rejects)."""
-    rows = parsed(raw)
-    events = rows.filter("kind IS NOT NULL").select("session_id", "seq", "ts_us", "core_id", "kind", "executor_id", "task_id", "name", "value")
+def routes(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(log_events, log_lines, rejects) of parsed rows."""
+    events = rows.filter("kind IS NOT NULL").select("session_id", "seq", "ts_us", *_FIELDS)
     lines = rows.filter("kind IS NULL AND reject_reason IS NULL").select("session_id", "seq", "ts_us", "level", "message", "event_parse_error")
     rejects = rows.filter("reject_reason IS NOT NULL").select("session_id", "seq", "line", F.col("reject_reason").alias("reason"))
     return events, lines, rejects
 
 
+def route_lines(raw: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(log_events, log_lines, rejects) of raw lines; where several are read, write ``parsed`` first."""
+    return routes(parsed(raw))
+
+
 def render_message(kind: Column) -> Column:
     """Wire text of an event row; the inverse of ``decode_events``."""
     task = F.format_string("@%s(executor_id=%s, core_id=%s, task_id=%s)", kind, F.col("executor_id"), F.col("core_id"), F.col("task_id"))
