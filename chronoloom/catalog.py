@@ -6,11 +6,9 @@ per user. The SQL never sees the text of the lines: it starts from the columns t
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from chronoloom import fixtures, oracle
@@ -18,6 +16,7 @@ from chronoloom.functions.parse import format_log_line
 from chronoloom.operators import monitors, registry
 from chronoloom.operators import replay as rp
 from chronoloom.plans import derived, route, timeline
+from chronoloom.shared import kept, scratch
 from chronoloom.sources import logs
 
 
@@ -30,23 +29,12 @@ def _raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return route.render_event_lines(fixtures.scrambled_events(_events(spark, sf_dir)))
 
 
-def _scratch(spark: SparkSession, name: str) -> str:
-    return f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='spark-trace-')}/{name}-{uuid.uuid4().hex}"
-
-
-def _kept(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written once, for what reads it several times."""
-    path = _scratch(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def _log_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return route.route_lines(_raw(spark, sf_dir))[0]
 
 
 def _typed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _kept(_log_events(spark, sf_dir), "events")
+    return kept(_log_events(spark, sf_dir), "events")
 
 
 def _replayed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,14 +46,11 @@ def _well_formed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Symbols of the first scrambled executor and of the tasks, with a duplicate, an empty and a null address."""
-    rows = _events(spark, sf_dir).select(F.explode(F.array(
-        F.struct(F.lit(1073610704).cast("long").alias("address"), F.lit("app::old").alias("symbol"), F.lit(1).cast("long").alias("ord")),
-        F.struct(F.lit(1073610704).cast("long").alias("address"), F.lit("app::executor_lo::POOL::h0").alias("symbol"), F.lit(2).cast("long").alias("ord")),
-        F.struct(F.lit(0).cast("long").alias("address"), F.lit("nowhere").alias("symbol"), F.lit(3).cast("long").alias("ord")),
-        F.struct(F.lit(1073610720).cast("long").alias("address"), F.lit("").alias("symbol"), F.lit(4).cast("long").alias("ord")),
-    )).alias("s")).select(F.lit("b").alias("build_id"), "s.*")
-    return registry.load_symbols(rows)
+    return registry.load_symbols(fixtures.symbol_rows(_events(spark, sf_dir)))
+
+
+def _build():
+    return fixtures.build_of(F.col("session_id"))
 
 
 def _span_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -120,7 +105,7 @@ def load_symbols(spark, sf_dir):
 
 
 def resolve_symbols(spark, sf_dir):
-    known = registry.executor_registry(_log_events(spark, sf_dir)).withColumn("build_id", F.lit("b"))
+    known = registry.executor_registry(_log_events(spark, sf_dir)).withColumn("build_id", _build())
     return registry.resolve_symbols(known, _symbols(spark, sf_dir), "executor_id", "Executor").select("session_id", "core_id", "executor_id", "display_name")
 
 
@@ -168,50 +153,99 @@ def log_instants(spark, sf_dir):
 
 def _records(spark, sf_dir) -> DataFrame:
     both = _raw(spark, sf_dir).unionByName(_well_formed(spark, sf_dir).withColumn("session_id", F.col("session_id") + 1_000_000))
-    rows = _kept(route.parsed(both), "parsed")
-    events = rows.filter("kind IS NOT NULL").select("session_id", "seq", "ts_us", "core_id", "kind", "executor_id", "task_id", "name", "value")
-    lines = rows.filter("kind IS NULL AND reject_reason IS NULL")
-    return timeline.trace_events(events, lines, _kept(rp.replay(events), "replayed"), _symbols(spark, sf_dir), "b")
+    events, lines, _ = route.routes(kept(route.parsed(both).drop("params"), "parsed"))
+    return timeline.trace_events(events, lines, kept(rp.replay(events), "replayed"), _symbols(spark, sf_dir), _build())
 
 
 def trace_metadata(spark, sf_dir):
     events = _typed_events(spark, sf_dir)
     executors = registry.executor_registry(events)
-    rows = timeline.trace_metadata(registry.core_registry(events), executors, registry.task_registry(events, executors), _symbols(spark, sf_dir), "b")
+    rows = timeline.trace_metadata(registry.core_registry(events), executors, registry.task_registry(events, executors), _symbols(spark, sf_dir), _build())
     return rows.select("session_id", "seq", "name", "pid", "tid", F.try_element_at("args", F.lit("name")).alias("label"))
 
 
 def trace_events(spark, sf_dir):
-    """Records of each kind."""
-    return _records(spark, sf_dir).groupBy("session_id", "ph").agg(F.count(F.lit(1)).alias("n"))
+    """Every record of both traces, numbered in its session."""
+    rows = _records(spark, sf_dir)
+    n = F.row_number().over(Window.partitionBy("session_id").orderBy("seq", "sub")) - 1
+    return rows.select("session_id", n.cast("long").alias("n"), "ph", "name", "cat", "ts", "pid", "tid", "s", F.to_json("args").alias("args"), "value", "cname")
 
 
 def write_trace_json(spark, sf_dir):
-    """The documents are written and read back: lines and records per session."""
-    path = _scratch(spark, "timeline")
+    """The documents are written, and their lines read back in order."""
+    path = scratch(spark, "timeline")
     logs.write_trace_json(_records(spark, sf_dir), path)
-    rows = spark.read.text(path)
-    return rows.groupBy("session_id").agg(F.count(F.lit(1)).alias("n_lines"), F.sum(F.col("value").startswith("\t").cast("long")).alias("n_records"))
+    return logs.read_logs(spark, path)
+
+
+def complete_spans(spark, sf_dir):
+    rows = timeline.complete_records(_span_rows(spark, sf_dir))
+    return timeline.to_json(rows).select("session_id", "seq", "json")
+
+
+def passthrough(spark, sf_dir):
+    rows = kept(route.parsed(_well_formed(spark, sf_dir)).drop("params"), "parsed")
+    return logs.passthrough(*route.routes(rows)[1:])
+
+
+def write_tables(spark, sf_dir):
+    """Events and log lines written as tables and read back."""
+    path = scratch(spark, "tables")
+    rows = kept(route.parsed(_well_formed(spark, sf_dir)).drop("params"), "parsed")
+    events, lines, _ = route.routes(rows)
+    logs.write_tables({"events": events, "lines": lines}, path)
+    back = lambda name, df: spark.read.schema(df.schema).parquet(f"{path}/{name}").select(F.lit(name).alias("name"), "session_id", "seq", "ts_us")
+    return back("events", events).unionByName(back("lines", lines))
 
 
 def read_logs(spark, sf_dir):
     """Lines written by session, one file each, and read back in order."""
-    path = _scratch(spark, "logs")
+    path = scratch(spark, "logs")
     raw = _raw(spark, sf_dir)
     raw.repartition(8, "session_id").sortWithinPartitions("session_id", "seq").select("session_id", "line").write.partitionBy("session_id").text(path)
     return logs.read_logs(spark, path)
 
 
-def stream_trace(spark, sf_dir):
-    """The scrambled trace as a stream of one file, replayed by the stateful processor."""
-    from chronoloom.streaming.trace import stream_trace as start
+_MICRO_BATCHES = 4
+
+
+def _line_stream(spark: SparkSession, raw: DataFrame) -> DataFrame:
+    """``raw`` as a stream of _MICRO_BATCHES files, in the order of ``seq``."""
+    rows, path = kept(raw, "raw"), scratch(spark, "stream-in")
+    low, high = rows.agg(F.min("seq"), F.max("seq")).first()
+    at = F.floor((F.col("seq") - (low or 0)) * _MICRO_BATCHES / ((high or 0) - (low or 0) + 1))
+    for k in range(_MICRO_BATCHES):
+        rows.filter(at == k).coalesce(1).write.mode("append").parquet(path)
+    return logs.read_log_stream(spark, "parquet", {"maxFilesPerTrigger": "1"}, path)
+
 
-    source, sink = _scratch(spark, "stream-in"), _scratch(spark, "stream-out")
-    _raw(spark, sf_dir).write.parquet(source)
-    stream = start(logs.read_log_stream(spark, "parquet", {}, source))
-    query = stream.writeStream.format("parquet").option("path", sink).option("checkpointLocation", _scratch(spark, "stream-state")).trigger(availableNow=True).start()
+def _streamed_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from chronoloom.streaming import trace
+
+    trace.use_rocksdb(spark)
+    stream, sink = trace.stream_trace(_line_stream(spark, _raw(spark, sf_dir))), scratch(spark, "stream-out")
+    query = stream.writeStream.format("parquet").option("path", sink).option("checkpointLocation", scratch(spark, "stream-state")).trigger(availableNow=True).start()
     query.awaitTermination()
-    return rp.executor_transitions(spark.read.schema(stream.schema).parquet(sink))
+    return spark.read.schema(stream.schema).parquet(sink)
+
+
+def stream_trace(spark, sf_dir):
+    """The scrambled trace in several micro-batches, replayed by the stateful processor."""
+    return rp.executor_transitions(_streamed_replay(spark, sf_dir))
+
+
+def stream_counters(spark, sf_dir):
+    return rp.attribute_metrics(_streamed_replay(spark, sf_dir))
+
+
+def stream_route(spark, sf_dir):
+    """The well-formed trace in several micro-batches, routed to tables."""
+    from chronoloom.streaming import route as streamed
+
+    path = scratch(spark, "routed")
+    streamed.stream_route(_line_stream(spark, _well_formed(spark, sf_dir)), path, scratch(spark, "route-state"), availableNow=True).awaitTermination()
+    one = lambda name, kind: spark.read.parquet(f"{path}/{name}").select("session_id", "seq", F.lit(kind).alias("route"))
+    return one("events", "event").unionByName(one("lines", "log")).unionByName(one("rejects", "reject"))
 
 
 def state_durations(spark, sf_dir):
@@ -236,14 +270,14 @@ def metric_windows(spark, sf_dir):
 
 
 def trace_quality(spark, sf_dir):
-    rows = _kept(route.parsed(_well_formed(spark, sf_dir)), "parsed")
+    rows = kept(route.parsed(_well_formed(spark, sf_dir)), "parsed")
     return derived.trace_quality(rows, rows.filter("kind IS NOT NULL"))
 
 
 _ALL = (
     render_event_lines, parse_log_lines, parse_params, decode_event, route_lines, reject_reason, format_lines, core_registry, executor_registry, task_registry, load_symbols,
     resolve_symbols, route_events_to_cores, executor_transitions, task_transitions, core_occupancy, attribute_metrics, state_spans, monitor_events, monitor_spans, metric_counters,
-    log_instants, trace_metadata, trace_events, write_trace_json, read_logs, stream_trace, state_durations, core_utilization, function_stats, preemption_matrix, metric_windows, trace_quality,
+    log_instants, trace_metadata, trace_events, write_trace_json, complete_spans, passthrough, write_tables, read_logs, stream_trace, stream_counters, stream_route, state_durations, core_utilization, function_stats, preemption_matrix, metric_windows, trace_quality,
 )
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
 SQL = oracle.SQL

@@ -51,3 +51,22 @@ def well_formed_lines(events: DataFrame) -> DataFrame:
     event = F.concat(stamp, F.lit(" [INFO ] "), render_message(F.col("kind")))
     line = F.when(F.col("j") == 14, F.concat(stamp, F.lit(" [WARN ] Hello, world! "), F.col("event_id"))).when(F.col("j") == 15, F.concat(F.lit("no brackets here "), F.col("event_id"))).otherwise(event)
     return rows.select("session_id", "seq", line.alias("line"))
+
+
+def build_of(session):
+    """Two sessions share a build; the well-formed traces that are numbered from a million on have the same ones."""
+    return F.concat(F.lit("b"), F.floor(session % 1_000_000 / 2))
+
+
+def symbol_rows(events: DataFrame) -> DataFrame:
+    """build_id, address, symbol, ord: what the builds' symbol tables hold of the scrambled trace's executors
+    and tasks. Later rows rename an address; some rows have no name, some no address."""
+    c = F.col("c100")
+    b = _base(events).select("*", (F.floor(c / 2) % 3).alias("x"), (F.floor(c / 6) % 2).alias("t"))
+    address = lambda base, step, n: F.when(c % 7 == 0, F.lit(0)).otherwise(F.lit(base) + step * n).cast("long")
+    symbol = lambda kind, n, most: F.when((c % 5 == 0) | (n > most), F.lit("")).otherwise(F.concat(F.lit(f"app::{kind}_"), F.col("event_type"), F.lit("::POOL::h"), F.col("event_id")))
+    both = F.array(
+        F.struct(address(1073610704, 16, F.col("x")).alias("address"), symbol("executor", F.col("x"), 1).alias("symbol"), (F.col("event_id") * 2).alias("ord")),
+        F.struct(address(1073425160, 64, F.col("t")).alias("address"), symbol("task", F.col("t"), 0).alias("symbol"), (F.col("event_id") * 2 + 1).alias("ord")),
+    )
+    return b.select(build_of(F.col("session_id")).alias("build_id"), F.inline(both))

@@ -4,43 +4,33 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronoloom.operators.registry import executor_registry, route_events_to_cores
 from chronoloom.operators.step import Core
 from chronoloom.schemas import REPLAY
 
-_COLUMNS = [c.split()[0] for c in REPLAY.split(", ")]
-_WHOLE = ("executor_id", "task_id", "by_executor_id", "prev_executor_id", "pid")
+_INPUT = ("session_id", "target_core", "seq", "ts_us", "core_id", "kind", "executor_id", "task_id", "name", "value")
+_KINDS = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "double": pa.float64()}
+_SCHEMA = pa.schema([(name, _KINDS[kind]) for name, kind in (c.split() for c in REPLAY.split(", "))])
 
 
-def to_frame(rows: list[dict]) -> pd.DataFrame:
-    out = pd.DataFrame(rows, columns=_COLUMNS)
-    for c in _WHOLE:
-        out[c] = out[c].astype("Int64")
-    return out
-
-
-def _whole(x) -> int | None:
-    return None if x is None or x != x or x is pd.NA else int(x)
-
-
-def _replay(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _replay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Partitions sorted by (session, target core, seq); the order is asserted."""
     key, core, last = None, None, None
-    for pdf in batches:
+    for batch in batches:
         rows = []
-        for session, target, seq, ts, at, kind, executor, task, name, value in zip(*(pdf[c] for c in ("session_id", "target_core", "seq", "ts_us", "core_id", "kind", "executor_id", "task_id", "name", "value"))):
+        for session, target, seq, ts, at, kind, executor, task, name, value in zip(*(batch.column(c).to_pylist() for c in _INPUT)):
             if (session, target) != key:
-                key, core, last = (session, target), Core(int(target)), None
+                key, core, last = (session, target), Core(target), None
             if last is not None and seq < last:
                 raise ValueError(f"events of session {session} arrive out of order: {seq} after {last}")
             last = seq
-            for sub, r in enumerate(core.step(kind, int(at), _whole(executor), _whole(task), name, value)):
-                rows.append(r | {"session_id": session, "seq": seq, "sub": sub, "ts_us": ts, "core_id": int(target)})
-        yield to_frame(rows)
+            for sub, r in enumerate(core.step(kind, at, executor, task, name, value)):
+                rows.append(r | {"session_id": session, "seq": seq, "sub": sub, "ts_us": ts, "core_id": target})
+        yield pa.RecordBatch.from_pylist(rows, _SCHEMA)
 
 
 def replay(events: DataFrame, executors: DataFrame | None = None) -> DataFrame:
@@ -49,7 +39,7 @@ def replay(events: DataFrame, executors: DataFrame | None = None) -> DataFrame:
     routed = route_events_to_cores(events, executor_registry(events) if executors is None else executors)
     parts = int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = routed.repartition(parts, "session_id", "target_core").sortWithinPartitions("session_id", "target_core", "seq")
-    return ordered.mapInPandas(_replay, REPLAY)
+    return ordered.select(*_INPUT).mapInArrow(_replay, REPLAY)
 
 
 def executor_transitions(replayed: DataFrame) -> DataFrame:
@@ -72,8 +62,6 @@ def attribute_metrics(replayed: DataFrame) -> DataFrame:
 
 def state_spans(replayed: DataFrame) -> DataFrame:
     """A row per stay in a state; the last of an entity is open."""
-    from pyspark.sql import Window
-
     w = Window.partitionBy("session_id", "core_id", "rec", "executor_id", "task_key").orderBy("seq", "sub")
     # an executor's own rows name the task it polls, which is no part of its key
     rows = replayed.filter("rec IN ('executor', 'task')").withColumn("task_key", F.when(F.col("rec") == "task", F.col("task_id")))
@@ -86,8 +74,6 @@ def state_spans(replayed: DataFrame) -> DataFrame:
 
 def occupancy_spans(replayed: DataFrame) -> DataFrame:
     """A row per stay of an executor on its core."""
-    from pyspark.sql import Window
-
     w = Window.partitionBy("session_id", "core_id").orderBy("seq", "sub")
     rows = replayed.filter("rec = 'core'").withColumn("end_us", F.lead("ts_us").over(w))
     return rows.filter("executor_id IS NOT NULL").select("session_id", "core_id", "executor_id", F.col("ts_us").alias("start_us"), "end_us", (F.col("end_us") - F.col("ts_us")).alias("dur_us"))

@@ -1,40 +1,71 @@
 """Streaming replay: one stateful processor per session with the state machines of the batch replay.
 
-Rows of one micro-batch are ordered by ``seq``; between micro-batches the source must deliver a session's
-rows in order (as one Kafka partition per session does). A session's cores are kept as one state value.
+The state is a map with one entry per entity (a core, an executor, a task of it), so a micro-batch writes
+only the entities that it changed. Rows of one micro-batch are ordered by ``seq``; between micro-batches
+the source must deliver a session's rows in order (as one Kafka partition per session does).
 """
 
 from __future__ import annotations
 
-import pickle
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from chronoloom.operators.replay import _whole, to_frame
-from chronoloom.operators.step import Core
+from chronoloom.operators.step import Core, Machine
 from chronoloom.plans.route import route_lines
 from chronoloom.schemas import REPLAY
 
+_COLUMNS = [c.split()[0] for c in REPLAY.split(", ")]
+_NONE = -1
 
-def _advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    cores: dict[int, Core] = pickle.loads(state.get[0]) if state.exists else {}
-    # a micro-batch of one session is bounded by the source's rate limit
-    pdf = pd.concat(list(batches)).sort_values("seq", kind="stable")
-    rows = []
-    for seq, ts, at, kind, executor, task, name, value in zip(*(pdf[c] for c in ("seq", "ts_us", "core_id", "kind", "executor_id", "task_id", "name", "value"))):
-        at = int(at)
-        cores.setdefault(at, Core(at))
-        for core_id in sorted(cores):
-            for sub, r in enumerate(cores[core_id].step(kind, at, _whole(executor), _whole(task), name, value)):
-                rows.append(r | {"session_id": key[0], "seq": seq, "sub": sub, "ts_us": ts, "core_id": core_id})
-    state.update((pickle.dumps(cores),))
-    yield to_frame(rows)
+
+def use_rocksdb(spark: SparkSession) -> None:
+    """The state store that stateful processors need."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
+class Replay(StatefulProcessor):
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.entities = handle.getMapState("entities", "core_id int, executor_id long, task_id long", "state string, by long, back string, task long")
+
+    def _load(self) -> tuple[dict[int, Core], dict[tuple, tuple]]:
+        cores: dict[int, Core] = {}
+        held = {tuple(k): tuple(v) for k, v in self.entities.iterator()}
+        for (core, executor, task), (state, by, back, on) in sorted(held.items()):
+            c = cores.setdefault(core, Core(core))
+            if task != _NONE:
+                c.tasks.setdefault(executor, {})[task] = Machine(state, by)
+            elif executor != _NONE:
+                c.executors[executor] = Machine(state, by, back, on)
+                c.tasks.setdefault(executor, {})
+        return cores, held
+
+    def _store(self, cores: dict[int, Core], held: dict[tuple, tuple]) -> None:
+        now = {(c, _NONE, _NONE): ("", None, None, None) for c in cores}
+        for c, core in cores.items():
+            now |= {(c, i, _NONE): (m.state, m.by, m.back, m.task) for i, m in core.executors.items()}
+            now |= {(c, i, t): (m.state, m.by, None, None) for i, tasks in core.tasks.items() for t, m in tasks.items()}
+        for k, v in now.items():
+            if held.get(k) != v:
+                self.entities.updateValue(k, v)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timer_values) -> Iterator[Row]:
+        cores, held = self._load()
+        # a micro-batch of one session is bounded by the source's rate limit
+        for r in sorted(rows, key=lambda r: r["seq"]):
+            cores.setdefault(r["core_id"], Core(r["core_id"]))
+            for core_id in sorted(cores):
+                for sub, x in enumerate(cores[core_id].step(r["kind"], r["core_id"], r["executor_id"], r["task_id"], r["name"], r["value"])):
+                    out = x | {"session_id": key[0], "seq": r["seq"], "sub": sub, "ts_us": r["ts_us"], "core_id": core_id}
+                    yield Row(**{c: out.get(c) for c in _COLUMNS})
+        self._store(cores, held)
+
+    def close(self) -> None:
+        pass
 
 
 def stream_trace(raw: DataFrame) -> DataFrame:
-    """The rows of ``replay`` from a stream of raw_logs."""
+    """The rows of ``replay`` from a stream of raw_logs; the session needs ``use_rocksdb``."""
     events = route_lines(raw)[0]
-    return events.groupBy("session_id").applyInPandasWithState(_advance, REPLAY, "cores binary", "append", GroupStateTimeout.NoTimeout)
+    return events.groupBy("session_id").transformWithState(Replay(), REPLAY, "Append", "None")
