@@ -1,9 +1,7 @@
-"""Shared helpers: scratch tables in the shared folder, Arrow buffers, block iteration, tree sums."""
+"""Shared helpers: scratch tables in the shared folder (``materialize``), Arrow buffers, block iteration, tree sums."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,32 +9,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from chronoloom.shared import kept as materialize  # noqa: F401
+
 #: Bytes (or characters) of text that the Python side handles at once; bounds a worker's memory.
 BLOCK = 1 << 20
 
-_own_dir: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """Folder that driver and executors share: ``spark.checkpoint.dir``; a temporary one only where unset."""
-    sc = spark.sparkContext
-    where = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not where:
-        app = sc.applicationId
-        if app not in _own_dir:
-            _own_dir[app] = tempfile.mkdtemp(prefix="spark-shared-")
-            sc.setCheckpointDir(_own_dir[app])
-        where = _own_dir[app]
-    return where
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back; cuts lineage and survives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

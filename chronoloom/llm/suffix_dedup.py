@@ -4,33 +4,35 @@ A byte goes when some LENGTH-byte window that covers it also starts elsewhere, i
 
 1. In every window the 64-byte gram with the smallest hash is its anchor, so equal windows have equal
    anchors at the same place in them, and only windows of one anchor need comparing. Neighbouring windows
-   with one anchor form a run of about 170; a text travels as its runs: (anchor hash, hash of the bytes
-   the run spans, places).
-2. A run that occurs again as a whole is a repeat as a whole; one of its places stands for it from here.
+   with one anchor form a run of about 170; a text travels as its runs: (anchor hash, 128-bit BLAKE2b digest
+   of the bytes the run spans, places).
+2. A run that occurs again as a whole (equal digests) is a repeat as a whole; one of its places stands for
+   it from here.
 3. Where an anchor has different runs, the bytes of those runs (not texts) are gathered by anchor. Their
    windows are suffixes cut at LENGTH bytes: a mergesort puts them in order, each comparison finding the
    common extension by binary search over prefix polynomial hashes, and neighbours that agree in LENGTH
    bytes are verified on the bytes.
-4. An anchor with more than MOST_RUNS different runs (a passage in very many texts) is dealt out by
-   window content instead: rows (anchor, place, 128-bit hash) are counted with map-side aggregation, and
-   a run's windows are repeats except those that are counted once. Nothing is capped or left out.
+4. A task sorts at most BUCKET runs of an anchor at once. More of them are dealt out first: the distances
+   from a window's start to its anchor are halved, and the bytes that all windows of a half share are the
+   key of a bucket that only runs with equal bytes there enter. Buckets of one run are done, those of at
+   most BUCKET runs are sorted, others are halved again, down to single distances, where the shared bytes
+   are the whole window. So an anchor that very many texts have costs some rows a run, in any number of
+   tasks, and nothing is capped or left out.
 5. The repeats of a run are one interval (all its windows hold the anchor). Intervals are gathered by
    text, merged and cut out.
 
 Defined cases: null counts as empty; texts shorter than LENGTH lose nothing; rows that repeat a text are
-repeats of each other; an id stands for one row (rows that repeat an id share the intervals of all of
-them, cut at each text's end); null ids take part and are returned; an empty table gives an empty result;
-other columns are ignored.
+repeats of each other; rows that repeat an id are told apart by their texts; null ids take part and are
+returned; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,8 +40,12 @@ from chronoloom.llm.common import BLOCK, blocks, buffers, id_text, materialize,
 from chronoloom.llm.hashing import PrefixHash
 
 LENGTH, GRAM = 400, 64
-#: Different runs of one anchor that a task compares at once: about 6 MB of bytes and 1.4 million windows.
-MOST_RUNS = 8192
+#: Runs that are sorted at once: about 300 kB of bytes and 90,000 windows.
+BUCKET = 512
+#: Distances from a window's start to its anchor.
+PLACES = LENGTH - GRAM + 1
+#: Tasks that one bucket's rows are dealt to where they meet its count.
+SALTS = 16
 _POS = np.uint64((1 << 21) - 1)
 
 
@@ -81,6 +87,12 @@ def _pieces(off: np.ndarray) -> list[tuple[int, int, int]]:
     return out
 
 
+def _digests(parts: Iterable) -> tuple[np.ndarray, np.ndarray]:
+    """Both halves of the 128-bit digest of each part."""
+    raw = np.frombuffer(b"".join([hashlib.blake2b(x, digest_size=16).digest() for x in parts]), np.int64).reshape(-1, 2)
+    return raw[:, 0].copy(), raw[:, 1].copy()
+
+
 def _run_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         off, data = buffers(batch.column("text"))
@@ -91,10 +103,11 @@ def _run_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             at = np.cumsum([0, *(hi - lo for _, lo, hi in some)])
             g, t, a, lo, hi = runs_of(part, at)
             raw = memoryview(part.tobytes())
-            spans = np.array([xxhash.xxh3_64_intdigest(raw[x : y + LENGTH]) for x, y in zip(lo.tolist(), hi.tolist())], np.uint64)
+            f1, f2 = _digests(raw[x : y + LENGTH] for x, y in zip(lo.tolist(), hi.tolist()))
             rows = np.array([r for r, _, _ in some], np.int64)[t]
             back = np.array([x for _, x, _ in some], np.int64)[t] - off[rows] - at[t]
-            yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(rows)), *(pa.array(x) for x in (signed(g), signed(spans), a + back, lo + back, hi + back))], ["id", "g", "f", "a", "lo", "hi"])
+            of = pa.array(rows)
+            yield pa.RecordBatch.from_arrays([batch.column("id").take(of), batch.column("t").take(of), *(pa.array(x) for x in (signed(g), f1, f2, a + back, lo + back, hi + back))], ["id", "t", "g", "f1", "f2", "a", "lo", "hi"])
 
 
 class SuffixSort:
@@ -176,73 +189,84 @@ class SuffixSort:
         return np.unique(np.concatenate([x[pair], y[pair]]))
 
 
-def _compare(rows: list[tuple]) -> Iterator[tuple[int, int, int, int]]:
-    """(g, f, first, last place of a repeat against the anchor) of runs (g, f, n, anchor in bytes, bytes)."""
-    data = np.frombuffer(b"".join(r[4] for r in rows), np.uint8)
-    size = np.array([len(r[4]) for r in rows], np.int64)
-    base, windows = np.cumsum(size) - size, size - LENGTH + 1
+def _compare(rows: list[tuple]) -> Iterator[tuple[int, int, int, int, int]]:
+    """(g, f1, f2, first, last place of a repeat against the anchor) of runs (bucket, g, f1, f2, n, anchor in
+    bytes, bytes, least and past greatest distance of the windows to compare)."""
+    data = np.frombuffer(b"".join(r[6] for r in rows), np.uint8)
+    size = np.array([len(r[6]) for r in rows], np.int64)
+    anchor, low, high = (np.array([r[k] for r in rows], np.int64) for k in (5, 7, 8))
+    base = np.cumsum(size) - size
+    begin = np.maximum(anchor - high + 1, 0)
+    windows = np.minimum(size - LENGTH, anchor - low) - begin + 1
     owner = np.repeat(np.arange(len(rows)), windows)
-    at = np.arange(windows.sum()) - np.repeat(np.cumsum(windows) - windows, windows)
-    place = at - np.array([r[3] for r in rows], np.int64)[owner]
+    at = np.arange(windows.sum()) - np.repeat(np.cumsum(windows) - windows - begin, windows)
     _, group = np.unique(np.array([r[0] for r in rows], np.int64), return_inverse=True)
-    bucket = group[owner] * 1024 + place + LENGTH
+    bucket = group[owner] * 1024 + anchor[owner] - at
     order = np.argsort(bucket, kind="stable")
     pos = base[owner] + at
     again = SuffixSort(data, LENGTH).repeats(pos[order], bucket[order])
     if not len(again):
         return
     who = np.searchsorted(base, again, "right") - 1
-    where = again - base[who] - np.array([r[3] for r in rows], np.int64)[who]
+    where = again - base[who] - anchor[who]
     first = np.flatnonzero(np.concatenate(([True], who[1:] != who[:-1])))
     for w, a, b in zip(who[first], np.minimum.reduceat(where, first), np.maximum.reduceat(where, first)):
-        if rows[w][2] == 1:
-            yield rows[w][0], rows[w][1], int(a), int(b)
+        if rows[w][4] == 1:
+            yield *rows[w][1:4], int(a), int(b)
 
 
 def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Runs in the order of g; anchors are taken together up to a bounded number of bytes."""
+    """Runs in the order of buckets; buckets are taken together up to a bounded number of bytes."""
     held: list[tuple] = []
-    size, g = 0, None
+    size, b = 0, None
 
     def out() -> pa.RecordBatch:
         found = list(_compare(held))
-        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in found], pa.int64()) for k in range(4)], ["g", "f", "first", "last"])
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in found], pa.int64()) for k in range(5)], ["g", "f1", "f2", "first", "last"])
 
     for batch in batches:
-        columns = [batch.column(c).to_pylist() for c in ("g", "f", "n", "at", "span")]
+        columns = [batch.column(c).to_pylist() for c in ("b", "g", "f1", "f2", "n", "at", "span", "low", "high")]
         for row in zip(*columns):
-            if row[0] != g and size > 1 << 19:
+            if row[0] != b and size > 1 << 19:
                 yield out()
                 held, size = [], 0
-            g = row[0]
+            b = row[0]
             held.append(row)
-            size += len(row[4])
+            size += len(row[6])
     if held:
         yield out()
 
 
-def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row (g, place, two hashes, f) for every window of a run."""
+def _halves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The runs in the halves of their distances that they have windows in, with the digest of the bytes
+    that all windows of the half share."""
     for batch in batches:
-        for g, f, anchor, span in zip(*(batch.column(c).to_pylist() for c in ("g", "f", "at", "span"))):
-            data = np.frombuffer(span, np.uint8)
-            s = np.arange(len(data) - LENGTH + 1)
-            one = mix64(PrefixHash(data).of(s, s + LENGTH))
-            two = np.array([xxhash.xxh3_64_intdigest(span[k : k + LENGTH]) for k in s], np.uint64)
-            n = len(s)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, g, np.int64)), pa.array((s - anchor).astype(np.int32)), pa.array(signed(one)), pa.array(signed(two)), pa.array(np.full(n, f, np.int64))], ["g", "place", "h1", "h2", "f"])
+        rows, low, high, shared = [], [], [], []
+        for k, (at, lo, hi, size) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("at", "low", "high", "size")))):
+            span = batch.column("span")[k].as_buffer()
+            mid = (lo + hi) // 2
+            for x, y in ((lo, mid), (mid, hi)):
+                if x <= at and y - 1 >= at - (size - LENGTH):
+                    rows.append(k)
+                    low.append(x)
+                    high.append(y)
+                    shared.append(memoryview(span)[at - x : at - y + 1 + LENGTH])
+        k1, k2 = _digests(shared)
+        of = pa.array(rows, pa.int64())
+        kept = ("g", "f1", "f2", "n", "at", "span")
+        yield pa.RecordBatch.from_arrays([*(batch.column(c).take(of) for c in kept), pa.array(low, pa.int64()), pa.array(high, pa.int64()), pa.array(k1), pa.array(k2)], [*kept, "low", "high", "k1", "k2"])
 
 
 def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        text, found = batch.column("text"), [[], [], [], [], [], []]
+        text, found = batch.column("text"), [[] for _ in range(7)]
         for k, wanted in enumerate(batch.column("wanted").to_pylist()):
             raw = text[k].as_py()
             for w in wanted:
-                for col, v in zip(found, (w["g"], w["f"], w["n"], w["m"], w["a"] - w["lo"], raw[w["lo"] : w["hi"] + LENGTH])):
+                for col, v in zip(found, (w["g"], w["f1"], w["f2"], w["n"], w["m"], w["a"] - w["lo"], raw[w["lo"] : w["hi"] + LENGTH])):
                     col.append(v)
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(found, kinds)], ["g", "f", "n", "m", "at", "span"])
+        kinds = (*[pa.int64()] * 6, pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(found, kinds)], ["g", "f1", "f2", "n", "m", "at", "span"])
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -271,43 +295,71 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(np.diff(off)), pa.array(removed, pa.int64()), pa.array(n_spans, pa.int64()), pa.array(digests)], ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
-def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, lo, hi): byte intervals of the texts that go; they may overlap."""
+_BUCKETS = "b long, g long, f1 long, f2 long, n long, at long, span binary, low long, high long"
+_FOUND = "g long, f1 long, f2 long, first long, last long"
+
+
+def _dealt(hot: DataFrame) -> tuple[list[DataFrame], list[DataFrame]]:
+    """(buckets to sort, repeats found) of runs of anchors that have more than BUCKET of them."""
+    key = ["g", "low", "k1", "k2"]
+    buckets, found, now = [], [], hot.select("g", "f1", "f2", "n", "at", "span", F.lit(0).cast("long").alias("low"), F.lit(PLACES).cast("long").alias("high"))
+    while not now.isEmpty():
+        halves = now.withColumn("size", F.length("span")).mapInArrow(_halves, "g long, f1 long, f2 long, n long, at long, span binary, low long, high long, k1 long, k2 long")
+        counts = halves.groupBy(*key).agg(F.count(F.lit(1)).alias("held")).filter("held > 1").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        salted = halves.withColumn("salt", F.pmod("f1", F.lit(SALTS)).cast("int"))
+        rows = materialize(salted.join(counts.hint("merge"), [*key, "salt"]).withColumn("b", F.xxhash64(*key)), "suffix-halves")
+        found.append(rows.filter("high = low + 1 AND n = 1").select("g", "f1", "f2", (-F.col("low")).alias("first"), (-F.col("low")).alias("last")))
+        wide = rows.filter("high > low + 1")
+        buckets.append(wide.filter(F.col("held") <= BUCKET).select("b", "g", "f1", "f2", "n", "at", "span", "low", "high"))
+        now = wide.filter(F.col("held") > BUCKET).select("g", "f1", "f2", "n", "at", "span", "low", "high")
+    return buckets, found
+
+
+def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """id, t, text: an id and the hash of its text stand for a row; rows equal in both lose the same bytes."""
     texts = id_text(docs, id_col, text_col)
+    return texts.select("id", F.xxhash64("text").alias("t"), "text")
+
+
+def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, t, lo, hi): byte intervals that go of the texts with that id and hash; they may overlap."""
+    texts = _keyed(docs, id_col, text_col)
     id_type = texts.schema["id"].dataType.simpleString()
-    runs = materialize(texts.mapInArrow(_run_rows, f"id {id_type}, g long, f long, a long, lo long, hi long"), "suffix-runs")
-    key = F.xxhash64("id", "lo")
-    by_run = runs.groupBy("g", "f").agg(F.count(F.lit(1)).alias("n"), *(F.min_by(c, key).alias(c) for c in ("id", "a", "lo", "hi")))
+    runs = materialize(texts.mapInArrow(_run_rows, f"id {id_type}, t long, g long, f1 long, f2 long, a long, lo long, hi long"), "suffix-runs")
+    key = F.xxhash64("id", "t", "lo")
+    by_run = runs.groupBy("g", "f1", "f2").agg(F.count(F.lit(1)).alias("n"), *(F.min_by(c, key).alias(c) for c in ("id", "t", "a", "lo", "hi")))
     several = by_run.groupBy("g").agg(F.count(F.lit(1)).alias("m"), F.min("n").alias("least")).filter("m > 1 AND least = 1").select("g", "m")
     classes = materialize(by_run.join(several.hint("merge"), "g", "left").filter("n > 1 OR m IS NOT NULL"), "suffix-classes")
 
-    unsure = classes.filter("m IS NOT NULL").select("id", F.struct("g", "f", "n", "m", "a", "lo", "hi").alias("w"))
-    wanted = unsure.groupBy("id").agg(F.collect_list("w").alias("wanted")).withColumnRenamed("id", "wanted_id")
-    spans = texts.join(wanted.hint("merge"), texts["id"].eqNullSafe(F.col("wanted_id"))).select("text", "wanted").mapInArrow(_spans, "g long, f long, n long, m long, at long, span binary")
-    spans = materialize(spans, "suffix-spans")
+    unsure = classes.filter("m IS NOT NULL").select("id", "t", F.struct("g", "f1", "f2", "n", "m", "a", "lo", "hi").alias("w"))
+    wanted = unsure.groupBy("id", "t").agg(F.collect_list("w").alias("wanted")).withColumnsRenamed({"id": "wanted_id", "t": "wanted_t"})
+    one = texts.dropDuplicates(["id", "t"]) if _repeats_ids(docs, id_col) else texts
+    spans = one.join(wanted.hint("merge"), one["id"].eqNullSafe(F.col("wanted_id")) & (one["t"] == F.col("wanted_t"))).select("text", "wanted")
+    spans = materialize(spans.mapInArrow(_spans, "g long, f1 long, f2 long, n long, m long, at long, span binary"), "suffix-spans")
+    few = spans.filter(F.col("m") <= BUCKET).select(F.col("g").alias("b"), "g", "f1", "f2", "n", "at", "span", F.lit(0).cast("long").alias("low"), F.lit(PLACES).cast("long").alias("high"))
+    buckets, found = _dealt(spans.filter(F.col("m") > BUCKET))
+    for more in buckets:
+        few = few.union(more)
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    few = spans.filter(F.col("m") <= MOST_RUNS).repartition(parts, "g").sortWithinPartitions("g")
-    partial = few.mapInArrow(_compared, "g long, f long, first long, last long")
-
-    many = spans.filter(F.col("m") > MOST_RUNS)
-    counted = many.mapInArrow(_window_rows, "g long, place int, h1 long, h2 long, f long").groupBy("g", "place", "h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.min("f").alias("f"))
-    single = counted.filter("n = 1").groupBy("g", "f").agg(F.collect_set("place").alias("single"))
-    places = F.sequence(-F.col("at"), F.length("span") - LENGTH - F.col("at"))
-    held = many.filter("n = 1").select("g", "f", F.transform(places, lambda p: p.cast("int")).alias("places")).join(single.hint("merge"), ["g", "f"], "left")
-    again = F.array_except("places", F.coalesce("single", F.array().cast("array<int>")))
-    dealt = held.select("g", "f", F.array_min(again).cast("long").alias("first"), F.array_max(again).cast("long").alias("last")).filter("first IS NOT NULL")
-
-    whole = classes.filter("n > 1").select("g", "f", F.lit(None).cast("long").alias("first"), F.lit(None).cast("long").alias("last"))
-    found = whole.union(partial).union(dealt)
+    partial = few.repartition(parts, "b").sortWithinPartitions("b").mapInArrow(_compared, _FOUND)
+    for more in found:
+        partial = partial.union(more)
+
+    whole = classes.filter("n > 1").select("g", "f1", "f2", F.lit(None).cast("long").alias("first"), F.lit(None).cast("long").alias("last"))
     lo = F.coalesce(F.col("a") + F.col("first"), F.col("lo"))
     hi = F.coalesce(F.col("a") + F.col("last"), F.col("hi")) + LENGTH
-    return runs.join(found.hint("merge"), ["g", "f"]).select("id", lo.alias("x"), hi.alias("y"))
+    return runs.join(whole.union(partial).hint("merge"), ["g", "f1", "f2"]).select("id", "t", lo.alias("x"), hi.alias("y"))
+
+
+def _repeats_ids(docs: DataFrame, id_col: str) -> bool:
+    ids = docs.select(F.col(f"`{id_col}`").alias("id"))
+    return not ids.groupBy("id").count().filter("count > 1").isEmpty()
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: id, n_bytes, n_removed, n_spans, kept_sha256."""
-    cuts = repeated_spans(docs, id_col, text_col).groupBy("id").agg(F.collect_set(F.struct("x", "y")).alias("cuts")).withColumnRenamed("id", "cut_id")
-    texts = id_text(docs, id_col, text_col)
+    cuts = repeated_spans(docs, id_col, text_col).groupBy("id", "t").agg(F.collect_set(F.struct("x", "y")).alias("cuts")).withColumnsRenamed({"id": "cut_id", "t": "cut_t"})
+    texts = _keyed(docs, id_col, text_col)
     id_type = texts.schema["id"].dataType.simpleString()
-    joined = texts.join(cuts.hint("merge"), texts["id"].eqNullSafe(F.col("cut_id")), "left").select("id", "text", "cuts")
+    joined = texts.join(cuts.hint("merge"), texts["id"].eqNullSafe(F.col("cut_id")) & (texts["t"] == F.col("cut_t")), "left").select("id", "text", "cuts")
     return joined.mapInArrow(_cut, f"id {id_type}, n_bytes long, n_removed long, n_spans long, kept_sha256 string").withColumnRenamed("id", id_col)

@@ -154,9 +154,9 @@ def removed(texts):
     return out
 
 
-@pytest.mark.parametrize("most", [8192, 2])
+@pytest.mark.parametrize("most", [512, 2])
 def test_suffix_dedup_matches_brute_force(spark, texts, monkeypatch, most):
-    monkeypatch.setattr(suffix_dedup, "MOST_RUNS", most)
+    monkeypatch.setattr(suffix_dedup, "BUCKET", most)
     some = {i: t for i, t in texts.items() if len(t) < 6000}
     shared = "".join(chr(97 + (k * k * 7 + k) % 26) for k in range(900))
     some |= {1000 + k: f"{k} start " + shared[k * 7 : 500 + k * 23] + f" end {k} " + "ab" * 300 * (k % 2) for k in range(12)}
@@ -165,6 +165,33 @@ def test_suffix_dedup_matches_brute_force(spark, texts, monkeypatch, most):
     assert got == want
 
 
+def test_suffix_dedup_tells_rows_of_one_id_apart(spark):
+    rng = np.random.default_rng(12)
+    a, b, c = (bytes(rng.integers(97, 123, n, dtype=np.uint8)).decode() for n in (900, 900, 500))
+    rows = [(1, a), (1, b), (2, a), (None, c), (None, c + "x"), (3, a[:450]), (4, b + a[100:520]), (4, b + a[100:520])]
+    want = [removed([(k, t.encode()) for k, (_, t) in enumerate(rows)])[k] for k in range(len(rows))]
+    got = sorted((str(r["doc_id"]), r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in suffix_dedup.remove_repeats(frame(spark, rows)).collect())
+    assert got == sorted((str(i), *w) for (i, _), w in zip(rows, want))
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_suffix_dedup_deals_a_hot_anchor_out(spark, monkeypatch, seed):
+    """A passage in many texts, with different surroundings, cut at any place, and copies that change a byte."""
+    monkeypatch.setattr(suffix_dedup, "BUCKET", 4)
+    rng = np.random.default_rng(seed)
+    letters = lambda n: bytes(rng.integers(97, 123, n, dtype=np.uint8))
+    passage, head, some = letters(700), letters(200), []
+    for k in range(90):
+        lo, hi = int(rng.integers(0, 150)), 700 - int(rng.integers(0, 150))
+        part = bytearray(passage[lo:hi])
+        if k % 4 == 0:
+            part[int(rng.integers(0, len(part)))] = 65
+        some.append((k, (letters(int(rng.integers(0, 40))) + (head if k % 3 == 0 else b"") + bytes(part) + letters(int(rng.integers(0, 40)))).decode()))
+    want = removed([(i, t.encode()) for i, t in some])
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in suffix_dedup.remove_repeats(frame(spark, some)).collect()}
+    assert got == want
+
+
 def test_suffix_dedup_long_text_in_pieces(spark, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "BLOCK", 3000)
     rng = np.random.default_rng(1)
