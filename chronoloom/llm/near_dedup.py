@@ -15,6 +15,8 @@
    round has left most of them open, the rest of the buckets' pairs across components is compared without
    any cap. There a parity sketch of PARITY bits rejects first: it differs in at most as many bits as the
    sets do in members, so what it rejects is certainly below the similarity.
+5. A bucket of more than CELL rows is dealt out to cells by a hash of the id: every cell is compared with
+   the bucket's centres, or in the last round with all of its members, in a task of its own.
 
 Defined cases: null and empty texts and texts without words have an empty set, a component of their own,
 and no links; fewer than five words are one shingle; null ids are linked with nothing and have a null
@@ -44,6 +46,8 @@ FAR = 36
 OPEN_PAIRS, STAR_ROUNDS, CENTRES = 1.0, 4, 6
 #: Bits of the parity sketch.
 PARITY = 1024
+#: Rows of a bucket that a task compares with its centres; a larger bucket is dealt out by salts.
+CELL = 512
 
 _rng = np.random.default_rng(2024)
 _MULT = _rng.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -140,15 +144,26 @@ def _links(pairs: DataFrame, texts: DataFrame, id_type: str) -> DataFrame:
 _MEMBER = ("id", "component", "n", "low", "high")
 
 
+def _cells():
+    """The cells of a bucket."""
+    return F.sequence(F.lit(0), F.floor((F.col("held") - 1) / CELL).cast("int"))
+
+
+def _celled(rows: DataFrame) -> DataFrame:
+    """Bucket rows with the cell that each is in."""
+    return rows.withColumn("cell", F.pmod(F.xxhash64("id"), F.size(_cells())).cast("int"))
+
+
 def _pairs(a: DataFrame, b: DataFrame, once: bool) -> DataFrame:
     """Distinct (u, v) of one bucket, of different components, with like sizes and sketches; with ``once``
-    u < v, and parity sketches are compared as well."""
+    u < v, and parity sketches are compared as well. The rows of ``a`` stay in their cells, those of ``b``
+    go to all cells of the bucket."""
     columns = (*_MEMBER, "odd") if once else _MEMBER
-    u = a.select("band", "h", *(F.col(c).alias(f"{c}_u") for c in columns))
-    v = b.select("band", "h", *(F.col(c).alias(f"{c}_v") for c in columns))
+    u = _celled(a).select("band", "h", "cell", *(F.col(c).alias(f"{c}_u") for c in columns))
+    v = b.select("band", "h", F.explode(_cells()).alias("cell"), *(F.col(c).alias(f"{c}_v") for c in columns))
     bits = F.bit_count(F.col("low_u").bitwiseXOR(F.col("low_v"))) + F.bit_count(F.col("high_u").bitwiseXOR(F.col("high_v")))
     sizes = (100 * F.col("n_u") >= PERCENT * F.col("n_v")) & (100 * F.col("n_v") >= PERCENT * F.col("n_u"))
-    alike = (u["band"] == v["band"]) & (u["h"] == v["h"]) & (F.col("component_u") != F.col("component_v")) & sizes & (bits <= FAR)
+    alike = (u["band"] == v["band"]) & (u["h"] == v["h"]) & (u["cell"] == v["cell"]) & (F.col("component_u") != F.col("component_v")) & sizes & (bits <= FAR)
     if once:
         odd = sum((F.bit_count(F.get("odd_u", F.lit(i)).bitwiseXOR(F.get("odd_v", F.lit(i)))) for i in range(PARITY // 64)), F.lit(0))
         alike = alike & (F.col("id_u") < F.col("id_v")) & ((100 + PERCENT) * odd <= (100 - PERCENT) * (F.col("n_u") + F.col("n_v")))
@@ -159,15 +174,15 @@ def _centres(rows: DataFrame, turn: int) -> DataFrame:
     """The bucket's smallest member, or random ones."""
     keys = [F.col("id")] if turn == 0 else [F.xxhash64("id", F.lit(turn * CENTRES + k)) for k in range(CENTRES)]
     one = lambda k, key: F.struct(*(F.col(f"{c}{k}").alias(c) for c in _MEMBER))
-    found = rows.groupBy("band", "h").agg(*(F.min_by(c, key).alias(f"{c}{k}") for k, key in enumerate(keys) for c in _MEMBER))
-    return found.select("band", "h", F.inline(F.array_distinct(F.array(*(one(k, key) for k, key in enumerate(keys))))))
+    found = rows.groupBy("band", "h").agg(F.max("held").alias("held"), *(F.min_by(c, key).alias(f"{c}{k}") for k, key in enumerate(keys) for c in _MEMBER))
+    return found.select("band", "h", "held", F.inline(F.array_distinct(F.array(*(one(k, key) for k, key in enumerate(keys))))))
 
 
 def _mixed(rows: DataFrame, found: DataFrame) -> DataFrame:
     """The bucket rows with their components now, of buckets that hold several components."""
     now = rows.drop("component").join(found.hint("merge"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    several = now.groupBy("band", "h").agg(F.min("component").alias("a"), F.max("component").alias("b")).filter("a <> b").select("band", "h")
-    return materialize(now.join(several.hint("merge"), ["band", "h"], "left_semi"), "near-mixed")
+    several = now.groupBy("band", "h").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.max("held").alias("held")).filter("a <> b").select("band", "h", F.explode(_cells()).alias("cell"))
+    return materialize(_celled(now).join(several.hint("merge"), ["band", "h", "cell"], "left_semi").drop("cell"), "near-mixed")
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest: bool = False) -> DataFrame:
@@ -181,8 +196,8 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     classes = materialize(named.groupBy("key").agg(F.min("id").alias("rep")), "near-classes")
     heads = named.join(classes.hint("merge"), (named["key"] == classes["key"]) & (named["id"] == classes["rep"]), "left_semi")
     rows = heads.select("id", F.col("id").alias("component"), "n", "low", "high", F.posexplode("bands").alias("band", "h"))
-    shared = rows.groupBy("band", "h").agg(F.min("id").alias("a"), F.max("id").alias("b")).filter("a <> b").select("band", "h")
-    rows = materialize(rows.join(shared.hint("merge"), ["band", "h"], "left_semi"), "near-buckets")
+    shared = rows.groupBy("band", "h").agg(F.min("id").alias("a"), F.max("id").alias("b"), F.count(F.lit(1)).alias("held")).filter("a <> b").select("band", "h", "held")
+    rows = materialize(rows.join(shared.hint("merge"), ["band", "h"]), "near-buckets")
     members = rows.select("id").distinct()
     candidates = materialize(texts.join(members.hint("merge"), "id", "left_semi").dropDuplicates(["id"]), "near-texts")
 

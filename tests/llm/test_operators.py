@@ -112,6 +112,36 @@ def test_near_dedup_open_pairs_of_a_bucket(spark):
     assert got == label
 
 
+def test_near_dedup_in_small_cells(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "CELL", 4)
+    rng = np.random.default_rng(5)
+    base, some = [f"w{k}" for k in range(150)], {}
+    for i in range(60):
+        w = list(base)
+        for at in rng.integers(0, 150, int(rng.integers(0, 9))):
+            w[at] = f"x{i}-{at}"
+        some[i] = " ".join(w)
+    _, label = near_components(some)
+    assert {r["doc_id"]: r["component_id"] for r in near_dedup.near_groups(frame(spark, some.items())).collect()} == label
+
+
+def test_near_dedup_finds_pairs_just_above_the_similarity(spark):
+    """400 pairs of different texts each, at similarities from 0.75 to 0.80."""
+    rng = np.random.default_rng(6)
+    some, want = {}, 0
+    for k in range(400):
+        w = [f"{k}-{x}" for x in rng.integers(0, 10**9, 300)]
+        v = list(w)
+        for at in rng.choice(np.arange(5, 295, 6), 8, replace=False):
+            v[at] = f"{k}-new-{at}"
+        a, b = shingles(" ".join(w)), shingles(" ".join(v))
+        if 100 * len(a & b) >= 75 * len(a | b):
+            want += 1
+            some[2 * k], some[2 * k + 1] = " ".join(w), " ".join(v)
+    got = {r["doc_id"]: r["component_id"] for r in near_dedup.near_groups(frame(spark, some.items())).collect()}
+    assert want == 400 and all(got[2 * k + 1] == 2 * k for k in range(400))
+
+
 def test_near_dedup_cases(odd, empty):
     rows = near_dedup.near_groups(odd).collect()
     assert len(rows) == len(ODD)
