@@ -373,6 +373,27 @@ def test_overlapping_bands_lose_no_start():
                 assert found and found[0][3] <= k, (m, start, "".join(t))
 
 
+def test_decontamination_judges_rows_and_short_and_long_items(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    words = ["".join(rng.choice(list("abcdefghij"), 6)) for _ in range(900)]
+    long = " ".join(words)
+    bench = spark.createDataFrame([(1, "What is 2+2? Four."), (2, long), (2, long), (3, "yes"), (None, "an item that has no id at all"), (4, "y" * 300), (5, "  \n")], "item_id long, text string")
+    rows = [(1, "so: what is 2+2?  four. "), (1, "a clean text"), (None, "so what is 2+2? fourth"), (None, "oh YES, it is"), (2, "eyes on yesterday"), (3, "x " + " ".join(words[200:420]) + " x"), (4, "here is an item that has no id at all."), (5, "y" * 4000), (6, long)]
+    want = {(1, 0): [1], (1, 1): [], (None, 0): [], (None, 1): [3], (2, 0): [], (3, 0): [2], (4, 0): [None], (5, 0): [4], (6, 0): [2]}
+    for most in (4_000_000, 500):
+        monkeypatch.setattr(decontamination, "MOST_HITS", most)
+        got = sorted((str(r["doc_id"]), r["contaminated"], r["n_items"], list(r["items"])) for r in decontamination.contamination(frame(spark, rows), bench).collect())
+        assert got == sorted((str(i), bool(v), len(v), [x for x in v if x is not None]) for (i, _), v in want.items())
+    kept = decontamination.decontaminate(frame(spark, rows), bench).collect()
+    assert sorted((str(r["doc_id"]), r["text"]) for r in kept) == sorted((str(i), t) for (i, t), v in zip(rows, want.values()) if not v)
+
+
+def test_decontamination_blocks_fit_a_task(spark):
+    bench = spark.createDataFrame([(k % 7, f"item number {k} of the benchmark, with some words") for k in range(300)] + [(1, "z" * 5000), (1, "z" * 5000)], "item_id long, text string")
+    parts = list(decontamination.item_blocks(bench, "item_id", "text", most=2000))
+    assert sum(len(ids) for ids, _ in parts) == 301 and all(sum(map(len, texts)) <= 4000 for _, texts in parts)
+
+
 def test_decontamination_cases(spark, odd, empty):
     bench = spark.createDataFrame([(1, "Lorem 5 ipsum dolor, sit amet. Lorem 6 ipsum dolor")], "item_id long, text string")
     rows = decontamination.contamination(odd, bench).collect()
