@@ -7,16 +7,18 @@
    family), is fitted by gradient descent whose steps are joins and aggregations. It learns from the
    templates and from at most SAMPLE paragraphs of ``docs`` (the first in the order of a hash), whose
    equal feature sets count as one weighted example.
-3. The probability that counts is calibrated: the cut lies midway between the weakest template's own
-   family and the strongest family among all paragraphs of no family.
+3. The probability that counts is calibrated on what the regressions did not learn from: the cut lies
+   midway between the median own family of the wordings in HELD_OUT and the strongest family among all
+   paragraphs of no family.
 4. A prediction holds if the paragraph also contains CONFIRM of the bigrams of a template of that family;
    otherwise, and where only "unknown" fires, the paragraph counts as unknown.
 
 All rows are scanned; only paragraphs that hold some feature are shuffled. The features (a few hundred,
 given by the templates) are broadcast. No Python runs on the executors.
 
-Defined cases: null and empty texts have no paragraphs; repeated rows are judged alike, by id; rows with
-a null id are judged together; an empty table gives an empty result; other columns are ignored.
+Defined cases: null and empty texts have no paragraphs; rows that repeat an id are told apart by their
+texts, and rows equal in both are judged alike; an empty table gives an empty result; other columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -31,14 +33,69 @@ STEPS, RATE, DECAY = 8, 4.0, 1e-3
 
 # Usual wordings of licence notices, by family.
 TEMPLATES = {
-    "apache-2.0": ("Licensed under the Apache License, Version 2.0.", "This file is released under the terms of the Apache License 2.0", "Apache License Version 2.0, January 2004"),
-    "bsd-3-clause": ("Licensed under the BSD 3-Clause License.", "Use of this source code is governed by a BSD-style license", "Redistribution and use in source and binary forms, with or without modification, are permitted"),
-    "cc-by-nc-4.0": ("Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License", "Creative Commons CC BY-NC 4.0"),
-    "cc-by-sa-4.0": ("Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License", "Creative Commons CC BY-SA 4.0"),
-    "gpl-3.0": ("This work is licensed under the GNU General Public License, version 3.", "This program is free software: you can redistribute it under the terms of the GNU General Public License version 3", "GNU General Public License, version 3 or later"),
-    "mit": ("Released under the MIT License.", "Licensed under the MIT License.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software"),
-    "unknown": ("All rights reserved under the terms of the agreement.", "See the license file for the terms of use.", "Distributed under a proprietary license.", "Licensed under the terms of the vendor agreement.", "This work is licensed under a custom license."),
+    "apache-2.0": (
+        "Licensed under the Apache License, Version 2.0.",
+        "This file is released under the terms of the Apache License 2.0",
+        "Apache License Version 2.0, January 2004",
+        "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License",
+        "SPDX-License-Identifier: Apache-2.0",
+    ),
+    "bsd-3-clause": (
+        "Licensed under the BSD 3-Clause License.",
+        "Use of this source code is governed by a BSD-style license",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted",
+        "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer",
+        "SPDX-License-Identifier: BSD-3-Clause",
+    ),
+    "cc-by-nc-4.0": (
+        "Licensed under CC BY-NC 4.0.",
+        "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License",
+        "Creative Commons CC BY-NC 4.0",
+        "Released under the Creative Commons Attribution-NonCommercial 4.0 licence",
+    ),
+    "cc-by-sa-4.0": (
+        "Licensed under CC BY-SA 4.0.",
+        "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License",
+        "Creative Commons CC BY-SA 4.0",
+        "Released under the Creative Commons Attribution-ShareAlike 4.0 licence",
+    ),
+    "gpl-3.0": (
+        "This work is licensed under the GNU General Public License, version 3.",
+        "This program is free software: you can redistribute it under the terms of the GNU General Public License version 3",
+        "GNU General Public License, version 3 or later",
+        "it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or any later version",
+        "You should have received a copy of the GNU General Public License along with this program",
+        "SPDX-License-Identifier: GPL-3.0-or-later",
+    ),
+    "mit": (
+        "Released under the MIT License.",
+        "Licensed under the MIT License.",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software",
+        "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software",
+        "SPDX-License-Identifier: MIT",
+    ),
+    "unknown": (
+        "All rights reserved under the terms of the agreement.",
+        "See the license file for the terms of use.",
+        "Distributed under a proprietary license.",
+        "Licensed under the terms of the vendor agreement.",
+        "This work is licensed under a custom license.",
+        "Use is subject to license terms.",
+        "This software may not be copied or distributed without written permission of the owner.",
+        "Licensed for internal use only.",
+    ),
 }
+# Other wordings, on which the cut is calibrated and which no regression learns from.
+HELD_OUT = {
+    "apache-2.0": ("This project is licensed under the Apache License, Version 2.0, see the file LICENSE", "Distributed under the terms of the Apache License 2.0"),
+    "bsd-3-clause": ("This code is licensed under the BSD 3-Clause License, found in the root directory", "Redistribution and use in source and binary forms are permitted"),
+    "cc-by-nc-4.0": ("The text is available under CC BY-NC 4.0.", "This dataset is licensed under a Creative Commons Attribution-NonCommercial 4.0 license"),
+    "cc-by-sa-4.0": ("The text is available under CC BY-SA 4.0.", "Content is licensed under a Creative Commons Attribution-ShareAlike 4.0 license"),
+    "gpl-3.0": ("This library is licensed under the GNU General Public License, version 3 only", "distributed under the GNU General Public License version 3"),
+    "mit": ("This project is released under the MIT License, see LICENSE", "Permission is granted, free of charge, to any person obtaining a copy of this package"),
+}
+_PAR = ("id", "t", "par")
+_UNIT = (*_PAR, "unit")
 _BLANK = r"\n\s*\n"
 _WORD = r"[\p{L}\p{N}]+([.-][\p{L}\p{N}]+)*"
 
@@ -56,21 +113,22 @@ def bigrams(text):
 
 
 def paragraphs(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, par, text of every run of lines that are not blank."""
-    runs = docs.select(F.col(f"`{id_col}`").alias("id"), F.posexplode(F.split(F.coalesce(F.col(f"`{text_col}`"), F.lit("")), _BLANK)).alias("par", "text"))
+    """id, t (hash of the row's text), par, text of every run of lines that are not blank."""
+    whole = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    runs = docs.select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(whole).alias("t"), F.posexplode(F.split(whole, _BLANK)).alias("par", "text"))
     return runs.filter(F.col("text").rlike(r"\S"))
 
 
 def units(pars: DataFrame) -> DataFrame:
-    """id, par, unit, text: the whole paragraph (unit 0) and, where it has several lines, each of them, so
+    """id, t, par, unit, text: the whole paragraph (unit 0) and, where it has several lines, each of them, so
     that a notice of one line is judged without its neighbours as well."""
     lines = F.split("text", "\n")
-    return pars.select("id", "par", F.posexplode(F.when(F.size(lines) > 1, F.concat(F.array("text"), lines)).otherwise(F.array("text"))).alias("unit", "text"))
+    return pars.select(*_PAR, F.posexplode(F.when(F.size(lines) > 1, F.concat(F.array("text"), lines)).otherwise(F.array("text"))).alias("unit", "text"))
 
 
-def templates(spark: SparkSession) -> DataFrame:
-    """template, family, gram, size."""
-    rows = [F.struct(F.lit(f"{family}/{k}").alias("template"), F.lit(family).alias("family"), F.lit(text).alias("text")) for family, texts in TEMPLATES.items() for k, text in enumerate(texts)]
+def templates(spark: SparkSession, of: dict[str, tuple[str, ...]] = TEMPLATES) -> DataFrame:
+    """template, family, gram."""
+    rows = [F.struct(F.lit(f"{family}/{k}").alias("template"), F.lit(family).alias("family"), F.lit(text).alias("text")) for family, texts in of.items() for k, text in enumerate(texts)]
     listed = spark.range(1).select(F.inline(F.array(*rows)))
     return listed.select("template", "family", F.explode(F.array_distinct(bigrams(F.col("text")))).alias("gram"))
 
@@ -79,8 +137,8 @@ def _sample(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(ex, gram) of at most SAMPLE paragraphs; gram is null where a paragraph has none."""
     ids = docs.select(F.col(f"`{id_col}`").alias("id")).orderBy(F.xxhash64("id"), "id").limit(SAMPLE_DOCS)
     # at most SAMPLE_DOCS ids are broadcast
-    some = paragraphs(docs, id_col, text_col).join(F.broadcast(ids), "id", "left_semi").orderBy(F.xxhash64("id", "par"), "id", "par").limit(SAMPLE)
-    return some.select(F.concat_ws("/", F.lit("text"), F.col("id").cast("string"), F.col("par").cast("string")).alias("ex"), F.explode_outer(F.array_distinct(bigrams(F.col("text")))).alias("gram"))
+    some = paragraphs(docs, id_col, text_col).join(F.broadcast(ids), "id", "left_semi").orderBy(F.xxhash64("id", "par"), *_PAR).limit(SAMPLE)
+    return some.select(F.concat_ws("/", F.lit("text"), *(F.col(c).cast("string") for c in _PAR)).alias("ex"), F.explode_outer(F.array_distinct(bigrams(F.col("text")))).alias("gram"))
 
 
 def _paragraph_sets(docs: DataFrame, every: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -140,35 +198,38 @@ def fit(docs: DataFrame, id_col: str, text_col: str) -> LicenceModel:
         up = features.join(left, "ex").groupBy("gram", "family").agg((F.sum("r") / 20).alias("g"))
         weights = materialize(weights.join(up, ["gram", "family"], "left").select("gram", "family", (F.col("w") * (1 - DECAY) + RATE * 0.25 * F.coalesce("g", F.lit(0.0))).alias("w")), "licence-weights")
         bias = materialize(bias.join(left.groupBy("family").agg((F.sum("r") / 200).alias("g")), "family").select("family", (F.col("b") + RATE * 0.25 * F.col("g")).alias("b")), "licence-bias")
-    # the cut is that of all paragraphs
+    # the cut is that of all paragraphs and of wordings that were not learned
     all_of = F.broadcast(known.agg(F.collect_set("gram").alias("known")))
     plain_sets = plain.crossJoin(all_of).groupBy(F.array_sort(F.array_intersect("set", "known")).alias("set")).agg(F.sum("n").cast("double").alias("n"))
-    rows = own.select(F.col("template").alias("ex"), F.col("family").alias("own"), F.lit(20.0).alias("n"), "set").union(plain_sets.select(F.concat_ws(",", F.col("set").cast("array<string>")), F.lit(None).cast("string"), "n", "set"))
+    unseen = templates(spark, HELD_OUT).join(known, "gram").groupBy("template", "family").agg(F.array_sort(F.collect_set("gram")).alias("set"))
+    none = F.lit(None).cast("string")
+    rows = unseen.select(F.concat(F.lit("held/"), "template").alias("ex"), F.col("family").alias("own"), F.lit(1.0).alias("n"), "set").union(plain_sets.select(F.concat_ws(",", F.col("set").cast("array<string>")), none, "n", "set"))
+    rows = rows.union(own.filter("family = 'unknown'").select(F.col("template").alias("ex"), F.col("family").alias("own"), F.lit(1.0).alias("n"), "set"))
     rows = materialize(rows, "licence-calibration")
     p = _probabilities(rows.select("ex", "own", "n"), rows.select("ex", F.explode("set").alias("gram")), weights, bias)
-    weakest = F.min(F.when((F.col("y") == 1) & (F.col("own") != "unknown"), F.col("p")))
+    usual_own = F.median(F.when((F.col("y") == 1) & (F.col("own") != "unknown"), F.col("p")))
     strongest = F.max(F.when((F.col("family") != "unknown") & (F.col("own").isNull() | (F.col("own") == "unknown")), F.col("p")))
-    low, high = p.agg(weakest, strongest).first()
+    low, high = p.agg(usual_own, strongest).first()
     cut = min(0.8, max(0.2, ((low or 0.5) + (high or 0.5)) / 2))
     return LicenceModel(weights, bias, grams, cut)
 
 
 def classify(docs: DataFrame, model: LicenceModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, par, family ("unknown" included), p, confirmed: one row per paragraph that is a notice and family
+    """id, t, par, family ("unknown" included), p, confirmed: one row per paragraph that is a notice and family
     of it. A family whose wording in the paragraph is part of what another one's wording covers is not
     another family of it."""
-    found = units(paragraphs(docs, id_col, text_col)).select("id", "par", "unit", F.explode(F.array_distinct(bigrams(F.col("text")))).alias("gram"))
+    found = units(paragraphs(docs, id_col, text_col)).select(*_UNIT, F.explode(F.array_distinct(bigrams(F.col("text")))).alias("gram"))
     hits = found.join(F.broadcast(model.grams.groupBy("gram").agg(F.collect_list(F.struct("template", "family", "size")).alias("held"))), "gram")
-    hits = materialize(hits.groupBy("id", "par", "unit").agg(F.collect_set(F.struct("gram", "held")).alias("hits")), "licence-hits")
-    each = hits.select("id", "par", "unit", F.explode("hits").alias("x")).select("id", "par", "unit", "x.gram", "x.held")
-    z = each.join(F.broadcast(model.weights), "gram").groupBy("id", "par", "unit", "family").agg(F.sum("w").alias("z"))
-    p = z.join(F.broadcast(model.bias), "family").select("id", "par", "unit", "family", (1 / (1 + F.exp(-(F.col("z") + F.col("b"))))).alias("p"))
-    share = each.select("id", "par", "unit", "gram", F.explode("held").alias("t")).groupBy("id", "par", "unit", "t.family", "t.template", "t.size").agg(F.count(F.lit(1)).alias("n"), F.collect_set("gram").alias("grams"))
-    share = share.groupBy("id", "par", "unit", "family").agg(F.max(F.col("n") / F.col("size")).alias("share"), F.array_distinct(F.flatten(F.collect_list("grams"))).alias("grams"))
-    same = p["id"].eqNullSafe(share["id"]) & (p["par"] == share["par"]) & (p["unit"] == share["unit"]) & (p["family"] == share["family"])
-    both = p.join(share, same, "left").select(p["id"], p["par"], p["family"], "p", F.coalesce("share", F.lit(0.0)).alias("share"), "grams")
+    hits = materialize(hits.groupBy(*_UNIT).agg(F.collect_set(F.struct("gram", "held")).alias("hits")), "licence-hits")
+    each = hits.select(*_UNIT, F.explode("hits").alias("x")).select(*_UNIT, "x.gram", "x.held")
+    z = each.join(F.broadcast(model.weights), "gram").groupBy(*_UNIT, "family").agg(F.sum("w").alias("z"))
+    p = z.join(F.broadcast(model.bias), "family").select(*_UNIT, "family", (1 / (1 + F.exp(-(F.col("z") + F.col("b"))))).alias("p"))
+    share = each.select(*_UNIT, "gram", F.explode("held").alias("of")).groupBy(*_UNIT, "of.family", "of.template", "of.size").agg(F.count(F.lit(1)).alias("n"), F.collect_set("gram").alias("grams"))
+    share = share.groupBy(*_UNIT, "family").agg(F.max(F.col("n") / F.col("size")).alias("share"), F.array_distinct(F.flatten(F.collect_list("grams"))).alias("grams"))
+    same = p["id"].eqNullSafe(share["id"]) & (p["t"] == share["t"]) & (p["par"] == share["par"]) & (p["unit"] == share["unit"]) & (p["family"] == share["family"])
+    both = p.join(share, same, "left").select(p["id"], p["t"], p["par"], p["family"], "p", F.coalesce("share", F.lit(0.0)).alias("share"), "grams")
     sure = (F.col("family") != "unknown") & (F.col("p") >= model.cut) & (F.col("share") >= CONFIRM)
-    of_par = both.groupBy("id", "par").agg(F.collect_list(F.when(sure, F.struct("p", "family", "grams"))).alias("sure"), F.max("p").alias("most"))
+    of_par = both.groupBy(*_PAR).agg(F.collect_list(F.when(sure, F.struct("p", "family", "grams"))).alias("sure"), F.max("p").alias("most"))
 
     def covers(y, x):
         within = F.size(F.array_except(x["grams"], y["grams"])) == 0
@@ -177,16 +238,16 @@ def classify(docs: DataFrame, model: LicenceModel, id_col: str = "doc_id", text_
         return (y["family"] != x["family"]) & within & (more | first)
 
     own = F.filter("sure", lambda x: ~F.exists("sure", lambda y: covers(y, x)))
-    own = of_par.filter((F.size("sure") > 0) | (F.col("most") >= model.cut)).select("id", "par", "most", F.explode_outer(own).alias("x"))
-    return own.groupBy("id", "par", F.coalesce("x.family", F.lit("unknown")).alias("family")).agg(F.max(F.coalesce("x.p", "most")).alias("p"), F.max(F.col("x").isNotNull()).alias("confirmed"))
+    own = of_par.filter((F.size("sure") > 0) | (F.col("most") >= model.cut)).select(*_PAR, "most", F.explode_outer(own).alias("x"))
+    return own.groupBy(*_PAR, F.coalesce("x.family", F.lit("unknown")).alias("family")).agg(F.max(F.coalesce("x.p", "most")).alias("p"), F.max(F.col("x").isNotNull()).alias("confirmed"))
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: id, families (confirmed, in order), n_confirmed and n_unknown (paragraphs)."""
     found = classify(docs, fit(docs, id_col, text_col), id_col, text_col)
-    by_id = found.groupBy("id").agg(F.array_sort(F.collect_set(F.when(F.col("confirmed"), F.col("family")))).alias("families"), F.size(F.collect_set(F.when(F.col("confirmed"), F.col("par")))).cast("long").alias("n_confirmed"), F.sum((~F.col("confirmed")).cast("long")).alias("n_unknown"))
-    ids = docs.select(F.col(f"`{id_col}`").alias("doc"))
+    by_row = found.groupBy("id", "t").agg(F.array_sort(F.collect_set(F.when(F.col("confirmed"), F.col("family")))).alias("families"), F.size(F.collect_set(F.when(F.col("confirmed"), F.col("par")))).cast("long").alias("n_confirmed"), F.sum((~F.col("confirmed")).cast("long")).alias("n_unknown"))
+    rows = docs.select(F.col(f"`{id_col}`").alias("doc"), F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))).alias("of"))
     none = F.lit(0).cast("long")
-    return ids.join(by_id.hint("merge"), ids["doc"].eqNullSafe(by_id["id"]), "left").select(
+    return rows.join(by_row.hint("merge"), rows["doc"].eqNullSafe(by_row["id"]) & (rows["of"] == by_row["t"]), "left").select(
         F.col("doc").alias(id_col), F.coalesce("families", F.array().cast("array<string>")).alias("families"), F.coalesce("n_confirmed", none).alias("n_confirmed"), F.coalesce("n_unknown", none).alias("n_unknown")
     )
