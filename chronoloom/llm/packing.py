@@ -4,10 +4,13 @@
    (id, piece, start, length, crc) travels on.
 2. The driver gets the histogram of lengths: at most ``capacity`` numbers at any input size. The
    configuration LP (as few sequences as possible, every length covered) is solved by multiplicative
-   weights: lengths that are covered less weigh more, and an unbounded-knapsack dynamic program prices
-   the best configuration of each round. The fractional counts are rounded down; what they leave over is
-   packed best-fit, again on the histogram.
-3. The plan says for each length which ranks go to which sequences. Ranks are row numbers within (length,
+   weights. A length's weight starts at its share of all tokens; each step multiplies it by exp(-ETA) to
+   the share of its demand that the step covers, and a length that is covered leaves the system. An
+   unbounded-knapsack dynamic program prices the configuration of the greatest weight; it is taken as often
+   as covers no length beyond its demand and adds at most STEP to the share of the longest one in it.
+3. The fractional counts are rounded down, what they leave over goes best-fit into the room of these
+   sequences and into new ones, again on the histogram. Best-fit alone is kept where that needs fewer.
+4. The plan says for each length which ranks go to which sequences. Ranks are row numbers within (length,
    salt) plus the rows of smaller salts, so a length that most documents share is dealt over many tasks.
 
 Defined cases: null text counts as empty; an empty text is the end id alone; repeated rows are packed
@@ -34,7 +37,8 @@ from chronoloom.llm.common import blocks, id_text, materialize
 CAPACITY = 2048
 #: Words whose ids a worker keeps; longer words are encoded each time.
 KNOWN_WORDS, LONG_WORD = 500_000, 64
-ROUNDS = 300
+#: Most rounds of the program; the rate of its weights; most of a length's demand that one round covers.
+ROUNDS, ETA, STEP = 300, 2.0, 0.25
 ROWS_PER_SALT = 20_000
 
 
@@ -157,47 +161,58 @@ def price(weights: np.ndarray, capacity: int) -> np.ndarray:
 
 
 def configurations(demand: np.ndarray, capacity: int, rounds: int = ROUNDS) -> list[tuple[np.ndarray, float]]:
-    """Fractional solution of the configuration LP: (counts by length, sequences) of each priced configuration."""
+    """Fractional solution of the configuration LP: (counts by length, sequences) of each priced configuration.
+    It may end before all is covered, where the rounds do."""
     bound = float((demand * np.arange(capacity + 1)).sum()) / capacity
-    if bound == 0:
-        return []
-    own = demand > 0
-    size, covered, steps = np.arange(capacity + 1) / capacity, np.zeros(capacity + 1), []
-    rounds = int(min(rounds, max(1, bound)))
-    step = bound / rounds
-    eta = 2.0
-    for t in range(rounds):
-        behind = np.clip(t / rounds - covered / np.maximum(demand, 1), -5, 5)
-        weights = np.where(own & (covered < demand), size * np.exp(eta * behind), -1.0)
-        counts = price(weights, capacity)
-        if not counts.any():
-            break
+    left, steps = demand.astype(np.float64), []
+    need = np.maximum(demand, 1)
+    # weights per item: the share of all tokens over the demand is the size
+    weights = np.arange(capacity + 1) / capacity
+    least = bound / rounds
+    while len(steps) < rounds and left.any():
+        counts = price(np.where(left > 0, weights, -1.0), capacity)
         use = np.flatnonzero(counts)
-        take = max(min(step, float((demand[use] / counts[use]).min())), min(1.0, step))
-        covered += take * counts
+        most = float((left[use] / counts[use]).min())
+        longest = use[-1]
+        take = min(most, max(least, STEP * float(demand[longest] / counts[longest])))
+        left[use] -= take * counts[use]
+        left[left < 1e-9 * need] = 0
+        weights = weights * np.exp(-ETA * take * counts / need)
         steps.append((counts, take))
     return steps
 
 
-def plan(demand: np.ndarray, capacity: int, rounds: int = ROUNDS) -> list[tuple[dict[int, int], int]]:
-    """Whole configurations ({length: times}, sequences) that hold exactly ``demand`` items of each length:
-    the LP's counts rounded down, what is left best-fit. Late rounds price what is hard to place, and
-    rounding them spoils small inputs, so the best of a few shares of the rounds counts."""
-    steps, found = configurations(demand, capacity, rounds), []
-    for share in (1.0, 0.9, 0.75, 0.5, 0.25):
-        left, out = demand.astype(np.int64).copy(), []
-        for counts, x in steps[: int(np.ceil(share * len(steps)))]:
-            use = np.flatnonzero(counts)
-            k = min(int(x + 1e-9), int((left[use] // counts[use]).min()))
-            if k > 0:
-                left[use] -= k * counts[use]
-                out.append(({int(s): int(counts[s]) for s in use}, k))
-        found.append(out + best_fit(left, capacity))
-    return min(found, key=lambda configs: sum(k for _, k in configs))
-
-
-def best_fit(left: np.ndarray, capacity: int) -> list[tuple[dict[int, int], int]]:
-    """Best-fit decreasing on a histogram: equal open sequences are kept as one group."""
+def rounded(steps: list[tuple[np.ndarray, float]], demand: np.ndarray) -> tuple[list[tuple[dict[int, int], int]], np.ndarray]:
+    """The configurations of the fractional solution in whole numbers, and the demand that is left. Equal
+    configurations count together; what rounding down leaves of one is carried on to the next."""
+    left, out, carried = demand.astype(np.int64).copy(), [], 0.0
+    total: dict[bytes, list] = {}
+    for counts, take in steps:
+        total.setdefault(counts.tobytes(), [counts, 0.0])[1] += take
+    for counts, x in total.values():
+        use = np.flatnonzero(counts)
+        k = min(int(x + carried + 1e-9), int((left[use] // counts[use]).min()))
+        carried = min(max(x + carried - k, 0.0), 1.0)
+        if k > 0:
+            left[use] -= k * counts[use]
+            out.append(({int(s): int(counts[s]) for s in use}, k))
+    return out, left
+
+
+def plan(demand: np.ndarray, capacity: int, rounds: int = ROUNDS) -> tuple[list[tuple[dict[int, int], int]], float]:
+    """Whole configurations ({length: times}, sequences) that hold exactly ``demand`` items of each length, and
+    the share of the sequences that the program's configurations make up."""
+    size = lambda configs: sum(k for _, k in configs)
+    whole, left = rounded(configurations(demand, capacity, rounds), demand)
+    found, plain = best_fit(left, capacity, whole), best_fit(demand, capacity)
+    if size(found) <= size(plain):
+        return found, size(whole) / max(1, size(found))
+    return plain, 0.0
+
+
+def best_fit(left: np.ndarray, capacity: int, begun: Iterable[tuple[dict[int, int], int]] = ()) -> list[tuple[dict[int, int], int]]:
+    """Best-fit decreasing on a histogram, into the room of the sequences that are begun and into new ones:
+    equal open sequences are kept as one group."""
     rooms: list[int] = []
     groups: dict[int, list[tuple[dict[int, int], int]]] = {}
 
@@ -207,6 +222,8 @@ def best_fit(left: np.ndarray, capacity: int) -> list[tuple[dict[int, int], int]
             groups[room] = []
         groups[room].append((held, k))
 
+    for held, k in begun:
+        put(capacity - sum(s * n for s, n in held.items()), held, k)
     for s in range(capacity, 0, -1):
         n = int(left[s])
         while n:
@@ -253,7 +270,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     demand = np.zeros(capacity + 1, np.int64)
     for s, n in hist.items():
         demand[s] = n
-    size, lo, base, times, off = slots(plan(demand, capacity), capacity)
+    size, lo, base, times, off = slots(plan(demand, capacity)[0], capacity)
     key = size * (1 << 40) + lo
     salts = max(1, -(-int(demand.sum()) // ROWS_PER_SALT))
     salted = pieces.withColumn("salt", F.pmod(F.xxhash64("id", "piece", "start"), F.lit(salts)).cast("int"))

@@ -280,6 +280,31 @@ def test_packing_round_trip(spark, docs, texts):
     assert len(held) <= -(-sum(r["length"] for r in rows) // 2048) * 1.02 + 1
 
 
+def test_plans_never_need_more_than_best_fit():
+    """Five histograms of lengths; the program's own share of the sequences, and where it needs fewer."""
+    rng, c = np.random.default_rng(0), 2048
+    sizes = {
+        "long tail": np.minimum(rng.lognormal(6, 1, 3000).astype(int) + 1, c),
+        "halves, quarters": np.concatenate([np.full(900, 1040), np.full(900, 520), np.full(1800, 500), np.full(900, 700)]),
+        "hard for best-fit": np.concatenate([np.full(600, 1031), np.full(600, 559), np.full(600, 538), np.full(1200, 479)]),
+        "a third to a half": rng.integers(400, 1000, 5000),
+        "three classes": np.concatenate([rng.integers(1025, 1100, 2000), rng.integers(560, 620, 2000), rng.integers(330, 460, 2000)]),
+    }
+    count, saved, shares = lambda configs: sum(k for _, k in configs), {}, {}
+    for name, of in sizes.items():
+        demand = np.bincount(of, minlength=c + 1)
+        found, shares[name] = packing.plan(demand, c)
+        got = np.zeros(c + 1, np.int64)
+        for held, k in found:
+            assert sum(x * n for x, n in held.items()) <= c
+            for x, n in held.items():
+                got[x] += n * k
+        assert (got == demand).all()
+        saved[name] = count(packing.best_fit(demand, c)) - count(found)
+    print({n: (saved[n], round(shares[n], 2)) for n in sizes})
+    assert min(saved.values()) >= 0 and saved["hard for best-fit"] > 100 and saved["halves, quarters"] > 50 and shares["hard for best-fit"] > 0.9
+
+
 def test_packing_cases(odd, empty):
     rows = packing.pack_documents(odd, registry.vocabulary()).collect()
     assert len({(r["sequence_id"], r["offset"]) for r in rows}) == len(rows) and {r["length"] for r in rows if r["doc_id"] in (1, 2, 3)} == {1}
