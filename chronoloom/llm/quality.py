@@ -6,7 +6,9 @@
    regression are summed in each partition over all labelled training rows, then by groups of partitions,
    then on the driver (one matrix of FEATURES squared at any input size).
 3. Isotonic regression over a fixed number of score bins (counts per bin, at any input size) makes the
-   ridge score a probability.
+   ridge score a probability. It is fitted on scores of unseen rows: the training rows are dealt into FOLDS
+   by a hash of their ids, and each is scored by the ridge of the other folds (whose normal equations are the
+   sums less its own). The final ridge is that of all folds.
 
 Rows with crc32(id as text) mod 5 = 0 are held out. Labels, language, source and id never enter a score.
 
@@ -28,6 +30,7 @@ from chronoloom.llm.common import SLICES, blocks, buffers, id_text, materialize,
 from chronoloom.llm.hashing import word_hashes
 
 FEATURES, RIDGE, WIDTH, BINS, THRESHOLD = 384, 1e-3, 0.35, 2000, 0.3
+FOLDS = 4
 STRETCH = 512
 
 _CLASSES = ("upper", "lower", "digit", "blank", "newline", "stop", "comma", "shout", "symbol", "pipe", "high", "other")
@@ -148,7 +151,7 @@ def isotonic(weights: np.ndarray, sums: np.ndarray) -> list[tuple[float, float,
 
 def fit(stats: DataFrame, labels: DataFrame) -> FourierRidge:
     """``stats``: id, stats; ``labels``: id, label (0 or 1); every row of ``labels`` is used."""
-    rows = materialize(labels.join(stats, "id").select("stats", F.col("label").cast("double").alias("y")), "quality-train")
+    rows = materialize(labels.join(stats, "id").select("stats", F.col("label").cast("double").alias("y"), F.pmod(F.xxhash64("id"), F.lit(FOLDS)).cast("int").alias("fold")), "quality-train")
 
     def moments(batches):
         total = np.zeros(1 + 2 * N_STATS)
@@ -166,19 +169,26 @@ def fit(stats: DataFrame, labels: DataFrame) -> FourierRidge:
     d = FEATURES + 1
 
     def normal(batches):
-        total = np.zeros((d, d + 1))
+        total = np.zeros((FOLDS, d, d + 1))
         for b in batches:
             z = model.expand(_matrix(b.column("stats")))
-            total += z.T @ np.concatenate([z, b.column("y").to_numpy(zero_copy_only=False)[:, None]], axis=1)
+            zy = np.concatenate([z, b.column("y").to_numpy(zero_copy_only=False)[:, None]], axis=1)
+            fold = b.column("fold").to_numpy(zero_copy_only=False)
+            for k in range(FOLDS):
+                total[k] += z[fold == k].T @ zy[fold == k]
         yield slices(total)
 
-    sums = tree_sum(rows.mapInArrow(normal, SLICES)).reshape(d, d + 1)
-    model.theta = np.linalg.solve(sums[:, :d] + RIDGE * m[0] * np.eye(d) / d, sums[:, d])
+    sums = tree_sum(rows.mapInArrow(normal, SLICES)).reshape(FOLDS, d, d + 1)
+    solve = lambda a: np.linalg.solve(a[:, :d] + RIDGE * max(a[-1, d - 1], 1.0) * np.eye(d) / d, a[:, d])
+    model.theta = solve(sums.sum(0))
+    others = np.array([solve(sums.sum(0) - sums[k]) for k in range(FOLDS)])
 
     def bins(batches):
         total = np.zeros((2, BINS))
         for b in batches:
-            at = np.clip((model.raw(_matrix(b.column("stats"))) + 0.5) / 2 * BINS, 0, BINS - 1).astype(int)
+            theta = others[b.column("fold").to_numpy(zero_copy_only=False)]
+            raw = (model.expand(_matrix(b.column("stats"))) * theta).sum(1)
+            at = np.clip((raw + 0.5) / 2 * BINS, 0, BINS - 1).astype(int)
             total[0] += np.bincount(at, minlength=BINS)
             total[1] += np.bincount(at, b.column("y").to_numpy(zero_copy_only=False), minlength=BINS)
         yield slices(total)

@@ -437,6 +437,19 @@ def test_quality_on_held_out_rows(spark):
     assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) and 0 <= r["score"] <= 1 for r in rows)
 
 
+def test_quality_scores_are_calibrated_on_unseen_rows(spark):
+    """In bands of the score, the share of good rows among held-out ones is near the mean score."""
+    sf = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    got = quality.score(spark.read.parquet(f"{sf}/documents.parquet"), labels, "quality")
+    rows = got.join(labels, "doc_id").filter("held_out AND quality IS NOT NULL").select("score", "quality").toPandas()
+    assert abs(rows["score"].mean() - rows["quality"].mean()) < 0.03
+    for lo, hi in ((0, 0.3), (0.7, 1.01)):
+        band = rows[(rows["score"] >= lo) & (rows["score"] < hi)]
+        assert abs(band["score"].mean() - band["quality"].mean()) < 0.05
+    assert ((rows["score"] >= 0.3) == (rows["quality"] == 1)).mean() > 0.98
+
+
 def test_isotonic_never_falls():
     steps = quality.isotonic(np.array([1.0, 2, 0, 1, 4]), np.array([1.0, 0, 0, 1, 2]))
     assert [s[1] for s in steps] == sorted(s[1] for s in steps) and sum(s[0] for s in steps) == 8
