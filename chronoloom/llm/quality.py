@@ -31,6 +31,8 @@ from chronoloom.llm.hashing import word_hashes
 
 FEATURES, RIDGE, WIDTH, BINS, THRESHOLD = 384, 1e-3, 0.35, 2000, 0.3
 FOLDS = 4
+#: How much of the score is the ridge score itself.
+TILT = 1e-3
 STRETCH = 512
 
 _CLASSES = ("upper", "lower", "digit", "blank", "newline", "stop", "comma", "shout", "symbol", "pipe", "high", "other")
@@ -195,9 +197,12 @@ def fit(stats: DataFrame, labels: DataFrame) -> FourierRidge:
 
     counts = tree_sum(rows.mapInArrow(bins, SLICES)).reshape(2, BINS)
     steps = isotonic(*counts)
-    centre = np.array([((a + b + 1) / 2) / BINS * 2 - 0.5 for _, _, a, b in steps])
-    model.knots = np.concatenate(([min(-1.0, centre[0] - 1)], centre, [max(2.0, centre[-1] + 1)]))
-    model.values = np.concatenate(([0.0], [(w * y + 0.5) / (w + 1) for w, y, _, _ in steps], [1.0]))
+    # a step is level from its first to its last bin, and the ridge score breaks ties
+    place = lambda bin_: (bin_ + 0.5) / BINS * 2 - 0.5
+    ends = [(place(x), (w * y + 0.5) / (w + 1)) for w, y, a, b in steps for x in sorted({a, b})]
+    model.knots = np.array([min(-1.0, ends[0][0] - 1), *(x for x, _ in ends), max(2.0, ends[-1][0] + 1)])
+    model.values = np.array([ends[0][1], *(y for _, y in ends), ends[-1][1]])
+    model.values = (1 - TILT) * np.maximum.accumulate(model.values) + TILT * np.clip((model.knots + 1) / 3, 0, 1)
     return model
 
 
