@@ -12,8 +12,10 @@ conditional log-probabilities of all its words.
 3. Every whole text is scored with the averaged network. A word of a hashed token adds the logarithm of
    its own share of that token, from the counts of all words: shares of a token sum to 1, one count of
    which is kept for words that were never counted (spread over as many as there are counted ones, and
-   one). Scored blocks are written once; their rare words are dealt by hash into lots, each lot looks
-   them up in its counts, and the sums go back to the block. A lot holds at most about LOT_WORDS words.
+   one). The counts of the most frequent words, at most COMMON of them at any corpus size (cut between
+   classes of equal counts), travel with the tasks. Scored blocks are written once; their other rare words
+   are dealt by hash into lots, each lot looks them up in its counts, and the sums go back to the block. A
+   lot holds at most about LOT_WORDS words.
 
 What is gathered grows with the input: the word counts, and one parameter set from each partition and
 round (summed on the executors; the driver gets one set of a fixed size).
@@ -42,8 +44,12 @@ PER_CLASS = TOKENS // CLASSES
 SIDE, DIM, HIDDEN = 3, 12, 24
 ROUNDS, BATCH, RATE = 2, 4096, 0.01
 _BLOCK = 1 << 19
+#: Most words whose counts travel with the tasks (16 bytes each).
+COMMON = 200_000
 #: Fewest lots of rare words, and counted words that a lot holds in the mean.
 LOTS, LOT_WORDS = 256, 400_000
+#: Scores beyond this bound count as this much.
+_LIMIT = 60
 _RARE_WORD = np.dtype([("h", "<u8"), ("k", "<i4")])
 _PART_SUM = np.dtype([("k", "<i4"), ("s", "<f8")])
 
@@ -55,6 +61,10 @@ class Vocabulary:
         self.order = np.argsort(frequent, kind="stable")
         self.sorted, self.counts, self.distinct = frequent[self.order], counts, distinct
 
+    #: Hashes, sorted, and counts of the words that tasks look up themselves, and the class of counts they begin at.
+    common: tuple[np.ndarray, np.ndarray] = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    common_from = 1 << 30
+
     def log_shares(self, h: np.ndarray, n: np.ndarray) -> np.ndarray:
         """Log-probability of rare words within their token; ``n`` is their count, 0 of a word never counted."""
         k = (h % np.uint64(RARE)).astype(np.int64)
@@ -106,9 +116,9 @@ class WindowNetwork:
 
     @staticmethod
     def _softmax(z: np.ndarray) -> np.ndarray:
-        z -= z.max(1, keepdims=True)
+        np.clip(z, -_LIMIT, _LIMIT, out=z)
         np.exp(z, out=z)
-        z /= z.sum(1, keepdims=True)
+        z /= (z @ np.ones(z.shape[1], z.dtype))[:, None]
         return z
 
     @staticmethod
@@ -130,10 +140,10 @@ class WindowNetwork:
 
     @staticmethod
     def _log_softmax_at(z: np.ndarray, at: np.ndarray) -> np.ndarray:
-        z -= z.max(1, keepdims=True)
+        np.clip(z, -_LIMIT, _LIMIT, out=z)
         own = z[np.arange(len(at)), at]
         np.exp(z, out=z)
-        return own - np.log(z.sum(1))
+        return own - np.log(z @ np.ones(z.shape[1], z.dtype))
 
     def log_probabilities(self, ctx: np.ndarray, tokens: np.ndarray) -> np.ndarray:
         _, h = self.hidden(ctx)
@@ -221,7 +231,24 @@ def vocabulary(texts: DataFrame) -> tuple[Vocabulary, DataFrame]:
         per[k] = r["n"]
         per[KNOWN + (r["h"] & (RARE - 1))] -= r["n"]
         distinct[r["h"] & (RARE - 1)] -= 1
-    return Vocabulary(np.array([r["h"] for r in top], np.int64).view(np.uint64), per, distinct), counts
+    words = Vocabulary(np.array([r["h"] for r in top], np.int64).view(np.uint64), per, distinct)
+    sizes = sorted(((r["c"], r["n"]) for r in counts.groupBy(_count_class().alias("c")).agg(F.count(F.lit(1)).alias("n")).collect()), reverse=True)
+    total = 0
+    for c, n in sizes:
+        total += n
+        if total > COMMON:
+            break
+        words.common_from = c
+    found = counts.filter(_count_class() >= words.common_from).select("h", "n").toArrow()
+    h, n = (found.column(c).to_numpy() for c in ("h", "n"))
+    order = np.argsort(h.view(np.uint64))
+    words.common = (h.view(np.uint64)[order], n[order])
+    return words, counts
+
+
+def _count_class():
+    """Counts in a few hundred classes, in their order."""
+    return F.floor(F.log2("n") * 8).cast("int")
 
 
 def fit(texts: DataFrame, rounds: int = ROUNDS) -> tuple[Vocabulary, WindowNetwork, DataFrame]:
@@ -339,10 +366,16 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model
                 text = np.repeat(np.arange(j - i), np.diff(cut))
                 sums = np.bincount(text, lp, j - i).astype(np.float64)
                 rare = tokens >= KNOWN
-                lot = (signed(h[rare]) % lots).astype(np.int32)
+                h, text = h[rare], text[rare]
+                if len(words.common[0]):
+                    at = np.minimum(np.searchsorted(words.common[0], h), len(words.common[0]) - 1)
+                    held = words.common[0][at] == h
+                    sums += np.bincount(text[held], words.log_shares(h[held], words.common[1][at[held]]), j - i)
+                    h, text = h[~held], text[~held]
+                lot = (signed(h) % lots).astype(np.int32)
                 order = np.argsort(lot, kind="stable")
                 found = np.empty(len(order), _RARE_WORD)
-                found["h"], found["k"] = h[rare][order], text[rare][order]
+                found["h"], found["k"] = h[order], text[order]
                 names, sizes = np.unique(lot, return_counts=True)
                 one = lambda col: pa.ListArray.from_arrays(pa.array([0, len(col)], pa.int32()), col)
                 dealt = pa.StructArray.from_arrays([pa.array(names.astype(np.int32)), _records(found, sizes)], ["lot", "data"])
@@ -355,7 +388,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     null = lambda kind: F.lit(None).cast(kind)
     asked = scored.select("block", F.inline("rare")).select("lot", "block", null("long").alias("h"), null("long").alias("n"), "data")
-    known = counts.select(F.pmod("h", F.lit(lots)).cast("int").alias("lot"), F.lit(-1).cast("long").alias("block"), "h", "n", null("binary").alias("data"))
+    known = counts.filter(_count_class() < words.common_from).select(F.pmod("h", F.lit(lots)).cast("int").alias("lot"), F.lit(-1).cast("long").alias("block"), "h", "n", null("binary").alias("data"))
     sums = known.union(asked).repartition(parts, "lot").sortWithinPartitions("lot", "block").mapInArrow(lambda b: _shares(b, words), "block long, data binary")
     of_block = scored.select("block", F.lit(-1).alias("lot"), "ids", "ns", "lps", null("binary").alias("data"))
     of_lots = sums.select("block", F.lit(0).alias("lot"), null(f"array<{id_type}>").alias("ids"), null("array<bigint>").alias("ns"), null("array<double>").alias("lps"), "data")

@@ -622,8 +622,10 @@ def test_lm_cases(odd, empty):
     assert lm_scoring.score(empty).count() == 0
 
 
-def test_lm_rates_rare_words_by_their_own_counts(spark):
+@pytest.mark.parametrize("common", [200_000, 700, 0])
+def test_lm_rates_rare_words_by_their_own_counts(spark, monkeypatch, common):
     """Against brute force: the network's value and each rare word's share of its token."""
+    monkeypatch.setattr(lm_scoring, "COMMON", common)
     rng = np.random.default_rng(8)
     rows = [(i % 50, " ".join(f"w{k}" for k in rng.zipf(1.2, 200) % 6000)) for i in range(60)] + [(None, "w1 w2"), (None, "")]
     texts = lm_scoring.id_text(frame(spark, rows), "doc_id", "text")
@@ -641,7 +643,7 @@ def test_lm_rates_rare_words_by_their_own_counts(spark):
             share = n_of.get(int(x), 1 / (words.distinct[k - lm_scoring.KNOWN] + 1))
             total += np.log(share / (words.counts[k] + 1))
         want.append((str(i), len(h), round(float(total), 3)))
-    assert unseen == 4 and words.distinct.sum() > 100
+    assert unseen == 4 and words.distinct.sum() > 100 and len(words.common[0]) <= common
     for a, b in zip(got, sorted(want), strict=True):
         assert a[:2] == b[:2] and abs(a[2] - b[2]) < 0.05
 
