@@ -37,7 +37,7 @@ EPOCHS, BATCH, RATE = 8, 128, 0.01
 #: Passes over few rows are repeated until so many steps are made.
 LEAST_STEPS = 190
 #: Share of words read without their own vector in training; weight decay of the vectors.
-DROPPED, DECAY = 0.3, 1e-5
+DROPPED, DECAY = 0.3, 1e-3
 THRESHOLD = 0.5
 _ROWS = 4096
 
