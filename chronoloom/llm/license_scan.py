@@ -6,7 +6,8 @@
 2. One logistic regression for each family, and one for "unknown" (licence-like wording of no known
    family), is fitted by gradient descent whose steps are joins and aggregations. It learns from the
    templates and from at most SAMPLE paragraphs of ``docs`` (the first in the order of a hash), whose
-   equal feature sets count as one weighted example.
+   equal feature sets count as one weighted example. The steps work on these bounded tables in one
+   partition each; what grows with ``docs`` is never put together so.
 3. The probability that counts is calibrated on what the regressions did not learn from: the cut lies
    midway between the median own family of the wordings in HELD_OUT and the strongest family among all
    paragraphs of no family.
@@ -129,7 +130,7 @@ def units(pars: DataFrame) -> DataFrame:
 def templates(spark: SparkSession, of: dict[str, tuple[str, ...]] = TEMPLATES) -> DataFrame:
     """template, family, gram."""
     rows = [F.struct(F.lit(f"{family}/{k}").alias("template"), F.lit(family).alias("family"), F.lit(text).alias("text")) for family, texts in of.items() for k, text in enumerate(texts)]
-    listed = spark.range(1).select(F.inline(F.array(*rows)))
+    listed = spark.range(0, 1, 1, 1).select(F.inline(F.array(*rows)))
     return listed.select("template", "family", F.explode(F.array_distinct(bigrams(F.col("text")))).alias("gram"))
 
 
@@ -148,6 +149,11 @@ def _paragraph_sets(docs: DataFrame, every: DataFrame, id_col: str, text_col: st
     return materialize(sets.groupBy("set").agg(F.count(F.lit(1)).alias("n")), "licence-sets")
 
 
+def _small(df: DataFrame, name: str) -> DataFrame:
+    """A table whose size the templates and SAMPLE bound, kept in one partition: steps over it need no shuffle."""
+    return materialize(df.coalesce(1), name).coalesce(1)
+
+
 class LicenceModel:
     """Small tables: weights (family, gram, w), bias (family, b), grams of templates; and the cut."""
 
@@ -177,27 +183,27 @@ def fit(docs: DataFrame, id_col: str, text_col: str) -> LicenceModel:
     total = plain.agg(F.sum("n")).first()[0] or 0
     usual = plain.select("n", F.explode("set").alias("gram")).groupBy("gram").agg(F.sum("n").alias("n")).filter(F.col("n") > max(COMMON * total, 1)).select("gram")
     grams = every.join(usual, "gram", "left_anti")
-    grams = materialize(grams.withColumn("size", F.count(F.lit(1)).over(Window.partitionBy("template"))), "licence-grams")
+    grams = _small(grams.withColumn("size", F.count(F.lit(1)).over(Window.partitionBy("template"))), "licence-grams")
     known = grams.select("gram").distinct()
     ordinary = sample.join(known.withColumn("known", F.lit(True)), "gram", "left")
     sets = ordinary.groupBy("ex").agg(F.array_sort(F.collect_set(F.when(F.col("known"), F.col("gram")))).alias("set"))
     shared = sets.groupBy("set").agg(F.count(F.lit(1)).cast("double").alias("n")).withColumn("ex", F.xxhash64("set").cast("string"))
     own = grams.groupBy("template", "family").agg(F.array_sort(F.collect_set("gram")).alias("set"))
     rows = own.select(F.col("template").alias("ex"), F.col("family").alias("own"), F.lit(20.0).alias("n"), "set").union(shared.select("ex", F.lit(None).cast("string"), "n", "set"))
-    rows = materialize(rows, "licence-examples")
+    rows = _small(rows, "licence-examples")
     examples, features = rows.select("ex", "own", "n"), rows.select("ex", F.explode("set").alias("gram"))
 
-    families = spark.range(1).select(F.explode(F.array(*(F.lit(f) for f in TEMPLATES))).alias("family"))
+    families = spark.range(0, 1, 1, 1).select(F.explode(F.array(*(F.lit(f) for f in TEMPLATES))).alias("family"))
     weights = grams.select("gram").distinct().withColumn("family", F.explode(F.array(*(F.lit(f) for f in TEMPLATES)))).withColumn("w", F.lit(0.0))
     bias = families.withColumn("b", F.lit(-1.0))
     for _ in range(STEPS):
         p = _probabilities(examples, features, weights, bias)
         # an ordinary paragraph weighs less the more of them there are, so the families keep their say
         left = p.select("ex", "family", ((F.col("y") - F.col("p")) * F.least(F.col("n"), F.lit(20.0))).alias("r"))
-        left = materialize(left, "licence-residual")
+        left = _small(left, "licence-residual")
         up = features.join(left, "ex").groupBy("gram", "family").agg((F.sum("r") / 20).alias("g"))
-        weights = materialize(weights.join(up, ["gram", "family"], "left").select("gram", "family", (F.col("w") * (1 - DECAY) + RATE * 0.25 * F.coalesce("g", F.lit(0.0))).alias("w")), "licence-weights")
-        bias = materialize(bias.join(left.groupBy("family").agg((F.sum("r") / 200).alias("g")), "family").select("family", (F.col("b") + RATE * 0.25 * F.col("g")).alias("b")), "licence-bias")
+        weights = _small(weights.join(up, ["gram", "family"], "left").select("gram", "family", (F.col("w") * (1 - DECAY) + RATE * 0.25 * F.coalesce("g", F.lit(0.0))).alias("w")), "licence-weights")
+        bias = _small(bias.join(left.groupBy("family").agg((F.sum("r") / 200).alias("g")), "family").select("family", (F.col("b") + RATE * 0.25 * F.col("g")).alias("b")), "licence-bias")
     # the cut is that of all paragraphs and of wordings that were not learned
     all_of = F.broadcast(known.agg(F.collect_set("gram").alias("known")))
     plain_sets = plain.crossJoin(all_of).groupBy(F.array_sort(F.array_intersect("set", "known")).alias("set")).agg(F.sum("n").cast("double").alias("n"))
