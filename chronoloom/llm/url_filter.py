@@ -1,28 +1,35 @@
-"""URL filter by a sort-merge range join.
+"""URL filter by a sort-merge range join of pages and rules.
 
 A host turned round (``com.example.www.``) makes "this host and its subdomains" one interval of sorted
-keys, and a path prefix one interval within a host. Pages are range-partitioned and sorted by (turned
-host, path, id), so a host with most pages is dealt over many partitions; each partition merges its run
-with the sorted rules and keeps a stack of the rules whose intervals it is in: one stack of hosts, and
-within a host one of paths. Rules are parameters, at most ``MAX_RULES`` (checked), and travel with the task.
+keys, and a path prefix one interval within a host. Both tables are dealt over the same ranges of (turned
+host, path, hash of the id), whose bounds come from a bounded sample of pages, so a host or a url with most
+pages is dealt over many tasks. A rule goes to every range that its hosts reach into: a range gets the
+rules that begin in it and those that are open where it begins. Each task reads its ranges in order of (turned host, rules
+first, path) and keeps a stack of the host rules whose intervals it is in, and within a host one of paths.
+
+Rules are a table (or a list, which becomes one) of any size; a task holds the rules of the hosts it is in
+at one time, not all.
 
 Of the rules that fit, the one with the longest host plus path wins; of equal lengths the longer host.
 
 Defined cases: a null url or one without ``://`` has an empty host and path, which no rule fits, and gets
-the default verdict; repeated rows are judged each; an empty table gives an empty result; other columns
-are ignored.
+the default verdict; repeated rows are judged each; an empty table gives an empty result; without rules
+every page gets the default verdict; equal rules count once, and of rules with one host and path but
+two verdicts the verdict first in the alphabet holds; a rule without a host is an error; other columns are ignored.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-MAX_RULES = 100_000
+#: Pages sampled for each range, and the most characters of a key and of a path in a bound.
+SAMPLED, BOUND = 20, 1000
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -56,23 +63,23 @@ def split_url(url):
 
 
 class HostSweep:
-    """Active host rules at rising turned hosts."""
+    """Active host rules at rising turned hosts; rules come before the pages of their key."""
 
-    def __init__(self, rules: Sequence[Rule]):
-        by_host: dict[str, list[Rule]] = {}
-        for r in rules:
-            by_host.setdefault(turned(r.host), []).append(r)
-        self.nodes, self.at, self.stack = sorted(by_host.items()), 0, []
+    def __init__(self):
+        self.stack: list[tuple[str, list[Rule]]] = []
 
     def rules_at(self, key: str) -> list[Rule]:
         while self.stack and not key.startswith(self.stack[-1][0]):
             self.stack.pop()
-        while self.at < len(self.nodes) and self.nodes[self.at][0] <= key:
-            if key.startswith(self.nodes[self.at][0]):
-                self.stack.append(self.nodes[self.at])
-            self.at += 1
         return [r for _, own in self.stack for r in own]
 
+    def add(self, key: str, rule: Rule) -> None:
+        while self.stack and not key.startswith(self.stack[-1][0]):
+            self.stack.pop()
+        if not self.stack or self.stack[-1][0] != key:
+            self.stack.append((key, []))
+        self.stack[-1][1].append(rule)
+
 
 class PathSweep:
     """The winning rule at rising paths of one host."""
@@ -90,31 +97,71 @@ class PathSweep:
         return max(self.stack, key=lambda r: (len(r.text), len(r.host)), default=None)
 
 
-def filter_urls(pages: DataFrame, rules: Sequence[Rule], id_col: str = "page_id", url_col: str = "url", default: str = "allow") -> DataFrame:
-    """id, host, path, rule, verdict of every row."""
-    rules = list(dict.fromkeys(rules))
-    if len(rules) > MAX_RULES:
-        raise ValueError(f"{len(rules)} rules; the bound of what travels with each task is {MAX_RULES}")
-    if any(not r.host for r in rules):
-        raise ValueError("a rule needs a host")
+def rule_table(spark: SparkSession, rules: Sequence[Rule]) -> DataFrame:
+    return spark.createDataFrame([(r.host, r.path, r.verdict) for r in rules], "host string, path string, verdict string")
+
+
+def _key(host):
+    return F.concat(F.concat_ws(".", F.reverse(F.split(host, r"\."))), F.lit("."))
+
+
+def range_bounds(keyed: DataFrame, parts: int) -> list[tuple[str, str, int]]:
+    """At most ``parts`` - 1 rising places that cut the pages into ranges of about equal numbers."""
+    place = keyed.select(F.substring("key", 1, BOUND).alias("key"), F.substring("path", 1, BOUND).alias("path"), "salt")
+    some = place.orderBy(F.xxhash64("key", "path", "salt"), "key", "path", "salt").limit(SAMPLED * parts)
+    rows = sorted((r["key"], r["path"], r["salt"]) for r in some.collect())
+    return [rows[len(rows) * i // parts] for i in range(1, parts)] if rows else []
+
+
+def filter_urls(pages: DataFrame, rules: Sequence[Rule] | DataFrame, id_col: str = "page_id", url_col: str = "url", default: str = "allow") -> DataFrame:
+    """id, host, path, rule, verdict of every row; a table of rules has the columns host, path, verdict."""
+    spark = pages.sparkSession
+    if not isinstance(rules, DataFrame):
+        rules = rule_table(spark, rules)
     host, path = split_url(F.col(f"`{url_col}`"))
     keyed = pages.select(F.col(f"`{id_col}`").alias("id"), host.alias("host"), path.alias("path"))
-    keyed = keyed.withColumn("key", F.concat(F.concat_ws(".", F.reverse(F.split("host", r"\."))), F.lit(".")))
-    parts = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = keyed.repartitionByRange(parts, "key", "path", "id").sortWithinPartitions("key", "path")
-
-    def sweep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hosts, last, paths = HostSweep(rules), None, None
-        for pdf in batches:
-            found = []
-            for key, path in zip(pdf["key"], pdf["path"]):
-                if key != last:
-                    last, paths = key, PathSweep(hosts.rules_at(key))
-                found.append(paths.winner(path))
-            out = pdf[["id", "host", "path"]].copy()
-            out["rule"] = [r.text if r else None for r in found]
-            out["verdict"] = [r.verdict if r else default for r in found]
-            yield out
+    keyed = keyed.withColumn("key", _key(F.col("host"))).withColumn("salt", F.xxhash64("id"))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    bounds = range_bounds(keyed, parts)
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            places = zip(*(b.column(c).to_pylist() for c in ("key", "path", "salt")))
+            part = pa.array([bisect_right(bounds, place) for place in places], pa.int32())
+            yield pa.RecordBatch.from_arrays([part, *(b.column(c) for c in ("id", "host", "path", "key"))], ["part", "id", "host", "path", "key"])
+
+    def reach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            # a key ends with "."; what starts with it lies before the same with "/", the next character
+            ranges = [range(bisect_right(bounds, (k,)), bisect_right(bounds, (k[:-1] + "/",)) + 1) for k in b.column("key").to_pylist()]
+            yield b.append_column("part", pa.array([list(r) for r in ranges], pa.list_(pa.int32())))
 
     id_type = keyed.schema["id"].dataType.simpleString()
-    return ordered.mapInPandas(sweep, f"id {id_type}, host string, path string, rule string, verdict string").withColumnRenamed("id", id_col)
+    found = keyed.mapInArrow(deal, f"part int, id {id_type}, host string, path string, key string")
+    found = found.select("part", "key", F.lit(1).alias("kind"), "path", "id", "host", F.lit(None).cast("string").alias("verdict"))
+    given = rules.groupBy(F.col("host"), F.coalesce("path", F.lit("")).alias("path")).agg(F.min("verdict").alias("verdict"))
+    given = given.withColumn("key", F.when(F.length("host") > 0, _key(F.col("host"))).otherwise(F.raise_error(F.lit("a rule needs a host"))))
+    given = given.mapInArrow(reach, "host string, path string, verdict string, key string, part array<int>")
+    given = given.select(F.explode("part").alias("part"), "key", F.lit(0).alias("kind"), "path", F.lit(None).cast(id_type).alias("id"), "host", "verdict")
+    ordered = found.unionByName(given).repartitionById(parts, F.col("part")).sortWithinPartitions("part", "key", "kind", "path")
+
+    def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hosts, paths, last = HostSweep(), None, (None, None)
+        for b in batches:
+            pages, winners = [], []
+            for at, (part, key, kind, path, host, verdict) in enumerate(zip(*(b.column(c).to_pylist() for c in ("part", "key", "kind", "path", "host", "verdict")))):
+                if part != last[0]:
+                    hosts, last = HostSweep(), (part, None)
+                if kind == 0:
+                    hosts.add(key, Rule(host, path, verdict))
+                    continue
+                if key != last[1]:
+                    last, paths = (part, key), PathSweep(hosts.rules_at(key))
+                pages.append(at)
+                winners.append(paths.winner(path))
+            some = b.take(pa.array(pages, pa.int64()))
+            rule = pa.array([r.text if r else None for r in winners], pa.string())
+            verdict = pa.array([r.verdict if r else default for r in winners], pa.string())
+            yield pa.RecordBatch.from_arrays([*(some.column(c) for c in ("id", "host", "path")), rule, verdict], ["id", "host", "path", "rule", "verdict"])
+
+    return ordered.mapInArrow(sweep, f"id {id_type}, host string, path string, rule string, verdict string").withColumnRenamed("id", id_col)
