@@ -11,7 +11,8 @@
 3. The fractional counts are rounded down, what they leave over goes best-fit into the room of these
    sequences and into new ones, again on the histogram. Best-fit alone is kept where that needs fewer.
 4. The plan says for each length which ranks go to which sequences. Ranks are row numbers within (length,
-   salt) plus the rows of smaller salts, so a length that most documents share is dealt over many tasks.
+   salt) plus the rows of smaller salts. A length of n rows has about the square root of n salts, so that neither the
+   rows of a salt nor the salts of a length grow faster than that, and a common length is dealt over many tasks.
 
 Defined cases: null text counts as empty; an empty text is the end id alone; repeated rows are packed
 each; an empty table gives an empty result; other columns are ignored.
@@ -39,7 +40,6 @@ CAPACITY = 2048
 KNOWN_WORDS, LONG_WORD = 500_000, 64
 #: Most rounds of the program; the rate of its weights; most of a length's demand that one round covers.
 ROUNDS, ETA, STEP = 300, 2.0, 0.25
-ROWS_PER_SALT = 20_000
 
 
 def _bytes(ids: Iterable[int]) -> bytes:
@@ -272,8 +272,8 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         demand[s] = n
     size, lo, base, times, off = slots(plan(demand, capacity)[0], capacity)
     key = size * (1 << 40) + lo
-    salts = max(1, -(-int(demand.sum()) // ROWS_PER_SALT))
-    salted = pieces.withColumn("salt", F.pmod(F.xxhash64("id", "piece", "start"), F.lit(salts)).cast("int"))
+    salts = F.ceil(F.sqrt(F.element_at(F.lit([max(1, int(n)) for n in demand[1:]]), F.col("length").cast("int"))))
+    salted = pieces.withColumn("salt", F.pmod(F.xxhash64("id", "piece", "start"), salts).cast("int"))
     before = salted.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("n"))
     before = before.select("length", "salt", (F.sum("n").over(Window.partitionBy("length").orderBy("salt")) - F.col("n")).alias("before"))
     ranked = salted.join(before.hint("merge"), ["length", "salt"])
