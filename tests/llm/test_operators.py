@@ -340,6 +340,32 @@ def test_url_filter_cases(spark):
         want.append((k % 7, host, path, best.text if best else "", best.verdict if best else "allow"))
     assert got == sorted(want)
     assert url_filter.filter_urls(pages.limit(0), rules).count() == 0
+    assert {r["verdict"] for r in url_filter.filter_urls(pages, []).collect()} == {"allow"}
+
+
+def test_url_filter_joins_a_table_of_many_rules(spark):
+    """Nested rules over hosts and paths, one host and one url with a third of the pages each, more ranges than rules a range."""
+    rng = np.random.default_rng(5)
+    names = ["a", "b", "a-b", "c", "\u00e9", "zz"]
+    host = lambda most: ".".join(rng.choice(names, rng.integers(1, most)))
+    path = lambda most: "/" + "/".join(rng.choice(["x", "y", "xx", ""], rng.integers(0, most)))
+    rules = {(host(4), p if (p := path(4)) != "/" else ""): str(rng.choice(["allow", "block"])) for _ in range(400)}
+    urls = [f"h://{host(6)}{path(5)}" for _ in range(600)] + [f"h://c.b.a{path(6)}" for _ in range(600)] + ["h://b.a/x/y/xx"] * 600
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").repartition(7)
+    table = spark.createDataFrame([(h, p, v) for (h, p), v in rules.items()], "host string, path string, verdict string")
+    got = {r["page_id"]: (r["rule"], r["verdict"]) for r in url_filter.filter_urls(pages, table.union(table), default="none").collect()}
+    assert len(got) == len(urls)
+    for k, u in enumerate(urls):
+        h, _, rest = u[4:].partition("/")
+        fit = [(len(rh + rp), len(rh), rh + rp, v) for (rh, rp), v in rules.items() if ("." + h).endswith("." + rh) and ("/" + rest).startswith(rp)]
+        best = max(fit, default=(0, 0, None, "none"))
+        assert got[k] == best[2:], u
+
+
+def test_url_filter_refuses_a_rule_without_host(spark):
+    pages = spark.createDataFrame([(1, "a://b/")], "page_id long, url string")
+    with pytest.raises(Exception, match="needs a host"):
+        url_filter.filter_urls(pages, [url_filter.Rule("", "/x", "block")]).collect()
 
 
 # decontamination
