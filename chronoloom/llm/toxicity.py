@@ -7,7 +7,8 @@ text's score is that of its most toxic window (multiple-instance learning: in tr
 speaks through its highest window).
 
 Training uses at most MOST_TOXIC and MOST_CLEAN labelled rows, the first in the order of a hash of their
-ids; the output is corrected to the share of toxic rows in all training labels. Rows with crc32(id as
+ids, of each kind those that hold at most MOST_BYTES together, whole texts of at most LONGEST bytes; the
+output is corrected to the share of toxic rows in all training labels. Rows with crc32(id as
 text) mod 5 = 0 are held out. Labels, language, source and id never enter a score. The fitted network (a
 few MB, bounded by MOST_WORDS and MOST_GRAMS) travels with the scoring tasks.
 
@@ -22,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronoloom.llm.common import blocks, buffers, id_text, spaced
@@ -32,6 +33,8 @@ from chronoloom.llm.quality import held_out
 WINDOW, STEP = 24, 12
 WORD_DIM, GRAM_DIM, HIDDEN = 6, 8, 8
 MOST_TOXIC, MOST_CLEAN = 1500, 3000
+#: Bytes of the texts of each kind that are learned from, and of one of them: the driver's memory is bounded.
+MOST_BYTES, LONGEST = 16 << 20, 1 << 20
 MOST_WORDS, MOST_GRAMS = 60_000, 40_000
 EPOCHS, BATCH, RATE = 8, 128, 0.01
 #: Passes over few rows are repeated until so many steps are made.
@@ -278,14 +281,17 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str, text_co
     order = (F.xxhash64("id"), F.col("id"))
     some = known.filter("y = 1").orderBy(*order).limit(MOST_TOXIC).union(known.filter("y = 0").orderBy(*order).limit(MOST_CLEAN))
     # at most MOST_TOXIC + MOST_CLEAN ids and labels are broadcast
-    rows = id_text(docs, id_col, text_col).join(F.broadcast(some), "id").select("id", "y", "text").dropDuplicates(["id", "y"]).collect()
+    texts = id_text(docs, id_col, text_col).join(F.broadcast(some), "id").select("id", "y", "text").dropDuplicates(["id", "y"])
+    texts = texts.withColumn("size", F.octet_length("text")).filter(F.col("size") <= LONGEST)
+    so_far = F.sum("size").over(Window.partitionBy("y").orderBy(*order))
+    rows = texts.withColumn("so_far", so_far).filter(F.col("so_far") <= MOST_BYTES).select("id", "y", "text").collect()
     rows = sorted(rows, key=lambda r: str(r["id"]))
     y = np.array([r["y"] for r in rows])
     if not len(rows) or y.min() == y.max():
         return None
-    texts = [bytes(r["text"]) for r in rows]
+    chosen = [bytes(r["text"]) for r in rows]
     del rows
-    return train(texts, y, counts[1] / (counts[0] + counts[1]))
+    return train(chosen, y, counts[1] / (counts[0] + counts[1]))
 
 
 def score(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, training_docs: DataFrame | None = None) -> DataFrame:

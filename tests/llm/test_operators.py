@@ -502,6 +502,19 @@ def test_toxicity_reads_unseen_words_by_their_characters(spark):
     assert sum(a == b for a, b in held) >= 0.9 * len(held)
 
 
+def test_toxicity_learns_from_a_bounded_number_of_bytes(spark, monkeypatch):
+    """Too long texts are passed over, and no more bytes of a kind are learned from than the bound."""
+    docs = spark.createDataFrame([(k, f"w{k % 2} " * (1000 if k in (1, 2) else 10)) for k in range(60)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(60)], "doc_id long, toxic int")
+    seen = []
+    monkeypatch.setattr(toxicity, "train", lambda texts, y, share: seen.append((texts, y)))
+    monkeypatch.setattr(toxicity, "LONGEST", 100)
+    monkeypatch.setattr(toxicity, "MOST_BYTES", 165)
+    toxicity.fit(docs, labels, "toxic", "doc_id", "text")
+    texts, y = seen[0]
+    assert [len(t) for t in texts] == [30] * 10 and y.sum() == 5 and all(t.split()[0] == b"w%d" % k for t, k in zip(texts, y))
+
+
 def test_toxicity_gradients():
     rows = toxic_rows(12)
     texts = [t.encode() for _, t, _ in rows]
