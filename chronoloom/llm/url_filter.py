@@ -106,9 +106,11 @@ def _key(host):
 
 
 def range_bounds(keyed: DataFrame, parts: int) -> list[tuple[str, str, int]]:
-    """At most ``parts`` - 1 rising places that cut the pages into ranges of about equal numbers."""
+    """At most ``parts`` - 1 rising places that cut the pages into ranges of about equal numbers. About SAMPLED
+    pages for each range come to the driver, however many pages and tasks there are."""
+    most, pages = SAMPLED * parts, keyed.count()
     place = keyed.select(F.substring("key", 1, BOUND).alias("key"), F.substring("path", 1, BOUND).alias("path"), "salt")
-    some = place.orderBy(F.xxhash64("key", "path", "salt"), "key", "path", "salt").limit(SAMPLED * parts)
+    some = place if pages <= most else place.sample(most / pages, seed=1)
     rows = sorted((r["key"], r["path"], r["salt"]) for r in some.collect())
     return [rows[len(rows) * i // parts] for i in range(1, parts)] if rows else []
 
