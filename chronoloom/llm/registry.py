@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chronoloom.llm import decontamination, exact_dedup, license_scan, lm_scoring, near_dedup, packing, quality, suffix_dedup, toxicity, url_filter
+from chronoloom.llm import decontamination, exact_dedup, license_scan, lm_scoring, near_dedup, packing, phrases, quality, suffix_dedup, toxicity, url_filter
 from chronoloom.llm.common import table
 
 
@@ -60,6 +60,10 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 SQL: dict[str, str] = {
     "op7_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER (PARTITION BY coalesce(text, '')) AS keep_id,
@@ -82,6 +86,23 @@ SQL: dict[str, str] = {
         SELECT page_id, host, path, rule,
                CASE WHEN rule IN ('example.org/en/1', 'example.org/es/', 'com/de/') THEN 'block' ELSE 'allow' END AS verdict
         FROM judged""",
+    "op11_phrase_collocations": """
+        WITH pieces AS (
+            SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents),
+        lists AS (SELECT lang, [x FOR x IN regexp_split_to_array(piece, '[\\x20\\x09]+') IF x <> ''] AS w FROM pieces),
+        starts AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM lists),
+        grams AS (SELECT lang, list_slice(w, i, i + m - 1) AS p, m FROM starts, range(1, 6) t(m) WHERE i + m - 1 <= len(w)),
+        f AS (SELECT lang, p, any_value(m) AS m, count(*) AS a FROM grams GROUP BY lang, p),
+        totals AS (SELECT lang, sum(a) AS n FROM f WHERE m = 1 GROUP BY lang),
+        c AS (SELECT * FROM f WHERE m >= 2 AND a >= 100),
+        inside AS (SELECT DISTINCT s.lang, s.p FROM c b JOIN c s ON s.lang = b.lang AND s.a <= b.a AND s.m = b.m - 1 AND (s.p = list_slice(b.p, 1, b.m - 1) OR s.p = list_slice(b.p, 2, b.m))),
+        cuts AS (SELECT c.lang, c.p, c.m, c.a, x.a AS l, y.a AS r, k, t.n, CAST(1000 AS HUGEINT) * c.a * t.n // (CAST(x.a AS HUGEINT) * y.a) AS score
+                 FROM (SELECT c.*, unnest(range(1, m)) AS k FROM c) c JOIN totals t ON t.lang = c.lang
+                 JOIN f x ON x.lang = c.lang AND x.p = list_slice(c.p, 1, k) JOIN f y ON y.lang = c.lang AND y.p = list_slice(c.p, k + 1, c.m)),
+        best AS (SELECT lang, p, a, arg_min(l, (score, k)) AS l, arg_min(r, (score, k)) AS r, n, min(score) AS score FROM cuts GROUP BY lang, p, a, n),
+        ranked AS (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, array_to_string(p, ' ')) AS rank, array_to_string(p, ' ') AS phrase, a, l, r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
+                   FROM best WHERE (lang, p) NOT IN (SELECT lang, p FROM inside))
+        SELECT * FROM ranked WHERE rank <= 2000""",
 }
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -95,4 +116,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_url_filter": op8_url_filter,
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "op11_phrase_collocations": op11_phrase_collocations,
 }
