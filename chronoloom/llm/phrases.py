@@ -11,8 +11,8 @@ are summed.
 
 Suffixes travel as blocks of codes, one for each group and block of texts, summed before they are sent. A code
 of two bytes stands for one of the 65,534 most frequent words; other words travel as their keys. Sizes that
-are bounded at any input: those codes, 2 ** 24 bits that tell rare words from others, at most 2 ** 20 prefixes
-of a length that are extended, at most 2 ** 20 slots. Beyond 2 ** 40 suffixes the budget rises.
+are bounded at any input: those codes, 2 ** 24 bits that tell rare words from others, at most 2 ** 20 slots for
+each length of prefixes. Beyond 2 ** 36 suffixes the budget rises.
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ from chronoloom.llm.hashing import BASE, LOWER, powers_for, words_at
 MIN_COUNT, TOP, MOST = 100, 2000, 5
 #: Suffixes of a group at most (but for a slot more), and words that are summed at once before they travel.
 BUDGET, AT_ONCE = 1 << 20, 1 << 20
-_CODES, _BITS, _TABLE = (1 << 16) - 2, 24, 1 << 20
+_CODES, _BITS = (1 << 16) - 2, 24
 _ESCAPE = np.uint16(_CODES + 1)
 _PIECE = np.zeros(256, bool)
 _PIECE[[*b".,;:!?\n\x0b\x0c\r"]] = True
@@ -155,14 +155,18 @@ def _suffixes(keys: np.ndarray, joined: np.ndarray, bits: np.ndarray) -> np.ndar
     return out
 
 
+def _slot(p: np.ndarray, n_slots: int) -> np.ndarray:
+    return (p >> np.uint64(65 - n_slots.bit_length())).astype(np.int64)
+
+
 def _routed(suffixes: np.ndarray, heavy: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """The hash of each suffix's first prefix that isn't heavy, and its length; a suffix of heavy prefixes
-    alone has its own hash, and its length and one more."""
+    """The hash of each suffix's first prefix whose slot isn't heavy (``heavy``: of each length, which slots
+    are), and its length; a suffix of such prefixes alone has its own hash, and its length and one more."""
     p, r = suffixes[:, 0].copy(), np.ones(len(suffixes), np.uint8)
     on = np.arange(len(p))
     for d, of in enumerate(heavy, 1):
-        on = on[_known(p[on], of)]
-        if d == MOST or not len(on):
+        on = on[of[_slot(p[on], len(of))]]
+        if not len(on):
             break
         r[on] = d + 1
         on = on[suffixes[on, d] != 0]
@@ -183,14 +187,16 @@ def _gathered(batches: Iterator[pa.RecordBatch], seed: int, bits: np.ndarray) ->
 
 
 def _extended(seed: int, bits: np.ndarray, heavy: list[np.ndarray]) -> Callable:
-    """How often each extension of the heavy prefixes of the last length occurs, block by block."""
+    """How often the extensions of heavy prefixes occur, by slot, summed over a task's texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        d = len(heavy) + 1
+        d, n_slots = len(heavy) + 1, len(heavy[0])
+        total = np.zeros(n_slots, np.int64)
         for s in _gathered(batches, seed, bits):
             p, r = _routed(s, heavy)
-            of, n = np.unique(p[(r == d) & (s[:, d - 1] != 0)], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(signed(of)), pa.array(n, pa.int64())], ["p", "n"])
+            total += np.bincount(_slot(p[(r == d) & (s[:, d - 1] != 0)], n_slots), minlength=n_slots)
+        slots = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(slots, pa.int64()), pa.array(total[slots])], ["slot", "n"])
 
     return run
 
@@ -217,12 +223,11 @@ def _dealt(seed: int, bits: np.ndarray, heavy: list[np.ndarray], groups: np.ndar
     """Suffixes by group, in blocks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shift = np.uint64(64 - int(len(groups)).bit_length() + 1)
         for s in _gathered(batches, seed, bits):
             if not len(s):
                 continue
             p, r = _routed(s, heavy)
-            g = groups[(p >> shift).astype(np.int64)]
+            g = groups[_slot(p, len(groups))]
             at, n = _summed(s, p, g)
             s, r, g, n = s[at], r[at], g[at], n.astype(np.uint32)
             codes = np.zeros(s.shape, np.uint16)
@@ -285,12 +290,11 @@ def _subtrees(hot: np.ndarray, least: int) -> Callable:
     return run
 
 
-def _groups(slots: list, n_slots: int, budget: int) -> np.ndarray:
-    """The group of each slot: neighbours, until the budget is reached."""
-    total = np.zeros(n_slots, np.int64)
-    for slot, n in slots:
-        total[slot] += n
-    return ((np.cumsum(total) - total) // budget).astype(np.int32)
+def _collected(sums: DataFrame, n: int, kind: type = np.int64) -> np.ndarray:
+    """An array of ``n`` from rows (place, value)."""
+    rows, out = sums.toArrow(), np.zeros(n, kind)
+    out[rows.column(0).to_numpy()] = rows.column(1).to_numpy()
+    return out
 
 
 def phrase_counts(texts: DataFrame, words: DataFrame, seed: int, least: int = MIN_COUNT, budget: int = BUDGET) -> DataFrame:
@@ -299,26 +303,19 @@ def phrase_counts(texts: DataFrame, words: DataFrame, seed: int, least: int = MI
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     frequent = words.filter(F.col("n") >= least).select("key", "n")
     total = frequent.agg(F.sum("n")).first()[0] or 0
-    budget = max(min(budget, total // (4 * parts) + 1), total // _TABLE + 1)
-    hot = np.sort(np.array([r["key"] for r in frequent.orderBy(F.desc("n"), "key").limit(_CODES).select("key").collect()], np.int64).view(np.uint64))
-    place = F.col("key").bitwiseAND((1 << _BITS) - 1)
-    words_of_bits = frequent.groupBy(F.shiftright(place, 5).alias("i")).agg(F.expr("bit_or(shiftleft(1L, cast(key & 31 as int)))").alias("b")).collect()
-    bits = np.zeros(1 << (_BITS - 5), np.uint32)
-    for r in words_of_bits:
-        bits[r["i"]] = r["b"]
-    bits = bits.view(np.uint8)
-    n_slots = 1 << min(20, max(8, int(16 * total // budget).bit_length()))
-    slot = F.shiftrightunsigned(F.col("p"), 64 - (n_slots.bit_length() - 1)).alias("slot")
-    level, heavy, slots = frequent.select(F.col("key").alias("p"), "n"), [], []
-    while True:
-        slots += level.filter(F.col("n") <= budget).groupBy(slot).agg(F.sum("n")).collect()
-        more = [r["p"] for r in level.filter(F.col("n") > budget).select("p").collect()]
-        if not more or len(heavy) == MOST - 1:
-            break
-        heavy.append(np.sort(np.array(more, np.int64).view(np.uint64)))
-        counted = texts.mapInArrow(_extended(seed, bits, list(heavy)), "p long, n long").groupBy("p").agg(F.sum("n").alias("n"))
-        level = materialize(counted, "phrase-prefixes")
-    groups = _groups(slots, n_slots, budget)
+    n_slots = 1 << min(20, max(8, int(16 * max(total // budget, 4 * parts)).bit_length()))
+    budget = max(min(budget, total // (4 * parts) + 1), total // n_slots + 1)
+    hot = np.sort(frequent.orderBy(F.desc("n"), "key").limit(_CODES).select("key").toArrow().column(0).to_numpy().view(np.uint64))
+    place = F.shiftright(F.col("key").bitwiseAND((1 << _BITS) - 1), 5).alias("i")
+    bits = _collected(frequent.groupBy(place).agg(F.expr("bit_or(shiftleft(1L, cast(key & 31 as int)))").alias("b")), 1 << (_BITS - 5)).astype(np.uint32).view(np.uint8)
+    slot = F.shiftrightunsigned(F.col("key"), 65 - n_slots.bit_length()).alias("slot")
+    totals = [_collected(frequent.groupBy(slot).agg(F.sum("n")), n_slots)]
+    heavy: list[np.ndarray] = []
+    while (totals[-1] > budget).any() and len(totals) < MOST:
+        heavy.append(totals[-1] > budget)
+        totals.append(_collected(texts.mapInArrow(_extended(seed, bits, list(heavy)), "slot long, n long").groupBy("slot").agg(F.sum("n")), n_slots))
+    light = sum(t * (t <= budget) for t in totals)
+    groups = ((np.cumsum(light) - light) // budget).astype(np.int32)
     dealt = texts.mapInArrow(_dealt(seed, bits, heavy, groups, hot), _BLOCKS)
     nodes = dealt.repartition(parts, "g").sortWithinPartitions("g").mapInArrow(_subtrees(hot, least), "p binary, f long")
     return materialize(nodes.groupBy("p").agg(F.sum("f").alias("f")).filter(F.col("f") >= least), "phrase-counts")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chronoloom.llm import decontamination, exact_dedup, license_scan, lm_scoring, near_dedup, packing, phrases, quality, suffix_dedup, toxicity, url_filter
+from chronoloom.llm import conversation_repair, decontamination, exact_dedup, license_scan, lm_scoring, near_dedup, neighbours, packing, phrases, quality, suffix_dedup, toxicity, url_filter
 from chronoloom.llm.common import table
 
 
@@ -64,6 +64,14 @@ def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(table(spark, sf_dir, "documents"))
 
 
+def op12_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.repair(conversation_repair.damaged(table(spark, sf_dir, "conversations")))
+
+
 SQL: dict[str, str] = {
     "op7_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER (PARTITION BY coalesce(text, '')) AS keep_id,
@@ -117,4 +125,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
     "op10_suffix_dedup": op10_suffix_dedup,
     "op11_phrase_collocations": op11_phrase_collocations,
+    "op12_nearest_neighbours": op12_nearest_neighbours,
+    "op13_conversation_repair": op13_conversation_repair,
 }
