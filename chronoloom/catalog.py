@@ -15,6 +15,7 @@ from chronoloom import fixtures, oracle
 from chronoloom.functions.parse import format_log_line
 from chronoloom.operators import monitors, registry
 from chronoloom.operators import replay as rp
+from chronoloom.operators.blocks import with_blocks
 from chronoloom.plans import derived, route, timeline
 from chronoloom.shared import kept, scratch
 from chronoloom.sources import logs
@@ -151,24 +152,26 @@ def log_instants(spark, sf_dir):
     return timeline.to_json(timeline.log_instants(lines)).select("session_id", "seq", "json")
 
 
+def _both(spark, sf_dir) -> DataFrame:
+    """raw_logs of both traces."""
+    return _raw(spark, sf_dir).unionByName(_well_formed(spark, sf_dir).withColumn("session_id", F.col("session_id") + 1_000_000))
+
+
 def _records(spark, sf_dir) -> DataFrame:
-    both = _raw(spark, sf_dir).unionByName(_well_formed(spark, sf_dir).withColumn("session_id", F.col("session_id") + 1_000_000))
-    events, lines, _ = route.routes(kept(route.parsed(both).drop("params"), "parsed"))
-    return timeline.trace_events(events, lines, kept(rp.replay(events), "replayed"), _symbols(spark, sf_dir), _build())
+    events, lines, _ = route.routes(kept(route.parsed(_both(spark, sf_dir)).drop("params"), "parsed"))
+    known = registry.all_registries(events)
+    return timeline.trace_events(events, lines, kept(rp.replay(events, known[1]), "replayed"), kept(_symbols(spark, sf_dir), "symbols"), _build(), known)
 
 
 def trace_metadata(spark, sf_dir):
     events = _typed_events(spark, sf_dir)
-    executors = registry.executor_registry(events)
-    rows = timeline.trace_metadata(registry.core_registry(events), executors, registry.task_registry(events, executors), _symbols(spark, sf_dir), _build())
+    rows = timeline.trace_metadata(*registry.all_registries(events), kept(_symbols(spark, sf_dir), "symbols"), _build())
     return rows.select("session_id", "seq", "name", "pid", "tid", F.try_element_at("args", F.lit("name")).alias("label"))
 
 
 def trace_events(spark, sf_dir):
     """Every record of both traces, numbered in its session."""
-    rows = _records(spark, sf_dir)
-    n = F.row_number().over(Window.partitionBy("session_id").orderBy("seq", "sub")) - 1
-    return rows.select("session_id", n.cast("long").alias("n"), "ph", "name", "cat", "ts", "pid", "tid", "s", F.to_json("args").alias("args"), "value", "cname")
+    return _numbered_records(_records(spark, sf_dir))
 
 
 def write_trace_json(spark, sf_dir):
@@ -178,6 +181,41 @@ def write_trace_json(spark, sf_dir):
     return logs.read_logs(spark, path)
 
 
+#: Sizes of blocks and parts in the queries below: small, as the sessions are.
+_BLOCK, _PART = 500, 200
+
+
+def write_trace_parts(spark, sf_dir):
+    """The documents of ``write_trace_json``, each written by several tasks, put together again."""
+    path = scratch(spark, "timeline-parts")
+    logs.write_trace_json(_records(spark, sf_dir), path, _PART)
+    return logs.read_logs(spark, path)
+
+
+def _long_session(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of the scrambled trace with the sessions of every second user run together, in blocks."""
+    events = _events(spark, sf_dir).withColumn("user_id", F.when(F.col("user_id") % 2 == 0, 0).otherwise(F.col("user_id")))
+    rows = route.route_lines(route.render_event_lines(fixtures.scrambled_events(events)))[0]
+    return kept(with_blocks(kept(rows, "long-events"), _BLOCK), "long-blocks")
+
+
+def replay_in_blocks(spark, sf_dir):
+    return rp.executor_transitions(rp.replay_in_blocks(_long_session(spark, sf_dir)))
+
+
+def tasks_in_blocks(spark, sf_dir):
+    return rp.task_transitions(rp.replay_in_blocks(_long_session(spark, sf_dir)))
+
+
+def route_in_blocks(spark, sf_dir):
+    events = _long_session(spark, sf_dir)
+    return registry.route_events_to_cores(events, registry.executor_registry(events)).select("session_id", "seq", "kind", F.col("target_core").cast("long").alias("target_core"))
+
+
+def monitor_spans_in_blocks(spark, sf_dir):
+    return monitors.monitor_spans(_long_session(spark, sf_dir))
+
+
 def complete_spans(spark, sf_dir):
     rows = timeline.complete_records(_span_rows(spark, sf_dir))
     return timeline.to_json(rows).select("session_id", "seq", "json")
@@ -209,24 +247,30 @@ def read_logs(spark, sf_dir):
 _MICRO_BATCHES = 4
 
 
-def _line_stream(spark: SparkSession, raw: DataFrame) -> DataFrame:
-    """``raw`` as a stream of _MICRO_BATCHES files, in the order of ``seq``."""
+def _line_stream(spark: SparkSession, raw: DataFrame, at=None) -> DataFrame:
+    """``raw`` as a stream of _MICRO_BATCHES files, in the order of ``seq``, or dealt out by ``at``."""
     rows, path = kept(raw, "raw"), scratch(spark, "stream-in")
-    low, high = rows.agg(F.min("seq"), F.max("seq")).first()
-    at = F.floor((F.col("seq") - (low or 0)) * _MICRO_BATCHES / ((high or 0) - (low or 0) + 1))
+    if at is None:
+        low, high = rows.agg(F.min("seq"), F.max("seq")).first()
+        at = F.floor((F.col("seq") - (low or 0)) * _MICRO_BATCHES / ((high or 0) - (low or 0) + 1))
     for k in range(_MICRO_BATCHES):
         rows.filter(at == k).coalesce(1).write.mode("append").parquet(path)
-    return logs.read_log_stream(spark, "parquet", {"maxFilesPerTrigger": "1"}, path)
+    return logs.read_log_stream(spark, "parquet", {"maxFilesPerTrigger": "1"}, path, more="n long" if "n" in raw.columns else "")
+
+
+def _sunk(spark: SparkSession, stream: DataFrame) -> DataFrame:
+    """What a stream has written when its input is used up."""
+    sink = scratch(spark, "stream-out")
+    query = stream.writeStream.format("parquet").option("path", sink).option("checkpointLocation", scratch(spark, "stream-state")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(sink)
 
 
 def _streamed_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     from chronoloom.streaming import trace
 
     trace.use_rocksdb(spark)
-    stream, sink = trace.stream_trace(_line_stream(spark, _raw(spark, sf_dir))), scratch(spark, "stream-out")
-    query = stream.writeStream.format("parquet").option("path", sink).option("checkpointLocation", scratch(spark, "stream-state")).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(sink)
+    return _sunk(spark, trace.stream_trace(_line_stream(spark, _raw(spark, sf_dir))))
 
 
 def stream_trace(spark, sf_dir):
@@ -234,20 +278,85 @@ def stream_trace(spark, sf_dir):
     return rp.executor_transitions(_streamed_replay(spark, sf_dir))
 
 
+def _streamed_unordered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from chronoloom.streaming import trace
+
+    trace.use_rocksdb(spark)
+    number = F.row_number().over(Window.partitionBy("session_id").orderBy("seq")) - 1
+    raw = _raw(spark, sf_dir).withColumn("n", number.cast("long"))
+    return _sunk(spark, trace.stream_trace(_line_stream(spark, raw, F.pmod(F.xxhash64("line"), F.lit(_MICRO_BATCHES))), numbered=True))
+
+
+def stream_trace_unordered(spark, sf_dir):
+    """The scrambled trace with its lines dealt out to micro-batches at random."""
+    return rp.executor_transitions(_streamed_unordered(spark, sf_dir))
+
+
 def stream_counters(spark, sf_dir):
     return rp.attribute_metrics(_streamed_replay(spark, sf_dir))
 
 
+def _numbered_records(rows: DataFrame) -> DataFrame:
+    n = F.row_number().over(Window.partitionBy("session_id").orderBy("seq", "sub")) - 1
+    return rows.select("session_id", n.cast("long").alias("n"), "ph", "name", "cat", "ts", "pid", "tid", "s", F.to_json("args").alias("args"), "value", "cname")
+
+
+def stream_trace_events(spark, sf_dir):
+    """Every record of both traces from a stream, log instants and names of new entities too."""
+    from chronoloom.streaming import timeline as streamed
+    from chronoloom.streaming import trace
+
+    trace.use_rocksdb(spark)
+    stream = _line_stream(spark, _both(spark, sf_dir))
+    return _numbered_records(_sunk(spark, streamed.stream_timeline(stream, kept(_symbols(spark, sf_dir), "symbols"), _build())))
+
+
+def stream_text_logs(spark, sf_dir):
+    """Log files that arrive in several drops, numbered as they come."""
+    from chronoloom.streaming import trace
+
+    trace.use_rocksdb(spark)
+    path, raw = scratch(spark, "log-drops"), kept(_raw(spark, sf_dir), "raw")
+    low, high = raw.agg(F.min("seq"), F.max("seq")).first()
+    at = F.floor((F.col("seq") - (low or 0)) * _MICRO_BATCHES / ((high or 0) - (low or 0) + 1))
+    files = 0
+    for k in range(_MICRO_BATCHES):
+        drop = raw.filter(at == k).repartition(4, "session_id").sortWithinPartitions("session_id", "seq")
+        drop.select("session_id", "line").write.partitionBy("session_id").text(f"{path}/drop={k}")
+        files = max(files, raw.filter(at == k).select("session_id").distinct().count())
+    return _sunk(spark, logs.read_log_stream(spark, "text", {"maxFilesPerTrigger": str(max(1, files)), "recursiveFileLookup": "true"}, path))
+
+
+def stream_passthrough(spark, sf_dir):
+    """Ordinary lines of the well-formed trace, shown as they come."""
+    from chronoloom.streaming import route as streamed
+
+    return _sunk(spark, streamed.stream_passthrough(_line_stream(spark, _well_formed(spark, sf_dir))))
+
+
 def stream_route(spark, sf_dir):
     """The well-formed trace in several micro-batches, routed to tables."""
     from chronoloom.streaming import route as streamed
 
     path = scratch(spark, "routed")
     streamed.stream_route(_line_stream(spark, _well_formed(spark, sf_dir)), path, scratch(spark, "route-state"), availableNow=True).awaitTermination()
+    return _routed_tables(spark, path)
+
+
+def _routed_tables(spark: SparkSession, path: str) -> DataFrame:
     one = lambda name, kind: spark.read.parquet(f"{path}/{name}").select("session_id", "seq", F.lit(kind).alias("route"))
     return one("events", "event").unionByName(one("lines", "log")).unionByName(one("rejects", "reject"))
 
 
+def stream_stop(spark, sf_dir):
+    """A running stream, stopped when it has caught up: its tables hold whole micro-batches."""
+    from chronoloom.streaming import route as streamed
+
+    path = scratch(spark, "stopped")
+    streamed.stop(streamed.stream_route(_line_stream(spark, _well_formed(spark, sf_dir)), path, scratch(spark, "stop-state")))
+    return _routed_tables(spark, path)
+
+
 def state_durations(spark, sf_dir):
     return derived.state_durations(_span_rows(spark, sf_dir))
 
@@ -277,7 +386,7 @@ def trace_quality(spark, sf_dir):
 _ALL = (
     render_event_lines, parse_log_lines, parse_params, decode_event, route_lines, reject_reason, format_lines, core_registry, executor_registry, task_registry, load_symbols,
     resolve_symbols, route_events_to_cores, executor_transitions, task_transitions, core_occupancy, attribute_metrics, state_spans, monitor_events, monitor_spans, metric_counters,
-    log_instants, trace_metadata, trace_events, write_trace_json, complete_spans, passthrough, write_tables, read_logs, stream_trace, stream_counters, stream_route, state_durations, core_utilization, function_stats, preemption_matrix, metric_windows, trace_quality,
+    log_instants, trace_metadata, trace_events, write_trace_json, write_trace_parts, replay_in_blocks, tasks_in_blocks, route_in_blocks, monitor_spans_in_blocks, complete_spans, passthrough, write_tables, read_logs, stream_trace, stream_trace_unordered, stream_counters, stream_trace_events, stream_text_logs, stream_passthrough, stream_route, stream_stop, state_durations, core_utilization, function_stats, preemption_matrix, metric_windows, trace_quality,
 )
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
 SQL = oracle.SQL

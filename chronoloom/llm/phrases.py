@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from chronoloom.llm.common import BLOCK, blocks, buffers, materialize, mix64, signed
+from chronoloom.llm.common import BLOCK, SLICES, blocks, buffers, materialize, mix64, signed, slices, tree_sum
 from chronoloom.llm.hashing import BASE, LOWER, powers_for, words_at
 
 MIN_COUNT, TOP, MOST = 100, 2000, 5
@@ -187,7 +187,7 @@ def _gathered(batches: Iterator[pa.RecordBatch], seed: int, bits: np.ndarray) ->
 
 
 def _extended(seed: int, bits: np.ndarray, heavy: list[np.ndarray]) -> Callable:
-    """How often the extensions of heavy prefixes occur, by slot, summed over a task's texts."""
+    """How often the extensions of heavy prefixes occur, by slot, summed over a task's texts, as slices."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         d, n_slots = len(heavy) + 1, len(heavy[0])
@@ -195,8 +195,8 @@ def _extended(seed: int, bits: np.ndarray, heavy: list[np.ndarray]) -> Callable:
         for s in _gathered(batches, seed, bits):
             p, r = _routed(s, heavy)
             total += np.bincount(_slot(p[(r == d) & (s[:, d - 1] != 0)], n_slots), minlength=n_slots)
-        slots = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(slots, pa.int64()), pa.array(total[slots])], ["slot", "n"])
+        if total.any():
+            yield slices(total)
 
     return run
 
@@ -313,7 +313,8 @@ def phrase_counts(texts: DataFrame, words: DataFrame, seed: int, least: int = MI
     heavy: list[np.ndarray] = []
     while (totals[-1] > budget).any() and len(totals) < MOST:
         heavy.append(totals[-1] > budget)
-        totals.append(_collected(texts.mapInArrow(_extended(seed, bits, list(heavy)), "slot long, n long").groupBy("slot").agg(F.sum("n")), n_slots))
+        more = tree_sum(texts.mapInArrow(_extended(seed, bits, list(heavy)), SLICES))
+        totals.append(np.zeros(n_slots, np.int64) if more is None else more.astype(np.int64))
     light = sum(t * (t <= budget) for t in totals)
     groups = ((np.cumsum(light) - light) // budget).astype(np.int32)
     dealt = texts.mapInArrow(_dealt(seed, bits, heavy, groups, hot), _BLOCKS)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from chronoloom.functions.parse import display_name, short_symbol
 from chronoloom.schemas import METRIC, MONITOR_KINDS, READY_BEGIN
+from chronoloom.shared import kept
 
 
 def _first(rows: DataFrame, *keys: str) -> DataFrame:
@@ -30,6 +31,13 @@ def task_registry(events: DataFrame, executors: DataFrame | None = None) -> Data
     return _first(e.join(x, ["session_id", "executor_id"]).filter("seq >= first_seq").drop("first_seq"), "session_id", "core_id", "executor_id", "task_id")
 
 
+def all_registries(events: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Cores, executors and tasks, each made once and kept: they are far smaller than the events and are read
+    by routing, naming and metadata."""
+    executors = kept(executor_registry(events), "executors")
+    return kept(core_registry(events), "cores"), executors, kept(task_registry(events, executors), "tasks")
+
+
 def load_symbols(df: DataFrame) -> DataFrame:
     """build_id, address, symbol: later symbols of an address win; address 0 and empty names go."""
     return df.filter("address <> 0 AND symbol <> ''").groupBy("build_id", "address").agg(F.max_by("symbol", "ord").alias("symbol"))
@@ -41,10 +49,19 @@ def resolve_symbols(registry: DataFrame, symbols: DataFrame, id_col: str, kind:
     return registry.join(s, ["build_id", id_col], "left").withColumn("display_name", display_name(F.col("_symbol"), kind, F.col(id_col))).drop("_symbol")
 
 
-def route_events_to_cores(events: DataFrame, executors: DataFrame) -> DataFrame:
-    """Each event and every core that must see it (target_core): where its executor is known by then;
-    monitor and metric events go to their own core."""
-    x = executors.select("session_id", "executor_id", F.col("core_id").alias("target_core"), "first_seq")
-    routed = events.join(x, ["session_id", "executor_id"]).filter("seq >= first_seq").drop("first_seq")
+def _routed(events: DataFrame, executors: DataFrame, keys: list[str]) -> DataFrame:
+    x = executors.select(*keys, F.col("core_id").alias("target_core"), "first_seq")
+    routed = events.join(x, keys).filter("seq >= first_seq").drop("first_seq")
     own = events.filter(F.col("kind").isin(*MONITOR_KINDS, METRIC)).withColumn("target_core", F.col("core_id"))
     return routed.select(*events.columns, "target_core").unionByName(own)
+
+
+def route_events_to_cores(events: DataFrame, executors: DataFrame) -> DataFrame:
+    """Each event and every core that must see it (target_core): where its executor is known by then;
+    monitor and metric events go to their own core. Events that ``with_blocks`` has dealt out meet a copy of
+    their session's executors in each block, so a long session is joined by as many tasks as it has blocks."""
+    if "block" not in events.columns:
+        return _routed(events, executors, ["session_id", "executor_id"])
+    used = events.filter("executor_id IS NOT NULL").select("session_id", "block", "executor_id").distinct()
+    copies = used.join(executors, ["session_id", "executor_id"])
+    return _routed(events, copies, ["session_id", "block", "executor_id"])

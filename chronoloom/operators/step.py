@@ -1,12 +1,15 @@
 """One core's state machines: executors, their tasks, who holds the core. No Spark in here.
 
-``Core.step`` takes one event and returns what changed, in a fixed order: executors by id; of each its new
-tasks, its tasks by id, then itself; then the core's holder; then a metric's executor.
+``executor_after`` and ``task_after`` are the transitions of one entity by one event. ``Core.step`` takes one
+event and returns what changed, in a fixed order: executors by id; of each its new tasks, its tasks by id,
+then itself; then the core's holder; then a metric's executor.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
+from typing import NamedTuple
 
 from chronoloom.schemas import EXEC_BEGIN, EXEC_END, IDLE, METRIC, POLL_START, READY_BEGIN, TASK_END
 
@@ -22,11 +25,10 @@ _TASK = {
 }
 
 
-@dataclass
-class Machine:
-    """A state, whom it waits for while preempted, and (executors) the state and task to come back to."""
+class Executor(NamedTuple):
+    """A state, whom it waits for while preempted and the state to come back to, the task it polls."""
 
-    state: str
+    state: str = "Idle"
     by: int | None = None
     back: str | None = None
     task: int | None = None
@@ -40,11 +42,62 @@ class Machine:
         return self.state in ("Scheduling", "Polling")
 
 
+class Task(NamedTuple):
+    state: str = "Spawned"
+    by: int | None = None
+
+    @property
+    def label(self) -> str:
+        return f"Preempted (by {self.by})" if self.state == "Preempted" else self.state
+
+    @property
+    def active(self) -> bool:
+        """Whether other executors' events can change it."""
+        return self.state in ("Running", "Preempted")
+
+
+def executor_after(x: Executor, own: bool, kind: str, who: int, task_id: int | None) -> Executor:
+    """``own``: the event is this executor's. Others' POLL_START are those of its core only."""
+    if not own:
+        if kind == POLL_START and x.runs:
+            return Executor("Preempted", who, x.state, x.task)
+        return Executor(x.back, None, None, x.task) if kind == IDLE and x.state == "Preempted" and x.by == who else x
+    new = _EXECUTOR.get((x.state, kind))
+    return x if new is None else Executor(new, task=task_id if new == "Polling" else None)
+
+
+def task_after(x: Task, own: bool, kind: str, who: int) -> Task:
+    """``own``: the event names this task; otherwise it is another executor's."""
+    if not own:
+        if kind == POLL_START and x.state == "Running":
+            return Task("Preempted", who)
+        return Task("Running") if kind == IDLE and x.state == "Preempted" and x.by == who else x
+    new = _TASK.get((x.state, kind))
+    return x if new is None else Task(new)
+
+
 @dataclass
 class Core:
+    """``find`` looks up a task that isn't held here: (executor, task) to its state, or None if it is new."""
+
     core_id: int
-    executors: dict[int, Machine] = field(default_factory=dict)
-    tasks: dict[int, dict[int, Machine]] = field(default_factory=dict)
+    executors: dict[int, Executor] = field(default_factory=dict)
+    tasks: dict[int, dict[int, Task]] = field(default_factory=dict)
+    active: dict[int, set[int]] = field(default_factory=dict)
+    find: Callable[[int, int], Task | None] | None = None
+
+    def put_task(self, executor: int, task: int, x: Task) -> None:
+        self.tasks.setdefault(executor, {})[task] = x
+        of = self.active.setdefault(executor, set())
+        of.add(task) if x.active else of.discard(task)
+
+    def _known(self, executor: int, task: int) -> bool:
+        held = self.tasks.setdefault(executor, {})
+        if task not in held and self.find is not None:
+            x = self.find(executor, task)
+            if x is not None:
+                self.put_task(executor, task, x)
+        return task in held
 
     def _holder(self) -> int | None:
         return min((i for i, x in self.executors.items() if x.runs), default=None)
@@ -58,11 +111,11 @@ class Core:
             # the holder is looked up after registration, and a new executor does not run yet
             before = self._holder()
             if core_id == self.core_id and kind != READY_BEGIN and executor_id not in self.executors:
-                self.executors[executor_id], self.tasks[executor_id] = Machine("Idle"), {}
+                self.executors[executor_id] = Executor()
                 out.append({"rec": "executor", "executor_id": executor_id, "label": "Created"})
             others = kind == IDLE or (kind == POLL_START and core_id == self.core_id)
             for i in sorted(self.executors) if others else [executor_id] * (executor_id in self.executors):
-                out += self._executor(i, kind, core_id, executor_id, task_id)
+                out += self._executor(i, kind, executor_id, task_id)
             after = self._holder()
             if before != after:
                 out.append({"rec": "core", "prev_executor_id": before, "executor_id": after})
@@ -70,33 +123,21 @@ class Core:
             out.append({"rec": "metric", "name": name, "value": value, "pid": self._polling()})
         return out
 
-    def _executor(self, i: int, kind: str, core_id: int, executor_id: int, task_id: int | None) -> list[dict]:
+    def _executor(self, i: int, kind: str, executor_id: int, task_id: int | None) -> list[dict]:
         out, own = [], i == executor_id
-        if own and task_id is not None and task_id not in self.tasks[i]:
-            self.tasks[i][task_id] = Machine("Spawned")
+        if own and task_id is not None and not self._known(i, task_id):
+            self.put_task(i, task_id, Task())
             out.append({"rec": "task", "executor_id": i, "task_id": task_id, "label": "Spawned"})
-        affected = [task_id] if own and task_id is not None else sorted(self.tasks[i])
-        for t in affected:
-            m, was = self.tasks[i][t], self.tasks[i][t].label
-            if not own:
-                if kind == POLL_START and m.state == "Running":
-                    m.state, m.by = "Preempted", executor_id
-                elif kind == IDLE and m.state == "Preempted" and m.by == executor_id:
-                    m.state, m.by = "Running", None
-            elif t == task_id:
-                m.state = _TASK.get((m.state, kind), m.state)
-            if m.label != was:
-                out.append({"rec": "task", "executor_id": i, "task_id": t, "prev_label": was, "label": m.label, "by_executor_id": m.by})
-        m = self.executors[i]
-        was = m.label
-        if not own:
-            if kind == POLL_START and m.runs:
-                m.back, m.state, m.by = m.state, "Preempted", executor_id
-            elif kind == IDLE and m.state == "Preempted" and m.by == executor_id:
-                m.state, m.by, m.back = m.back, None, None
-        elif m.state != "Preempted":
-            m.state = _EXECUTOR.get((m.state, kind), m.state)
-            m.task = task_id if m.state == "Polling" and kind == EXEC_BEGIN else m.task if m.state == "Polling" else None
-        if m.label != was:
-            out.append({"rec": "executor", "executor_id": i, "task_id": m.task if m.state == "Polling" else None, "prev_label": was, "label": m.label, "by_executor_id": m.by})
+        for t in ([] if task_id is None else [task_id]) if own else sorted(self.active.get(i, ())):
+            self._known(i, t)
+            was = self.tasks[i][t]
+            now = task_after(was, own, kind, executor_id)
+            if now != was:
+                self.put_task(i, t, now)
+                out.append({"rec": "task", "executor_id": i, "task_id": t, "prev_label": was.label, "label": now.label, "by_executor_id": now.by})
+        was = self.executors[i]
+        now = executor_after(was, own, kind, executor_id, task_id)
+        if now != was:
+            self.executors[i] = now
+            out.append({"rec": "executor", "executor_id": i, "task_id": now.task if now.state == "Polling" else None, "prev_label": was.label, "label": now.label, "by_executor_id": now.by})
         return out

@@ -224,3 +224,8 @@ SQL: dict[str, str] = {
     "trace_quality": _sql("SELECT 'reject: no opening bracket' AS issue, count(*) AS n FROM w WHERE route = 'reject' GROUP BY issue HAVING count(*) > 0", _W),
 }
 SQL["stream_counters"] = SQL["attribute_metrics"]
+SQL["write_trace_parts"] = SQL["write_trace_json"]
+# The trace with the sessions of every second user run together.
+for _name, _of in (("replay_in_blocks", "executor_transitions"), ("tasks_in_blocks", "task_transitions"), ("route_in_blocks", "route_events_to_cores"), ("monitor_spans_in_blocks", "monitor_spans")):
+    SQL[_name] = SQL[_of].replace("user_id AS session_id", "CASE WHEN user_id % 2 = 0 THEN 0 ELSE user_id END AS session_id", 1)
+SQL |= {"stream_trace_unordered": SQL["stream_trace"], "stream_trace_events": SQL["trace_events"], "stream_text_logs": SQL["read_logs"], "stream_passthrough": SQL["passthrough"], "stream_stop": SQL["stream_route"]}

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
-from chronoloom.plans.route import parsed, routes
+from chronoloom.plans.route import parsed, route_lines, routes
 from chronoloom.shared import kept
+from chronoloom.sources.logs import passthrough
 
 NAMES = ("events", "lines", "rejects")
 
@@ -22,6 +23,11 @@ def stream_route(raw: DataFrame, path: str, checkpoint: str, **trigger) -> Strea
     return raw.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"processingTime": "1 second"})).start()
 
 
+def stream_passthrough(raw: DataFrame) -> DataFrame:
+    """session_id, seq, text of the lines that are no events, for any sink (``console`` for a live view)."""
+    return passthrough(*route_lines(raw)[1:])
+
+
 def stop(query: StreamingQuery) -> None:
     """Finish what has arrived, then stop; the tables hold whole micro-batches only."""
     query.processAllAvailable()

@@ -1,23 +1,32 @@
 """Streaming replay: one stateful processor per session with the state machines of the batch replay.
 
-The state is a map with one entry per entity (a core, an executor, a task of it), so a micro-batch writes
-only the entities that it changed. Rows of one micro-batch are ordered by ``seq``; between micro-batches
-the source must deliver a session's rows in order (as one Kafka partition per session does).
+State is held by entity. A micro-batch reads the session's executors (a device has few) and, one by one, the
+tasks that its events name or that run or are preempted; tasks that have ended are not read again. It writes what
+has changed. A session without events for ``idle_ms`` ends and frees its state.
+
+Order. Rows of a micro-batch are ordered by ``seq``; a row below one of an earlier micro-batch is rejected. With
+``numbered`` lines (``n`` is 0, 1, 2 ... in each session, as a line counter or a log file gives it) rows may
+come in any order: those that come too early wait in the state until the ones before them are there, and are
+then released in order. A gap that stays for ``wait_ms`` is given up, and what comes for it later is rejected.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import astuple, dataclass
+from functools import partial
 
 from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from chronoloom.operators.step import Core, Machine
-from chronoloom.plans.route import route_lines
-from chronoloom.schemas import REPLAY
+from chronoloom.operators.step import Core, Executor, Task
+from chronoloom.plans.route import parsed, routes
+from chronoloom.schemas import MONITOR_KINDS, MONITOR_START, REPLAY
 
 _COLUMNS = [c.split()[0] for c in REPLAY.split(", ")]
-_NONE = -1
+_EVENT = ("seq", "ts_us", "core_id", "kind", "executor_id", "task_id", "name", "value")
+LATE, REPEATED, ENDED, MISSING = "late: a later row was replayed before", "repeated: this number has come before", "late: the session has ended", "missing: given up after the wait"
 
 
 def use_rocksdb(spark: SparkSession) -> None:
@@ -25,47 +34,186 @@ def use_rocksdb(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
 
+@dataclass
+class _Session:
+    """``ahead``: the next number, or the last ``seq``. ``waiting``: rows held back. Times are in ms."""
+
+    ahead: int = 0
+    cores: str = ""
+    waiting: int = 0
+    gap_until: int | None = None
+    seen: int = 0
+    timer: int | None = None
+    ended: bool = False
+
+
+_SESSION = "ahead long, cores string, waiting long, gap_until long, seen long, timer long, ended boolean"
+
+
 class Replay(StatefulProcessor):
+    def __init__(self, numbered: bool = False, wait_ms: int = 60_000, idle_ms: int = 86_400_000, timeline: bool = False):
+        self.numbered, self.wait_ms, self.idle_ms, self.timeline = numbered, wait_ms, idle_ms, timeline
+
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.entities = handle.getMapState("entities", "core_id int, executor_id long, task_id long", "state string, by long, back string, task long")
-
-    def _load(self) -> tuple[dict[int, Core], dict[tuple, tuple]]:
-        cores: dict[int, Core] = {}
-        held = {tuple(k): tuple(v) for k, v in self.entities.iterator()}
-        for (core, executor, task), (state, by, back, on) in sorted(held.items()):
-            c = cores.setdefault(core, Core(core))
-            if task != _NONE:
-                c.tasks.setdefault(executor, {})[task] = Machine(state, by)
-            elif executor != _NONE:
-                c.executors[executor] = Machine(state, by, back, on)
-                c.tasks.setdefault(executor, {})
-        return cores, held
-
-    def _store(self, cores: dict[int, Core], held: dict[tuple, tuple]) -> None:
-        now = {(c, _NONE, _NONE): ("", None, None, None) for c in cores}
+        self.handle = handle
+        self.session = handle.getValueState("session", _SESSION)
+        self.executors = handle.getMapState("executors", "core_id int, executor_id long", "state string, by long, back string, task long, active string")
+        self.tasks = handle.getMapState("tasks", "core_id int, executor_id long, task_id long", "state string, by long")
+        self.pending = handle.getMapState("pending", "n long", "seq long, ts_us long, core_id int, kind string, executor_id long, task_id long, name string, value double")
+
+    def _find(self, core: int, executor: int, task: int) -> Task | None:
+        x = self.tasks.getValue((core, executor, task))
+        if x is not None:
+            self.held_tasks[core, executor, task] = tuple(x)
+        return None if x is None else Task(*x)
+
+    def _open(self) -> tuple[_Session, dict[int, Core]]:
+        s = self.session.get()
+        session = _Session() if s is None else _Session(*s)
+        self.held_executors, self.held_tasks = {}, {}
+        cores = {int(c): self._core(int(c)) for c in session.cores.split(",") if c}
+        if cores and not session.ended:
+            for (core, executor), x in self.executors.iterator():
+                self.held_executors[core, executor] = tuple(x)
+                cores[core].executors[executor] = Executor(*tuple(x)[:4])
+                cores[core].active[executor] = {int(t) for t in x[4].split(",") if t}
+        return session, cores
+
+    def _core(self, core: int) -> Core:
+        return Core(core, find=partial(self._find, core))
+
+    def _store(self, session: _Session, cores: dict[int, Core], now: int) -> None:
         for c, core in cores.items():
-            now |= {(c, i, _NONE): (m.state, m.by, m.back, m.task) for i, m in core.executors.items()}
-            now |= {(c, i, t): (m.state, m.by, None, None) for i, tasks in core.tasks.items() for t, m in tasks.items()}
-        for k, v in now.items():
-            if held.get(k) != v:
-                self.entities.updateValue(k, v)
-
-    def handleInputRows(self, key: tuple, rows: Iterator[Row], timer_values) -> Iterator[Row]:
-        cores, held = self._load()
+            for i, x in core.executors.items():
+                entry = (*x, ",".join(map(str, sorted(core.active.get(i, ())))))
+                if self.held_executors.get((c, i)) != entry:
+                    self.executors.updateValue((c, i), entry)
+            for i, tasks in core.tasks.items():
+                for t, x in tasks.items():
+                    if self.held_tasks.get((c, i, t)) != tuple(x):
+                        self.tasks.updateValue((c, i, t), tuple(x))
+        session.cores = ",".join(map(str, sorted(cores)))
+        due = [x for x in (session.gap_until, None if session.ended else session.seen + self.idle_ms) if x is not None]
+        if due and (session.timer is None or min(due) < session.timer):
+            session.timer = max(min(due), now + 1)
+            self.handle.registerTimer(session.timer)
+        self.session.update(astuple(session))
+
+    @staticmethod
+    def _row(session_id: int, seq: int, **fields) -> Row:
+        out = fields | {"session_id": session_id, "seq": seq}
+        return Row(**{c: out.get(c) for c in _COLUMNS})
+
+    def _replayed(self, session_id: int, cores: dict[int, Core], event: tuple) -> Iterator[Row]:
+        seq, ts, at, kind, executor, task, name, value = event
+        if kind is None:
+            return
+        row = partial(self._row, session_id, seq, ts_us=ts)
+        if at not in cores:
+            if self.timeline:
+                yield from (row(sub=0, core_id=at, rec=rec) for rec in (["device"] if not cores else []) + ["new core"])
+            cores[at] = self._core(at)
+        for core_id in sorted(cores):
+            for sub, x in enumerate(cores[core_id].step(kind, at, executor, task, name, value)):
+                yield row(sub=sub, core_id=core_id, **x)
+        if self.timeline and kind in MONITOR_KINDS:
+            yield row(sub=0, core_id=at, rec="monitor", label="B" if kind == MONITOR_START else "E", name=name)
+
+    def _rejected(self, session_id: int, seq: int | None, reason: str) -> Row:
+        return self._row(session_id, seq, sub=0, rec="reject", label=reason)
+
+    def _in_arrival_order(self, session_id: int, session: _Session, cores: dict[int, Core], rows: Iterator[Row]) -> Iterator[Row]:
+        last = session.ahead
         # a micro-batch of one session is bounded by the source's rate limit
         for r in sorted(rows, key=lambda r: r["seq"]):
-            cores.setdefault(r["core_id"], Core(r["core_id"]))
-            for core_id in sorted(cores):
-                for sub, x in enumerate(cores[core_id].step(r["kind"], r["core_id"], r["executor_id"], r["task_id"], r["name"], r["value"])):
-                    out = x | {"session_id": key[0], "seq": r["seq"], "sub": sub, "ts_us": r["ts_us"], "core_id": core_id}
-                    yield Row(**{c: out.get(c) for c in _COLUMNS})
-        self._store(cores, held)
+            if r["seq"] < last:
+                yield self._rejected(session_id, r["seq"], LATE)
+            else:
+                session.ahead = r["seq"]
+                yield from self._replayed(session_id, cores, tuple(r[c] for c in _EVENT))
+
+    def _released(self, session_id: int, session: _Session, cores: dict[int, Core], fresh: dict[int, tuple]) -> Iterator[Row]:
+        """Replay from the next number on, as far as there is no gap."""
+        while True:
+            event = fresh.pop(session.ahead, None)
+            if event is None and session.waiting:
+                event = self.pending.getValue((session.ahead,))
+                if event is not None:
+                    self.pending.removeKey((session.ahead,))
+                    session.waiting -= 1
+            if event is None:
+                return
+            session.ahead += 1
+            yield from self._replayed(session_id, cores, tuple(event))
+
+    def _in_order(self, session_id: int, session: _Session, cores: dict[int, Core], rows: Iterator[Row], now: int) -> Iterator[Row]:
+        fresh: dict[int, tuple] = {}
+        before = session.ahead
+        for r in rows:
+            n = r["n"]
+            if n < before:
+                yield self._rejected(session_id, r["seq"], LATE)
+            elif n in fresh or (session.waiting and self.pending.containsKey((n,))):
+                yield self._rejected(session_id, r["seq"], REPEATED)
+            else:
+                fresh[n] = tuple(r[c] for c in _EVENT)
+        yield from self._released(session_id, session, cores, fresh)
+        for n, event in fresh.items():
+            self.pending.updateValue((n,), event)
+            session.waiting += 1
+        if not session.waiting:
+            session.gap_until = None
+        elif session.gap_until is None or session.ahead > before:
+            session.gap_until = now + self.wait_ms
+
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timer_values) -> Iterator[Row]:
+        session, cores = self._open()
+        now = timer_values.getCurrentProcessingTimeInMs()
+        if session.ended:
+            yield from (self._rejected(key[0], r["seq"], ENDED) for r in rows)
+            return
+        session.seen = now
+        if self.numbered:
+            yield from self._in_order(key[0], session, cores, rows, now)
+        else:
+            yield from self._in_arrival_order(key[0], session, cores, rows)
+        self._store(session, cores, now)
+
+    def handleExpiredTimer(self, key: tuple, timer_values, expired) -> Iterator[Row]:
+        session, cores = self._open()
+        if session.ended:
+            return
+        now, session.timer = timer_values.getCurrentProcessingTimeInMs(), None
+        idle = now >= session.seen + self.idle_ms
+        while session.waiting and (idle or (session.gap_until is not None and now >= session.gap_until)):
+            first = min(n for (n,) in self.pending.keys())
+            yield self._row(key[0], None, sub=0, rec="reject", label=MISSING, name=f"{session.ahead} to {first - 1}")
+            session.ahead = first
+            yield from self._released(key[0], session, cores, {})
+            session.gap_until = now + self.wait_ms if session.waiting else None
+        if idle:
+            # what is left is that the session has been
+            for state in (self.executors, self.tasks, self.pending):
+                state.clear()
+            self.session.update(astuple(_Session(ended=True)))
+        else:
+            self._store(session, cores, now)
 
     def close(self) -> None:
         pass
 
 
-def stream_trace(raw: DataFrame) -> DataFrame:
-    """The rows of ``replay`` from a stream of raw_logs; the session needs ``use_rocksdb``."""
-    events = route_lines(raw)[0]
-    return events.groupBy("session_id").transformWithState(Replay(), REPLAY, "Append", "None")
+def stream_trace(raw: DataFrame, numbered: bool = False, wait_ms: int = 60_000, idle_ms: int = 86_400_000, timeline: bool = False) -> DataFrame:
+    """The rows of ``replay`` from a stream of raw_logs, and rows with rec ``reject``; the session needs
+    ``use_rocksdb``. ``numbered``: the lines have a number ``n``. ``timeline`` adds rows for new cores and
+    function monitors, from which ``stream_timeline`` makes records."""
+    rows = parsed(raw)
+    # every numbered line takes part in the order, whatever it holds
+    events = rows.select("session_id", "n", *_EVENT) if numbered else routes(rows)[0]
+    return events.groupBy("session_id").transformWithState(Replay(numbered, wait_ms, idle_ms, timeline), REPLAY, "Append", "ProcessingTime")
+
+
+def rejected(replayed: DataFrame) -> DataFrame:
+    """session_id, seq, reason, numbers: rows that the stream left out, and the numbers that it gave up (which
+    have no ``seq``)."""
+    return replayed.filter("rec = 'reject'").select("session_id", "seq", F.col("label").alias("reason"), F.col("name").alias("numbers"))
