@@ -11,8 +11,10 @@
 3. The probability that counts is calibrated on what the regressions did not learn from: the cut lies
    midway between the median own family of the wordings in HELD_OUT and the strongest family among all
    paragraphs of no family.
-4. A prediction holds if the paragraph also contains CONFIRM of the bigrams of a template of that family;
-   otherwise, and where only "unknown" fires, the paragraph counts as unknown.
+4. A prediction holds if the paragraph also contains CONFIRM of the bigrams of a template of that family,
+   has what tells that family from its relatives (NEEDS: name, version, clauses) and nothing of a relative or
+   of a denial (RIVALS, DENIED); otherwise, where only "unknown" fires, and where a relative has that many bigrams, it counts as unknown.
+   The BSD texts begin alike: without a number of clauses their wording counts as bsd-3-clause.
 
 All rows are scanned; only paragraphs that hold some feature are shuffled. The features (a few hundred,
 given by the templates) are broadcast. No Python runs on the executors.
@@ -24,6 +26,9 @@ ignored.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -46,6 +51,7 @@ TEMPLATES = {
         "Use of this source code is governed by a BSD-style license",
         "Redistribution and use in source and binary forms, with or without modification, are permitted",
         "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer",
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software",
         "SPDX-License-Identifier: BSD-3-Clause",
     ),
     "cc-by-nc-4.0": (
@@ -95,6 +101,24 @@ HELD_OUT = {
     "gpl-3.0": ("This library is licensed under the GNU General Public License, version 3 only", "distributed under the GNU General Public License version 3"),
     "mit": ("This project is released under the MIT License, see LICENSE", "Permission is granted, free of charge, to any person obtaining a copy of this package"),
 }
+# Patterns that all have to be there, in lower case, for a family, and those that speak for a relative.
+NEEDS = {
+    "apache-2.0": (r"\bapache\b", r"\b2\.0\b"),
+    "bsd-3-clause": (r"\bbsd\b|\bredistribut|\bneither the name of\b",),
+    "cc-by-nc-4.0": (r"\bnon-?commercial\b|\bby-nc\b", r"\b4\.0\b"),
+    "cc-by-sa-4.0": (r"\bshare-?alike\b|\bby-sa\b", r"\b4\.0\b"),
+    "gpl-3.0": (r"\bgeneral public licen[sc]e\b|\bgpl", r"\bversion 3\b|\bgpl-?v?3"),
+    "mit": (r"\bmit\b|\bgranted, free of charge\b|\bthis permission notice shall be included\b",),
+}
+RIVALS = {
+    "apache-2.0": r"\bversion 1\b|\b1\.[01]\b",
+    "bsd-3-clause": r"\b([024]|two|four|zero)[- ]clause\b|\badvertising materials\b",
+    "cc-by-nc-4.0": r"\b[123]\.[05]\b|\bshare-?alike\b|\bno-?deriv|\b(sa|nd)\b",
+    "cc-by-sa-4.0": r"\b[123]\.[05]\b|\bnon-?commercial\b|\bno-?deriv|\b(nc|nd)\b",
+    "gpl-3.0": r"\blesser\b|\blibrary general\b|\baffero\b|\b[la]gpl|\bversion [12]\b|\bgpl-?v?[12]",
+    "mit": r"\bmit-0\b|\bno attribution\b",
+}
+DENIED = r"\b(not|never|neither|nor|no longer|isn't|aren't) (been |be |yet )?(re)?(licen[sc]ed|released|distributed|published|available|covered|governed)\b"
 _PAR = ("id", "t", "par")
 _UNIT = (*_PAR, "unit")
 _BLANK = r"\n\s*\n"
@@ -127,6 +151,13 @@ def units(pars: DataFrame) -> DataFrame:
     return pars.select(*_PAR, F.posexplode(F.when(F.size(lines) > 1, F.concat(F.array("text"), lines)).otherwise(F.array("text"))).alias("unit", "text"))
 
 
+def possible(text):
+    """The families that a text's own words leave possible."""
+    low = F.lower(text)
+    fits = {f: reduce(and_, (low.rlike(p) for p in NEEDS[f])) & ~low.rlike(RIVALS[f]) & ~low.rlike(DENIED) for f in NEEDS}
+    return F.array_compact(F.array(*(F.when(fit, F.lit(f)) for f, fit in fits.items())))
+
+
 def templates(spark: SparkSession, of: dict[str, tuple[str, ...]] = TEMPLATES) -> DataFrame:
     """template, family, gram."""
     rows = [F.struct(F.lit(f"{family}/{k}").alias("template"), F.lit(family).alias("family"), F.lit(text).alias("text")) for family, texts in of.items() for k, text in enumerate(texts)]
@@ -224,18 +255,20 @@ def classify(docs: DataFrame, model: LicenceModel, id_col: str = "doc_id", text_
     """id, t, par, family ("unknown" included), p, confirmed: one row per paragraph that is a notice and family
     of it. A family whose wording in the paragraph is part of what another one's wording covers is not
     another family of it."""
-    found = units(paragraphs(docs, id_col, text_col)).select(*_UNIT, F.explode(F.array_distinct(bigrams(F.col("text")))).alias("gram"))
+    cut = units(paragraphs(docs, id_col, text_col))
+    found = cut.select(*_UNIT, possible(F.regexp_replace("text", r"\s+", " ")).alias("possible"), F.explode(F.array_distinct(bigrams(F.col("text")))).alias("gram"))
     hits = found.join(F.broadcast(model.grams.groupBy("gram").agg(F.collect_list(F.struct("template", "family", "size")).alias("held"))), "gram")
-    hits = materialize(hits.groupBy(*_UNIT).agg(F.collect_set(F.struct("gram", "held")).alias("hits")), "licence-hits")
-    each = hits.select(*_UNIT, F.explode("hits").alias("x")).select(*_UNIT, "x.gram", "x.held")
-    z = each.join(F.broadcast(model.weights), "gram").groupBy(*_UNIT, "family").agg(F.sum("w").alias("z"))
-    p = z.join(F.broadcast(model.bias), "family").select(*_UNIT, "family", (1 / (1 + F.exp(-(F.col("z") + F.col("b"))))).alias("p"))
+    hits = materialize(hits.groupBy(*_UNIT, "possible").agg(F.collect_set(F.struct("gram", "held")).alias("hits")), "licence-hits")
+    each = hits.select(*_UNIT, "possible", F.explode("hits").alias("x")).select(*_UNIT, "possible", "x.gram", "x.held")
+    z = each.join(F.broadcast(model.weights), "gram").groupBy(*_UNIT, "possible", "family").agg(F.sum("w").alias("z"))
+    p = z.join(F.broadcast(model.bias), "family").select(*_UNIT, F.array_contains("possible", F.col("family")).alias("fits"), "family", (1 / (1 + F.exp(-(F.col("z") + F.col("b"))))).alias("p"))
     share = each.select(*_UNIT, "gram", F.explode("held").alias("of")).groupBy(*_UNIT, "of.family", "of.template", "of.size").agg(F.count(F.lit(1)).alias("n"), F.collect_set("gram").alias("grams"))
     share = share.groupBy(*_UNIT, "family").agg(F.max(F.col("n") / F.col("size")).alias("share"), F.array_distinct(F.flatten(F.collect_list("grams"))).alias("grams"))
     same = p["id"].eqNullSafe(share["id"]) & (p["t"] == share["t"]) & (p["par"] == share["par"]) & (p["unit"] == share["unit"]) & (p["family"] == share["family"])
-    both = p.join(share, same, "left").select(p["id"], p["t"], p["par"], p["family"], "p", F.coalesce("share", F.lit(0.0)).alias("share"), "grams")
-    sure = (F.col("family") != "unknown") & (F.col("p") >= model.cut) & (F.col("share") >= CONFIRM)
-    of_par = both.groupBy(*_PAR).agg(F.collect_list(F.when(sure, F.struct("p", "family", "grams"))).alias("sure"), F.max("p").alias("most"))
+    both = p.join(share, same, "left").select(p["id"], p["t"], p["par"], p["family"], "p", "fits", F.coalesce("share", F.lit(0.0)).alias("share"), "grams")
+    sure = (F.col("family") != "unknown") & F.col("fits") & (F.col("p") >= model.cut) & (F.col("share") >= CONFIRM)
+    refused = (F.col("family") != "unknown") & ~F.col("fits") & (F.col("share") >= CONFIRM)
+    of_par = both.groupBy(*_PAR).agg(F.collect_list(F.when(sure, F.struct("p", "family", "grams"))).alias("sure"), F.max("p").alias("most"), F.max(refused).alias("refused"))
 
     def covers(y, x):
         within = F.size(F.array_except(x["grams"], y["grams"])) == 0
@@ -244,7 +277,7 @@ def classify(docs: DataFrame, model: LicenceModel, id_col: str = "doc_id", text_
         return (y["family"] != x["family"]) & within & (more | first)
 
     own = F.filter("sure", lambda x: ~F.exists("sure", lambda y: covers(y, x)))
-    own = of_par.filter((F.size("sure") > 0) | (F.col("most") >= model.cut)).select(*_PAR, "most", F.explode_outer(own).alias("x"))
+    own = of_par.filter((F.size("sure") > 0) | (F.col("most") >= model.cut) | F.col("refused")).select(*_PAR, "most", F.explode_outer(own).alias("x"))
     return own.groupBy(*_PAR, F.coalesce("x.family", F.lit("unknown")).alias("family")).agg(F.max(F.coalesce("x.p", "most")).alias("p"), F.max(F.col("x").isNotNull()).alias("confirmed"))
 
 

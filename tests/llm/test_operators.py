@@ -609,6 +609,30 @@ def test_licence_scan_reads_wordings_it_has_not_seen(spark):
     assert got == {i: [f] for i, (_, f) in unseen.items()} | {i: [] for i in plain}
 
 
+def test_licence_scan_confirms_no_relative(spark):
+    rivals = [
+        "This work is licensed under the GNU General Public License, version 2.",
+        "This program is free software; you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation; either version 2 of the License, or\n(at your option) any later version.",
+        "This library is licensed under the GNU Lesser General Public License, version 3.",
+        "This library is licensed under the GNU Lesser General Public License, version 2.1.",
+        "This program is licensed under the GNU Affero General Public License, version 3 or later",
+        "SPDX-License-Identifier: GPL-2.0-or-later",
+        "Licensed under the BSD 2-Clause License.",
+        "This work is licensed under a Creative Commons Attribution-ShareAlike 3.0 International License",
+        "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License",
+        "Licensed under CC BY-NC-ND 4.0.",
+        "Licensed under the Apache License, Version 1.1.",
+        "This package is not released under the MIT License.",
+        "The code is no longer licensed under the Apache License, Version 2.0.",
+    ]
+    right = {100: ("Licensed under the BSD 3-Clause License.", "bsd-3-clause"), 101: ("GNU General Public License, version 3 or later", "gpl-3.0"), 102: ("Creative Commons CC BY-SA 4.0", "cc-by-sa-4.0")}
+    rows = [*enumerate(rivals), *((i, t) for i, (t, _) in right.items()), *((i, f"plain words of text number {i}") for i in range(200, 230))]
+    got = {r["doc_id"]: r for r in license_scan.scan(frame(spark, rows)).collect()}
+    assert {i: list(r["families"]) for i, r in got.items() if r["families"]} == {i: [f] for i, (_, f) in right.items()}
+    # rivals are seen as notices of no known family
+    assert sum(got[i]["n_unknown"] for i in range(len(rivals))) >= len(rivals) - 2
+
+
 def test_licence_features_are_counted_over_all_paragraphs(spark):
     from pyspark.sql import functions as F
 
