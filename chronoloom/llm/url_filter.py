@@ -62,39 +62,62 @@ def split_url(url):
     return host, F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1)
 
 
+class HostRules:
+    """The path rules of one host at rising paths: each knows the next shorter one that it is nested in."""
+
+    def __init__(self):
+        self.paths: list[str] = []
+        self.rules: list[Rule] = []
+        self.outer: list[int] = []
+
+    def around(self, at: int, path: str) -> int:
+        """The place of the longest rule that ``path`` starts with, of rule ``at`` and those around it, or -1."""
+        while at >= 0 and not path.startswith(self.paths[at]):
+            at = self.outer[at]
+        return at
+
+    def add(self, rule: Rule) -> None:
+        self.outer.append(self.around(len(self.paths) - 1, rule.path))
+        self.paths.append(rule.path)
+        self.rules.append(rule)
+
+
 class HostSweep:
-    """Active host rules at rising turned hosts; rules come before the pages of their key."""
+    """Active host rules at rising turned hosts; rules come before the pages of their key, by rising paths."""
 
     def __init__(self):
-        self.stack: list[tuple[str, list[Rule]]] = []
+        self.stack: list[tuple[str, HostRules]] = []
 
-    def rules_at(self, key: str) -> list[Rule]:
+    def rules_at(self, key: str) -> list[HostRules]:
         while self.stack and not key.startswith(self.stack[-1][0]):
             self.stack.pop()
-        return [r for _, own in self.stack for r in own]
+        return [own for _, own in self.stack]
 
     def add(self, key: str, rule: Rule) -> None:
         while self.stack and not key.startswith(self.stack[-1][0]):
             self.stack.pop()
         if not self.stack or self.stack[-1][0] != key:
-            self.stack.append((key, []))
-        self.stack[-1][1].append(rule)
+            self.stack.append((key, HostRules()))
+        self.stack[-1][1].add(rule)
 
 
 class PathSweep:
-    """The winning rule at rising paths of one host."""
+    """The winning rule at rising paths of one host. The rules of the hosts around it are shared and never
+    copied: the sweep only keeps its place in each of them."""
 
-    def __init__(self, rules: list[Rule]):
-        self.rules, self.at, self.stack = sorted(rules, key=lambda r: (r.path, len(r.host))), 0, []
+    def __init__(self, active: list[HostRules]):
+        self.active, self.at = active, [0] * len(active)
 
     def winner(self, path: str) -> Rule | None:
-        while self.stack and not path.startswith(self.stack[-1].path):
-            self.stack.pop()
-        while self.at < len(self.rules) and self.rules[self.at].path <= path:
-            if path.startswith(self.rules[self.at].path):
-                self.stack.append(self.rules[self.at])
-            self.at += 1
-        return max(self.stack, key=lambda r: (len(r.text), len(r.host)), default=None)
+        best = None
+        for k, own in enumerate(self.active):
+            # what lies between a prefix of the path and the path starts with that prefix
+            self.at[k] = bisect_right(own.paths, path, self.at[k])
+            place = own.around(self.at[k] - 1, path)
+            if place >= 0:
+                # longer hosts come later in the stack
+                best = max(best, own.rules[place], key=lambda r: (len(r.text), len(r.host)) if r else (-1, -1))
+        return best
 
 
 def rule_table(spark: SparkSession, rules: Sequence[Rule]) -> DataFrame:
