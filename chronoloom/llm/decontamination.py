@@ -289,7 +289,9 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
     texts = id_text(docs, id_col, text_col, binary=False)
     texts = texts.select("id", _hash("text").alias("t"), "text")
     id_type, item_type = texts.schema["id"].dataType.simpleString(), benchmark.schema[item_col].dataType.simpleString()
-    parts = [_matches_of_block(texts, ids, items, id_type, item_type) for ids, items in item_blocks(benchmark, item_col, item_text)]
+    # written one by one, so that the driver holds the index of one block however long the benchmark is
+    blocks_of = item_blocks(benchmark, item_col, item_text)
+    parts = [materialize(_matches_of_block(texts, ids, items, id_type, item_type), "decontam-block") for ids, items in blocks_of]
     if not parts:
         return docs.sparkSession.createDataFrame([], f"id {id_type}, t long, item_id {item_type}, end long, edits int")
     return reduce(DataFrame.union, parts)
