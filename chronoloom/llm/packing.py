@@ -4,10 +4,11 @@
    (id, piece, start, length, crc) travels on.
 2. The driver gets the histogram of lengths: at most ``capacity`` numbers at any input size. The
    configuration LP (as few sequences as possible, every length covered) is solved by multiplicative
-   weights. A length's weight starts at its share of all tokens; each step multiplies it by exp(-ETA) to
-   the share of its demand that the step covers, and a length that is covered leaves the system. An
-   unbounded-knapsack dynamic program prices the configuration of the greatest weight; it is taken as often
-   as covers no length beyond its demand and adds at most STEP to the share of the longest one in it.
+   weights. A length's weight starts at its size, with LONGER more for long ones; each step multiplies it by
+   exp(-ETA) to the share of its demand that the step covers, and a length that is covered leaves the system. An
+   unbounded-knapsack dynamic program prices the configuration of the greatest weight, and up to MANY within
+   SLACK of it that share no length; each is taken as often as covers no length beyond its demand and adds at
+   most STEP to the share of the longest one in it.
 3. The fractional counts are rounded down, what they leave over goes best-fit into the room of these
    sequences and into new ones, again on the histogram. Best-fit alone is kept where that needs fewer.
 4. The plan says for each length which ranks go to which sequences. Ranks are row numbers within (length,
@@ -38,8 +39,11 @@ from chronoloom.llm.common import blocks, id_text, materialize
 CAPACITY = 2048
 #: Words whose ids a worker keeps; longer words are encoded each time.
 KNOWN_WORDS, LONG_WORD = 500_000, 64
-#: Most rounds of the program; the rate of its weights; most of a length's demand that one round covers.
-ROUNDS, ETA, STEP = 300, 2.0, 0.25
+#: Most rounds of the program; the rate of its weights; most of a length's demand that one step covers; how much
+#: more a token of the longest length weighs at first.
+ROUNDS, ETA, STEP, LONGER = 800, 0.5, 1.0, 0.05
+#: Configurations of one round, and how much less than the best they may weigh.
+MANY, SLACK = 32, 0.002
 
 
 def _bytes(ids: Iterable[int]) -> bytes:
@@ -142,43 +146,67 @@ def token_pieces(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_
     return texts.mapInArrow(pieces, f"id {id_type}, piece int, start long, length long, ids_crc32 long")
 
 
-def price(weights: np.ndarray, capacity: int) -> np.ndarray:
-    """Unbounded knapsack: the multiset of lengths (as counts by length) of the largest weight that fits."""
+def price(weights: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """Unbounded knapsack: of each room up to ``capacity`` the largest weight that fits, and the length that is
+    taken first there (of equal ones the longest, so that short ones are kept to fill with), or 0."""
     best, choice = np.zeros(capacity + 1), np.zeros(capacity + 1, np.int64)
-    tail = weights[1:]
+    # by falling lengths, so that the first of the largest is the longest
+    tail = weights[:0:-1]
     for c in range(1, capacity + 1):
-        value = tail[:c] + best[c - 1 :: -1] if c > 1 else tail[:1] + best[:1]
+        value = tail[capacity - c :] + best[:c]
         k = int(value.argmax())
         if value[k] > best[c - 1]:
-            best[c], choice[c] = value[k], k + 1
+            best[c], choice[c] = value[k], c - k
         else:
-            best[c], choice[c] = best[c - 1], 0
-    counts, c = np.zeros(capacity + 1, np.int64), capacity
-    while c > 0:
-        counts[choice[c]] += choice[c] > 0
-        c -= max(1, int(choice[c]))
-    return counts
+            best[c] = best[c - 1]
+    return best, choice
+
+
+def priced(weights: np.ndarray, capacity: int, many: int = MANY, slack: float = SLACK) -> Iterator[np.ndarray]:
+    """The configuration (counts by length) of the largest weight, and up to ``many`` that have no length of
+    another of them, each the best that holds some length and within ``slack`` of the largest weight: they are
+    what the next rounds would find, since a round only lowers the weights of the lengths it takes."""
+    best, choice = price(weights, capacity)
+    value = weights[1:] + best[capacity - 1 :: -1]
+    good = np.flatnonzero((weights[1:] > 0) & (value >= (1 - slack) * best[capacity]))
+    taken, found = np.zeros(capacity + 1, bool), 0
+    for first in (good[np.lexsort((-good, -value[good]))] + 1).tolist():
+        if taken[first]:
+            continue
+        held, c = [first], capacity - first
+        while c > 0:
+            if choice[c]:
+                held.append(int(choice[c]))
+            c -= max(1, int(choice[c]))
+        if not taken[held].any():
+            taken[held] = True
+            found += 1
+            yield np.bincount(held, minlength=capacity + 1)
+        if found == many:
+            return
 
 
 def configurations(demand: np.ndarray, capacity: int, rounds: int = ROUNDS) -> list[tuple[np.ndarray, float]]:
     """Fractional solution of the configuration LP: (counts by length, sequences) of each priced configuration.
     It may end before all is covered, where the rounds do."""
-    bound = float((demand * np.arange(capacity + 1)).sum()) / capacity
+    size = np.arange(capacity + 1) / capacity
+    least = float((demand * size).sum()) / (rounds * MANY)
     left, steps = demand.astype(np.float64), []
     need = np.maximum(demand, 1)
-    # weights per item: the share of all tokens over the demand is the size
-    weights = np.arange(capacity + 1) / capacity
-    least = bound / rounds
-    while len(steps) < rounds and left.any():
-        counts = price(np.where(left > 0, weights, -1.0), capacity)
-        use = np.flatnonzero(counts)
-        most = float((left[use] / counts[use]).min())
-        longest = use[-1]
-        take = min(most, max(least, STEP * float(demand[longest] / counts[longest])))
-        left[use] -= take * counts[use]
-        left[left < 1e-9 * need] = 0
-        weights = weights * np.exp(-ETA * take * counts / need)
-        steps.append((counts, take))
+    # weights per item: the share of all tokens over the demand is the size; long ones a little more a token
+    weights = size * (1 + LONGER * size)
+    for _ in range(rounds):
+        if not left.any():
+            break
+        for counts in priced(np.where(left > 0, weights, -1.0), capacity):
+            use = np.flatnonzero(counts)
+            most = float((left[use] / counts[use]).min())
+            longest = use[-1]
+            take = min(most, max(least, STEP * float(demand[longest] / counts[longest])))
+            left[use] -= take * counts[use]
+            left[left < 1e-9 * need] = 0
+            weights = weights * np.exp(-ETA * take * counts / need)
+            steps.append((counts, take))
     return steps
 
 

@@ -280,6 +280,56 @@ def test_packing_round_trip(spark, docs, texts):
     assert len(held) <= -(-sum(r["length"] for r in rows) // 2048) * 1.02 + 1
 
 
+def test_the_program_makes_the_plan_of_many_items():
+    """The more items a length has, the less rounding costs: the program's plan needs fewer than best-fit alone."""
+    c, count = 2048, lambda configs: sum(k for _, k in configs)
+    sizes = np.minimum(np.random.default_rng(5).lognormal(6, 1, 1000).astype(int) + 1, c)
+    for times in (20, 1000):
+        demand = np.bincount(sizes, minlength=c + 1) * times
+        found, share = packing.plan(demand, c)
+        bound, plain = -(-int((demand * np.arange(c + 1)).sum()) // c), count(packing.best_fit(demand, c))
+        print(times, bound, count(found), plain, round(share, 4))
+        assert bound <= count(found) <= plain and share > 0.9
+        assert sum(n * k for held, k in found for n in held.values()) == demand.sum()
+    assert count(found) < plain
+
+
+def test_priced_configurations_weigh_most():
+    """Against every multiset of lengths that fits."""
+    from itertools import combinations_with_replacement
+
+    rng, c = np.random.default_rng(1), 12
+    for _ in range(20):
+        weights = np.where(rng.random(c + 1) < 0.5, rng.random(c + 1), -1.0)
+        weights[0] = 0.0
+        want = max([0.0] + [sum(weights[s] for s in held) for m in range(1, c + 1) for held in combinations_with_replacement(np.flatnonzero(weights > 0).tolist(), m) if sum(held) <= c])
+        got = list(packing.priced(weights, c))
+        assert (not got and want == 0) or abs((got[0] * weights).sum() - want) < 1e-9
+        assert all((x * np.arange(c + 1)).sum() <= c for x in got) and (np.sum([x > 0 for x in got], axis=0) <= 1).all()
+
+
+def test_path_rules_of_nested_hosts_against_all_rules():
+    """Each page of many hosts, with the rules of the hosts around it held once and searched from where the last page was."""
+    rng = np.random.default_rng(2)
+    path = lambda: "/" + "".join(rng.choice(list("ab/"), rng.integers(0, 7)))
+    hosts = ["com", "a.com", "b.a.com", "b.com"]
+    rules = {(h, p): url_filter.Rule(h, p, "block") for h, p in ((str(rng.choice(hosts)), path()) for _ in range(150))}.values()
+    pages = sorted({(url_filter.turned(h), h, path()) for h in [*hosts, "c.a.com", "net", "x.b.a.com"] for _ in range(60)})
+    rows = sorted([(url_filter.turned(r.host), 0, r.path, r.host) for r in rules] + [(k, 1, p, h) for k, h, p in pages])
+    of, sweep, now, paths, found = {(r.host, r.path): r for r in rules}, url_filter.HostSweep(), None, None, 0
+    for key, kind, p, host in rows:
+        if kind == 0:
+            sweep.add(key, of[host, p])
+            continue
+        if key != now:
+            now, paths = key, url_filter.PathSweep(sweep.rules_at(key))
+        fits = [r for r in rules if (host == r.host or host.endswith("." + r.host)) and p.startswith(r.path)]
+        want = max(fits, key=lambda r: (len(r.text), len(r.host)), default=None)
+        assert paths.winner(p) == want
+        found += want is not None
+    assert 100 < found < len(pages)
+
+
 def test_plans_never_need_more_than_best_fit():
     """Five histograms of lengths; the program's own share of the sequences, and where it needs fewer."""
     rng, c = np.random.default_rng(0), 2048
