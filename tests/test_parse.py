@@ -58,8 +58,8 @@ def test_rejects(spark):
 
 
 def test_first_brackets_win(spark):
-    (r,) = parse(spark, "1.0 [INFO ] [high] Hello World!")
-    assert r["message"] == "[high] Hello World!" and r["kind"] is None and r["event_parse_error"] is None
+    (r,) = parse(spark, "1.0 [INFO ] [fan] turns slowly")
+    assert r["message"] == "[fan] turns slowly" and r["kind"] is None and r["event_parse_error"] is None
 
 
 def test_event_edges(spark):
