@@ -6,8 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronoloom.operators.monitors import unmatched_ends
-
-ACCURACY = 10_000
+from chronoloom.shared import kept
 
 
 def state_durations(spans: DataFrame) -> DataFrame:
@@ -24,9 +23,23 @@ def core_utilization(occupancy: DataFrame, events: DataFrame) -> DataFrame:
 
 
 def function_stats(spans: DataFrame) -> DataFrame:
-    """The percentiles are durations that occur, off by at most 1 / ACCURACY of the ranks of a function."""
-    per = spans.filter("dur_us IS NOT NULL").groupBy("name")
-    return per.agg(F.count(F.lit(1)).alias("n"), F.avg("dur_us").alias("mean_us"), F.percentile_approx("dur_us", 0.5, ACCURACY).alias("p50_us"), F.percentile_approx("dur_us", 0.95, ACCURACY).alias("p95_us"), F.max("dur_us").alias("max_us"))
+    """Percentiles are exact: the least duration that at least so many of a function's durations do not exceed.
+    Durations are counted and put in order by ranges, so no task holds all of a function's."""
+    spark = spans.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    counts = spans.filter("dur_us IS NOT NULL").groupBy("name", "dur_us").agg(F.count(F.lit(1)).alias("held"))
+    ranges = kept(kept(counts, "durations").repartitionByRange(parts, "name", "dur_us").withColumn("range", F.spark_partition_id()), "duration-ranges")
+    total = F.sum(F.col("dur_us").cast("decimal(38,0)") * F.col("held"))
+    sizes = ranges.groupBy("name", "range").agg(F.sum("held").alias("n"), total.cast("decimal(38,0)").alias("total"), F.max("dur_us").alias("most"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("name").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = sizes.select("name", "range", before.alias("before"))
+    functions = sizes.groupBy("name").agg(F.sum("n").alias("n"), F.sum("total").alias("total"), F.max("most").alias("max_us"))
+    upto = F.sum("held").over(Window.partitionBy("name", "range").orderBy("dur_us"))
+    ranked = ranges.withColumn("upto", upto).join(F.broadcast(starts), ["name", "range"]).withColumn("upto", F.col("before") + F.col("upto"))
+    at = lambda percent: F.min(F.when(F.col("upto") >= F.expr(f"n - n * {100 - percent} div 100"), F.col("dur_us")))
+    found = ranked.join(F.broadcast(functions.select("name", "n")), "name").groupBy("name").agg(at(50).alias("p50_us"), at(95).alias("p95_us"))
+    mean = F.col("total").cast("double") / F.col("n")
+    return functions.join(found, "name").select("name", "n", mean.alias("mean_us"), "p50_us", "p95_us", "max_us")
 
 
 def preemption_matrix(spans: DataFrame) -> DataFrame:
