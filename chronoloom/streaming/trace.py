@@ -7,7 +7,8 @@ has changed. A session without events for ``idle_ms`` ends and frees its state.
 Order. Rows of a micro-batch are ordered by ``seq``; a row below one of an earlier micro-batch is rejected. With
 ``numbered`` lines (``n`` is 0, 1, 2 ... in each session, as a line counter or a log file gives it) rows may
 come in any order: those that come too early wait in the state until the ones before them are there, and are
-then released in order. A gap that stays for ``wait_ms`` is given up, and what comes for it later is rejected.
+then released in order. A gap that stays for ``wait_ms`` is given up, and what comes for it later is rejected; with
+None it is waited for as long as the session lasts (a backlog that is worked off slowly must lose nothing).
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ from chronoloom.plans.route import parsed, routes
 from chronoloom.schemas import MONITOR_KINDS, MONITOR_START, REPLAY
 
 _COLUMNS = [c.split()[0] for c in REPLAY.split(", ")]
+_ROW = Row(*_COLUMNS)
 _EVENT = ("seq", "ts_us", "core_id", "kind", "executor_id", "task_id", "name", "value")
 LATE, REPEATED, ENDED, MISSING = "late: a later row was replayed before", "repeated: this number has come before", "late: the session has ended", "missing: given up after the wait"
 
@@ -51,7 +53,7 @@ _SESSION = "ahead long, cores string, waiting long, gap_until long, seen long, t
 
 
 class Replay(StatefulProcessor):
-    def __init__(self, numbered: bool = False, wait_ms: int = 60_000, idle_ms: int = 86_400_000, timeline: bool = False):
+    def __init__(self, numbered: bool = False, wait_ms: int | None = 60_000, idle_ms: int = 86_400_000, timeline: bool = False):
         self.numbered, self.wait_ms, self.idle_ms, self.timeline = numbered, wait_ms, idle_ms, timeline
 
     def init(self, handle: StatefulProcessorHandle) -> None:
@@ -102,7 +104,7 @@ class Replay(StatefulProcessor):
     @staticmethod
     def _row(session_id: int, seq: int, **fields) -> Row:
         out = fields | {"session_id": session_id, "seq": seq}
-        return Row(**{c: out.get(c) for c in _COLUMNS})
+        return _ROW(*map(out.get, _COLUMNS))
 
     def _replayed(self, session_id: int, cores: dict[int, Core], event: tuple) -> Iterator[Row]:
         seq, ts, at, kind, executor, task, name, value = event
@@ -163,7 +165,7 @@ class Replay(StatefulProcessor):
             session.waiting += 1
         if not session.waiting:
             session.gap_until = None
-        elif session.gap_until is None or session.ahead > before:
+        elif self.wait_ms is not None and (session.gap_until is None or session.ahead > before):
             session.gap_until = now + self.wait_ms
 
     def handleInputRows(self, key: tuple, rows: Iterator[Row], timer_values) -> Iterator[Row]:
@@ -190,7 +192,7 @@ class Replay(StatefulProcessor):
             yield self._row(key[0], None, sub=0, rec="reject", label=MISSING, name=f"{session.ahead} to {first - 1}")
             session.ahead = first
             yield from self._released(key[0], session, cores, {})
-            session.gap_until = now + self.wait_ms if session.waiting else None
+            session.gap_until = now + self.wait_ms if session.waiting and self.wait_ms is not None else None
         if idle:
             # what is left is that the session has been
             for state in (self.executors, self.tasks, self.pending):
@@ -203,7 +205,7 @@ class Replay(StatefulProcessor):
         pass
 
 
-def stream_trace(raw: DataFrame, numbered: bool = False, wait_ms: int = 60_000, idle_ms: int = 86_400_000, timeline: bool = False) -> DataFrame:
+def stream_trace(raw: DataFrame, numbered: bool = False, wait_ms: int | None = 60_000, idle_ms: int = 86_400_000, timeline: bool = False) -> DataFrame:
     """The rows of ``replay`` from a stream of raw_logs, and rows with rec ``reject``; the session needs
     ``use_rocksdb``. ``numbered``: the lines have a number ``n``. ``timeline`` adds rows for new cores and
     function monitors, from which ``stream_timeline`` makes records."""
