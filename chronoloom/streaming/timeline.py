@@ -2,12 +2,8 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
 
-from chronoloom.operators.replay import attribute_metrics
 from chronoloom.plans import timeline
 from chronoloom.plans.route import route_lines
 from chronoloom.streaming.trace import stream_trace
@@ -18,11 +14,4 @@ def stream_timeline(raw: DataFrame, symbols: DataFrame | None = None, build_id:
     once, by the processor's first sight of it; symbols are a table, joined to the stream. ``options`` are
     those of ``stream_trace``."""
     replayed = stream_trace(raw, timeline=True, **options)
-    new = lambda rec, ids=None: replayed.filter((F.col("rec") == rec) & F.col("prev_label").isNull()).select("session_id", F.col("seq").alias("first_seq"), "core_id", "executor_id", "task_id")
-    monitors = replayed.filter("rec = 'monitor'").select("session_id", "seq", "ts_us", "core_id", F.col("label").alias("ph"), "name")
-    planes = (
-        timeline.metadata_records(new("device").withColumnRenamed("first_seq", "seq"), new("new core"), new("executor"), new("task"), symbols, build_id),
-        timeline.state_records(replayed), timeline.occupancy_records(replayed, symbols=symbols, build_id=build_id),
-        timeline.monitor_records(monitors), timeline.counter_records(attribute_metrics(replayed)), timeline.log_instants(route_lines(raw)[1]),
-    )
-    return reduce(DataFrame.unionByName, planes)
+    return timeline.replayed_records(replayed, symbols, build_id).unionByName(timeline.log_instants(route_lines(raw)[1]))
