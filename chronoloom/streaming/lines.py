@@ -42,11 +42,12 @@ class Number(StatefulProcessor):
         pass
 
 
-def text_stream(spark: SparkSession, path: str, options: dict[str, str], session: Column) -> DataFrame:
+def text_stream(spark: SparkSession, path: str, options: dict[str, str], session: Column, line: Column | None = None) -> DataFrame:
     """raw_logs of the text files that arrive in ``path``; the session needs ``use_rocksdb``. Files of one
     trigger are taken by name, those of later triggers after them, so ``seq`` is what ``read_logs`` gives for
-    all of them where names rise with arrival. A file must be whole when it appears."""
+    all of them where names rise with arrival. A file must be whole when it appears. ``session`` and ``line`` are
+    made of a text line's columns file, block and line; the number of a line is that among its session's."""
     lines = spark.readStream.format("text").options(lineSep="\n", **options).load(path)
     keyed = lines.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.col("value").alias("line"))
-    placed = keyed.select(session.alias("session_id"), "file", "block", "line").mapInArrow(_placed, _PLACED)
+    placed = keyed.select(session.alias("session_id"), "file", "block", (F.col("line") if line is None else line).alias("line")).mapInArrow(_placed, _PLACED)
     return placed.groupBy("session_id").transformWithState(Number(), "session_id long, seq long, line string", "Append", "None")

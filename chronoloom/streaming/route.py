@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
-from chronoloom.plans.route import parsed, route_lines, routes
+from chronoloom.plans.route import compact, parsed, routes
 from chronoloom.shared import kept
-from chronoloom.sources.logs import passthrough
+from chronoloom.sources.logs import passthrough_parsed
 
 NAMES = ("events", "lines", "rejects")
 
@@ -17,7 +17,7 @@ def stream_route(raw: DataFrame, path: str, checkpoint: str, **trigger) -> Strea
     folders ``batch=N``, so one that is run again leaves no row twice."""
 
     def write(batch: DataFrame, number: int) -> None:
-        for name, df in zip(NAMES, routes(kept(parsed(batch).drop("params"), "routed"))):
+        for name, df in zip(NAMES, routes(kept(compact(parsed(batch)), "routed"))):
             df.write.mode("overwrite").parquet(f"{path}/{name}/batch={number}")
 
     return raw.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"processingTime": "1 second"})).start()
@@ -25,7 +25,7 @@ def stream_route(raw: DataFrame, path: str, checkpoint: str, **trigger) -> Strea
 
 def stream_passthrough(raw: DataFrame) -> DataFrame:
     """session_id, seq, text of the lines that are no events, for any sink (``console`` for a live view)."""
-    return passthrough(*route_lines(raw)[1:])
+    return passthrough_parsed(parsed(raw))
 
 
 def stop(query: StreamingQuery) -> None:
