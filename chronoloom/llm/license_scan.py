@@ -153,9 +153,13 @@ def units(pars: DataFrame) -> DataFrame:
 
 def possible(text):
     """The families that a text's own words leave possible."""
-    low = F.lower(text)
-    fits = {f: reduce(and_, (low.rlike(p) for p in NEEDS[f])) & ~low.rlike(RIVALS[f]) & ~low.rlike(DENIED) for f in NEEDS}
-    return F.array_compact(F.array(*(F.when(fit, F.lit(f)) for f, fit in fits.items())))
+
+    def fitting(low):
+        fits = {f: reduce(and_, (low.rlike(p) for p in NEEDS[f])) & ~low.rlike(RIVALS[f]) & ~low.rlike(DENIED) for f in NEEDS}
+        return F.array_compact(F.array(*(F.when(fit, F.lit(f)) for f, fit in fits.items())))
+
+    # the text is bound to a variable, so that it is put in lower case once
+    return F.get(F.transform(F.array(F.lower(text)), fitting), F.lit(0))
 
 
 def templates(spark: SparkSession, of: dict[str, tuple[str, ...]] = TEMPLATES) -> DataFrame:
@@ -222,19 +226,25 @@ def fit(docs: DataFrame, id_col: str, text_col: str) -> LicenceModel:
     own = grams.groupBy("template", "family").agg(F.array_sort(F.collect_set("gram")).alias("set"))
     rows = own.select(F.col("template").alias("ex"), F.col("family").alias("own"), F.lit(20.0).alias("n"), "set").union(shared.select("ex", F.lit(None).cast("string"), "n", "set"))
     rows = _small(rows, "licence-examples")
-    examples, features = rows.select("ex", "own", "n"), rows.select("ex", F.explode("set").alias("gram"))
+    # a null gram stands for the bias: every example has it
+    examples = rows.select("ex", "own", "n")
+    features = rows.select("ex", F.explode(F.concat("set", F.array(F.lit(None).cast("long")))).alias("gram"))
+
+    families = F.explode(F.array(*(F.lit(f) for f in TEMPLATES)))
+    state = grams.select("gram").distinct().withColumn("w", F.lit(0.0)).union(spark.range(0, 1, 1, 1).select(F.lit(None).cast("long"), F.lit(-1.0))).withColumn("family", families)
+
+    def split(state: DataFrame) -> tuple[DataFrame, DataFrame]:
+        return state.filter("gram IS NOT NULL"), state.filter("gram IS NULL").select("family", F.col("w").alias("b"))
 
-    families = spark.range(0, 1, 1, 1).select(F.explode(F.array(*(F.lit(f) for f in TEMPLATES))).alias("family"))
-    weights = grams.select("gram").distinct().withColumn("family", F.explode(F.array(*(F.lit(f) for f in TEMPLATES)))).withColumn("w", F.lit(0.0))
-    bias = families.withColumn("b", F.lit(-1.0))
     for _ in range(STEPS):
-        p = _probabilities(examples, features, weights, bias)
+        p = _probabilities(examples, features, *split(state))
         # an ordinary paragraph weighs less the more of them there are, so the families keep their say
         left = p.select("ex", "family", ((F.col("y") - F.col("p")) * F.least(F.col("n"), F.lit(20.0))).alias("r"))
-        left = _small(left, "licence-residual")
-        up = features.join(left, "ex").groupBy("gram", "family").agg((F.sum("r") / 20).alias("g"))
-        weights = _small(weights.join(up, ["gram", "family"], "left").select("gram", "family", (F.col("w") * (1 - DECAY) + RATE * 0.25 * F.coalesce("g", F.lit(0.0))).alias("w")), "licence-weights")
-        bias = _small(bias.join(left.groupBy("family").agg((F.sum("r") / 200).alias("g")), "family").select("family", (F.col("b") + RATE * 0.25 * F.col("g")).alias("b")), "licence-bias")
+        up = features.join(left, "ex").groupBy("gram", F.col("family").alias("of")).agg(F.sum("r").alias("g"))
+        step = RATE * 0.25 * F.coalesce("g", F.lit(0.0))
+        w = F.when(state["gram"].isNull(), F.col("w") + step / 200).otherwise(F.col("w") * (1 - DECAY) + step / 20)
+        state = _small(state.join(up, state["gram"].eqNullSafe(up["gram"]) & (F.col("family") == F.col("of")), "left").select(state["gram"], w.alias("w"), "family"), "licence-weights")
+    weights, bias = split(state)
     # the cut is that of all paragraphs and of wordings that were not learned
     all_of = F.broadcast(known.agg(F.collect_set("gram").alias("known")))
     plain_sets = plain.crossJoin(all_of).groupBy(F.array_sort(F.array_intersect("set", "known")).alias("set")).agg(F.sum("n").cast("double").alias("n"))
@@ -255,11 +265,13 @@ def classify(docs: DataFrame, model: LicenceModel, id_col: str = "doc_id", text_
     """id, t, par, family ("unknown" included), p, confirmed: one row per paragraph that is a notice and family
     of it. A family whose wording in the paragraph is part of what another one's wording covers is not
     another family of it."""
-    cut = units(paragraphs(docs, id_col, text_col))
-    found = cut.select(*_UNIT, possible(F.regexp_replace("text", r"\s+", " ")).alias("possible"), F.explode(F.array_distinct(bigrams(F.col("text")))).alias("gram"))
-    hits = found.join(F.broadcast(model.grams.groupBy("gram").agg(F.collect_list(F.struct("template", "family", "size")).alias("held"))), "gram")
-    hits = materialize(hits.groupBy(*_UNIT, "possible").agg(F.collect_set(F.struct("gram", "held")).alias("hits")), "licence-hits")
-    each = hits.select(*_UNIT, "possible", F.explode("hits").alias("x")).select(*_UNIT, "possible", "x.gram", "x.held")
+    held = materialize(model.grams.groupBy("gram").agg(F.collect_list(F.struct("template", "family", "size")).alias("held")), "licence-held")
+    all_of = F.broadcast(held.agg(F.collect_set("gram").alias("known")))
+    # one row for each text that holds some feature; only its words decide what is possible, once, and not for every bigram
+    some = F.filter(F.array(F.array_intersect(bigrams(F.col("text")), F.col("known"))), lambda x: F.size(x) > 0)
+    found = units(paragraphs(docs, id_col, text_col)).crossJoin(all_of).select(*_UNIT, "text", F.explode(some).alias("grams"))
+    hits = materialize(found.select(*_UNIT, possible(F.regexp_replace("text", r"\s+", " ")).alias("possible"), "grams").distinct(), "licence-hits")
+    each = hits.select(*_UNIT, "possible", F.explode("grams").alias("gram")).join(F.broadcast(held), "gram").select(*_UNIT, "possible", "gram", "held")
     z = each.join(F.broadcast(model.weights), "gram").groupBy(*_UNIT, "possible", "family").agg(F.sum("w").alias("z"))
     p = z.join(F.broadcast(model.bias), "family").select(*_UNIT, F.array_contains("possible", F.col("family")).alias("fits"), "family", (1 / (1 + F.exp(-(F.col("z") + F.col("b"))))).alias("p"))
     share = each.select(*_UNIT, "gram", F.explode("held").alias("of")).groupBy(*_UNIT, "of.family", "of.template", "of.size").agg(F.count(F.lit(1)).alias("n"), F.collect_set("gram").alias("grams"))

@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 import zlib
 
 import numpy as np
@@ -696,6 +697,18 @@ def test_licence_features_are_counted_over_all_paragraphs(spark):
     assert rare in grams and common not in grams
 
 
+def test_licence_patterns_run_once_a_text(spark):
+    plain = " ".join(f"word{k}" for k in range(4000))
+    rows = [(k, f"Title of {k}\n{plain}\nReleased under the MIT License.") for k in range(30)] + [(100 + k, plain) for k in range(30)]
+    docs = frame(spark, rows)
+    model = license_scan.fit(docs.limit(1), "doc_id", "text")
+    began = time.monotonic()
+    got = {(r["id"], r["family"], r["confirmed"]) for r in license_scan.classify(docs, model).collect()}
+    assert got == {(k, "mit", True) for k in range(30)}
+    # patterns over all of a text for each of its bigrams take minutes here
+    assert time.monotonic() - began < 45
+
+
 # language model
 
 
