@@ -566,6 +566,32 @@ def test_toxicity_learns_from_a_bounded_number_of_bytes(spark, monkeypatch):
     assert [len(t) for t in texts] == [30] * 10 and y.sum() == 5 and all(t.split()[0] == b"w%d" % k for t, k in zip(texts, y))
 
 
+def test_toxicity_training_holds_a_block_of_texts_at_a_time(monkeypatch):
+    """The words, 4-grams and windows of many texts are those of the joined text, which is never held."""
+    from chronoloom.llm.common import BLOCK, spaced
+
+    rows = toxic_rows(300)
+    texts = [b"", *((t + " ").encode() * 25 for _, t, _ in rows), b"one", b" ."]
+    assert sum(map(len, texts)) > 2 * BLOCK
+    whole = toxicity.Words(*spaced(np.cumsum([0, *map(len, texts)]), np.frombuffer(b"".join(texts), np.uint8)))
+    read = []
+
+    class Seen(toxicity.Words):
+        def __init__(self, data, starts):
+            read.append(len(data))
+            super().__init__(data, starts)
+
+    monkeypatch.setattr(toxicity, "Words", Seen)
+    monkeypatch.setattr(toxicity, "LEAST_STEPS", 4)
+    toxicity.train(texts, np.array([0, *(y for _, _, y in rows), 0, 0]), 0.3, epochs=4)
+    assert max(read) <= BLOCK + len(texts)
+    joined = toxicity.JoinedWords(texts)
+    for name in ("keys", "ptr", "grams", "of", "cut", "first"):
+        assert np.array_equal(getattr(joined, name), getattr(whole, name)), name
+    windows, real = joined.cut_out(np.arange(joined.first[-1]))
+    assert np.array_equal(windows, whole.windows) and np.array_equal(real, whole.real)
+
+
 def test_toxicity_gradients():
     rows = toxic_rows(12)
     texts = [t.encode() for _, t, _ in rows]
