@@ -5,13 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 
 from chronoloom.plans import timeline
-from chronoloom.plans.route import route_lines
 from chronoloom.streaming.trace import stream_trace
 
 
 def stream_timeline(raw: DataFrame, symbols: DataFrame | None = None, build_id: str | Column = "", **options) -> DataFrame:
     """The records of ``trace_events`` from a stream of raw_logs. Each device, core, executor and task is named
-    once, by the processor's first sight of it; symbols are a table, joined to the stream. ``options`` are
-    those of ``stream_trace``."""
-    replayed = stream_trace(raw, timeline=True, **options)
-    return timeline.replayed_records(replayed, symbols, build_id).unionByName(timeline.log_instants(route_lines(raw)[1]))
+    once, by the processor's first sight of it; symbols are a table, joined to the stream. Lines are read and
+    parsed once, for events and log instants. ``options`` are those of ``stream_trace``."""
+    return timeline.replayed_records(stream_trace(raw, timeline=True, **options), symbols, build_id)
